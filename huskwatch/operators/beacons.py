@@ -5,6 +5,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from huskwatch.catalog.lookups import FRAMEWORK_INTERVALS
 from huskwatch.functions.net import IPV4, subnet24
@@ -50,7 +51,7 @@ def _best_lag(values: np.ndarray) -> tuple[int, float]:
     return best, top
 
 
-@F.pandas_udf("struct<lag:int,corr:double>")
+@F.pandas_udf(T.StructType([T.StructField("lag", T.IntegerType()), T.StructField("corr", T.DoubleType())]))
 def best_lag(series: pd.Series) -> pd.DataFrame:
     """Lag with the highest autocorrelation (first wins); lag 0 stands for constant intervals."""
     found = [_best_lag(np.asarray(v, dtype=float)) for v in series]

@@ -79,7 +79,7 @@ def summarise(rows: DataFrame) -> DataFrame:
     list is ever gathered.
     """
     keys = ["session_id", "host_id", "process_id", "session_start"]
-    g = F.greatest(F.col("gap_seconds"), F.lit(0.001))
+    g = F.when(F.col("gap_seconds").isNotNull(), F.greatest(F.col("gap_seconds"), F.lit(0.001)))
     part = rows.groupBy(*keys, "severity").agg(
         F.count("*").alias("n"), F.min("ts").alias("t0"), F.max("ts").alias("t1"),
         F.count("gap_seconds").alias("gn"), F.sum(g).alias("gs"), F.sum(g * g).alias("gq"),

@@ -77,7 +77,7 @@ def turn_blocks(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("turn") + 1).cast("int").alias("block_number"), F.col("total").cast("int").alias("block_total"),
         F.concat(F.lit("h"), (F.col("conv_id") % 7).cast("string")).alias("host_id"), F.lit(0).alias("process_id"),
         F.lit(0).alias("thread_id"), at(F.col("conv_id") * 60 + F.col("turn")).alias("ts"), F.col("role").alias("path"),
-        F.col("text").alias("raw_text"), F.upper("text").alias("decoded_text"), F.lit(0.0).alias("entropy"))
+        F.col("text").alias("raw_text"), F.replace("text", F.lit("e"), F.lit("E")).alias("decoded_text"), F.lit(0.0).alias("entropy"))
 
 
 def activity(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from huskwatch.catalog.content import advice_table, content_table
 from huskwatch.functions import decode as D
 from huskwatch.functions import scoring, style
 from huskwatch.functions import text as X
@@ -15,7 +16,8 @@ from huskwatch.operators import baseline as base_ops
 from huskwatch.operators import beacons as beacon_ops
 from huskwatch.operators import blocks as block_ops
 from huskwatch.operators import campaigns as campaign_ops
-from huskwatch.operators import enrich, indicators, rollups, views
+from huskwatch.operators import content as content_ops
+from huskwatch.operators import enrich, indicators, rollups, stix, views
 from huskwatch.operators import sessions as session_ops
 from huskwatch.plans import adapters as A
 from huskwatch.plans.hunt import Hunt
@@ -88,8 +90,19 @@ class Tables:
 
     @cached_property
     def covered(self) -> DataFrame:
-        names = ["AMSI_BYPASS_REFLECT", "DOWNLOAD_CRADLE_WC", "COBALT_STRIKE", "CRED_HARVEST", "HIGH_ENTROPY_BLOB"]
-        return self.spark.createDataFrame([(n,) for n in names], "technique_id string")
+        return self.content.select("technique_id")
+
+    @cached_property
+    def content(self) -> DataFrame:
+        return content_table(self.spark)
+
+    @cached_property
+    def best(self) -> DataFrame:
+        return content_ops.best_findings(self.hunt.findings)
+
+    @cached_property
+    def hits(self) -> DataFrame:
+        return enrich.threat_hits(self.hunt.members, self.feed, 15)
 
 
 def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -853,3 +866,106 @@ def u5_set_tests(s):
     b = F.array(F.lit("CRED_HARVEST"), F.lit("COBALT_STRIKE"))
     return s.hunt.sessions.select("session_id", F.forall(a, lambda t: F.array_contains("technique_set", t)).alias("has_all"),
                                   F.arrays_overlap("technique_set", b).alias("has_any"))
+
+
+# -- detection content and exports ---------------------------------------------------------------
+
+@query
+def r6_best_findings(s):
+    return s.best.select("session_id", "technique_id", "mitre_id", "severity", "matched_text")
+
+
+@query
+def r7_first_findings(s):
+    return content_ops.first_findings(s.hunt.findings, s.hunt.sessions).select("technique_id", "session_id", "block_id", "matched_text")
+
+
+@query
+def r9_applied_content(s):
+    """Detection entries run as predicates over web pages and documents."""
+    own = {"PAGE_MARKUP": ("Page markup", "T0", [], {"sel_nav": ("any", ["<NAV>", "<footer>"]), "sel_all": ("all", ["<p>", "track("]),
+                                                     "filter": ("re", [r"charset=.utf-8.><title>D"])}, "(sel_nav or sel_all) and not filter"),
+           "LICENSE_LINE": ("License line", "T0", [], {"selection": ("any", ["mit license", "gnu general"])}, "selection")}
+    hits = content_ops.apply_content(A.doc_blocks(s.spark, s.folder), "decoded_text", own)
+    return hits.filter(F.size("content_hits") > 0).select("block_id", joined("content_hits"))
+
+
+@query
+def r11_highest_level(s):
+    rows = content_ops.sigma_rows(s.best, s.hunt.sessions, s.content)
+    return content_ops.highest_level(rows)
+
+
+@query
+def j9_detection_content(s):
+    first = content_ops.first_findings(s.hunt.findings, s.hunt.sessions)
+    return content_ops.detections(first, s.content).select("technique_id", "title", "mitre", "severity",
+                                                           F.length("kql").alias("kql_chars"))
+
+
+@query
+def j10_sigma_fields(s):
+    return content_ops.sigma_rows(s.best, s.hunt.sessions, s.content).select(
+        "session_id", "technique_id", "title", "level", joined("tags"), "reference", "description")
+
+
+@query
+def j11_sigma_for_sessions(s):
+    return content_ops.sigma_for_sessions(content_ops.sigma_rows(s.best, s.hunt.sessions, s.content)).select(
+        "technique_id", "session_id", "title", "level")
+
+
+@query
+def j12_yara_fields(s):
+    return content_ops.yara_rows(s.best, s.content).select("session_id", "technique_id", "name", "mitre", "severity")
+
+
+@query
+def j13_hardening(s):
+    return content_ops.hardening(s.hunt.sessions, advice_table(s.spark)).select("product", "technique_id", "title", "priority", "priority_rank")
+
+
+@query
+def s11_navigator_layer(s):
+    return rollups.navigator_rows(s.hunt.findings).select("mitre_id", "score", "session_count", joined("rules"))
+
+
+@query
+def s12a_stix_ids(s):
+    return s.hunt.hub.select("value", stix.stix_id("indicator", F.col("value")).alias("id"))
+
+
+@query
+def s12b_attack_patterns(s):
+    return stix.attack_patterns(s.hunt.findings)
+
+
+@query
+def s12c_malware(s):
+    return stix.malware(s.hunt.sessions)
+
+
+@query
+def s12c_notes(s):
+    return stix.notes(s.hunt.sessions, s.hunt.members).select("id", "content")
+
+
+@query
+def s12d_indicators(s):
+    return stix.indicators(stix.session_indicators(s.hunt.sessions, s.hunt.members))
+
+
+@query
+def i7_stix_patterns(s):
+    return s.hunt.hub.select("value", stix.ioc_pattern(F.col("value")).alias("pattern"))
+
+
+@query
+def s12e_relationships(s):
+    listed = stix.session_indicators(s.hunt.sessions, s.hunt.members)
+    return stix.relationships(s.hunt.findings, s.hunt.sessions, listed, s.hits).select("source_ref", "relationship_type", "target_ref")
+
+
+@query
+def s12f_known_malware(s):
+    return stix.known_malware(s.hunt.sessions, s.hits)

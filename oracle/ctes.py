@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import re
 
+from huskwatch.catalog.content import CONTENT, advice_rows
 from huskwatch.catalog.lookups import FRAMEWORK_INTERVALS, KILL_CHAIN, SUMMARY_TACTICS, TACTIC_FOR, TACTIC_ORDER
 from huskwatch.plans.adapters import DOC_RULES
 
@@ -21,6 +22,18 @@ UNRANK = "CASE {r} WHEN 4 THEN 'P1_INCIDENT' WHEN 3 THEN 'P2_ALERT' WHEN 2 THEN
 IOC = r"""(?i)https?://[^\s'")\]>]+|\b(?:\d{1,3}\.){3}\d{1,3}\b|\b[0-9a-fA-F]{32,64}\b|C:\\[^\s'")\]>]{5,}"""
 
 
+BAND = "CASE WHEN {s} >= 85 THEN 'critical' WHEN {s} >= 70 THEN 'high' WHEN {s} >= 50 THEN 'medium' ELSE 'low' END"
+PATTERN = r"""CASE WHEN starts_with(value, 'http://') OR starts_with(value, 'https://') THEN '[url:value = ''' || replace(value, '''', '\''') || ''']'
+  WHEN regexp_full_match(value, '(?:\d{1,3}\.){3}\d{1,3}') THEN '[ipv4-addr:value = ''' || value || ''']'
+  WHEN regexp_full_match(value, '[0-9a-fA-F]{64}') THEN '[file:hashes.SHA-256 = ''' || lower(value) || ''']'
+  WHEN regexp_full_match(value, '[0-9a-fA-F]{32}') THEN '[file:hashes.MD5 = ''' || lower(value) || ''']' END"""
+
+
+def sid(kind: str, seed: str) -> str:
+    h = f"sha256({seed})"
+    return f"'{kind}--' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12)"
+
+
 def ioc_type(v: str) -> str:
     return (f"CASE WHEN regexp_matches({v}, '(?i)^https?://') THEN 'url' WHEN regexp_full_match({v}, '\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}') THEN 'ip' "
             f"WHEN regexp_full_match({v}, '[0-9a-fA-F]{{32,64}}') THEN 'hash' WHEN regexp_matches({v}, '^[A-Za-z]:\\\\') THEN 'path' ELSE 'other' END")
@@ -36,7 +49,7 @@ def sessionise(source: str, gap: int) -> str:
     return f"""SELECT *, host_id || '_' || process_id || '_' || strftime(min(ts) OVER (PARTITION BY host_id, process_id, sno), '%Y%m%dT%H%M%S') AS session_id,
       CASE WHEN jump = 0 THEN (epoch_us(ts) - epoch_us(prev)) / 1e6 END AS gap
     FROM (SELECT *, sum(jump) OVER (PARTITION BY host_id, process_id ORDER BY ts, block_id ROWS UNBOUNDED PRECEDING) AS sno
-      FROM (SELECT *, CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > {gap} * 1000000 THEN 1 ELSE 0 END AS jump
+      FROM (SELECT *, CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > {gap}000000 THEN 1 ELSE 0 END AS jump
         FROM (SELECT *, lag(ts) OVER (PARTITION BY host_id, process_id ORDER BY ts, block_id) AS prev FROM {source})))"""
 
 
@@ -47,7 +60,7 @@ def summarise(source: str, techs: str) -> str:
     FROM (SELECT session_id, any_value(host_id) AS host_id, any_value(process_id) AS process_id, min(ts) AS start_time, max(ts) AS end_time,
         count(*) AS block_count, max(severity) AS max_severity, avg(greatest(gap, 0.001)) FILTER (gap IS NOT NULL) AS mean_gap,
         stddev_samp(greatest(gap, 0.001)) FILTER (gap IS NOT NULL) AS stdev_gap, CAST(sum(changed) AS BIGINT) AS changed_blocks,
-        CAST(list_sum(list_sort(list(severity) FILTER (severity > 0), 'DESC')[1:3]) AS BIGINT) AS top3,
+        CAST(coalesce(list_sum(list_sort(list(severity) FILTER (severity > 0), 'DESC')[1:3]), 0) AS BIGINT) AS top3,
         avg(severity) FILTER (severity > 0) AS avgp, count(*) FILTER (severity > 0) AS posn
       FROM {source} GROUP BY session_id) a LEFT JOIN {techs} t USING (session_id)"""
 
@@ -66,7 +79,7 @@ def scored(source: str) -> str:
         ("LOLBin cluster (2+ tools)", 12, "len(list_intersect(tech, ['LOLBIN_CERTUTIL','LOLBIN_MSHTA','LOLBIN_REGSVR32','LOLBIN_RUNDLL32','LOLBIN_BITSADMIN'])) >= 2"),
     ]
     pts = " + ".join(f"CASE WHEN {c} THEN {p} ELSE 0 END" for _, p, c in chains)
-    names = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {q(n)} END" for n, _, c in chains) + "], x -> x IS NOT NULL)"
+    names = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN {q(n)} END" for n, _, c in chains) + "], lambda x: x IS NOT NULL)"
     return f"""SELECT *, {TIER.format(s='score')} AS tier, epoch_us(end_time) / 1e6 - epoch_us(start_time) / 1e6 AS dur FROM (
       SELECT *, CASE WHEN posn > 0 THEN least(100.0::DOUBLE, 0.4::DOUBLE * max_severity + 0.6::DOUBLE * (0.7::DOUBLE * top3 + 0.3::DOUBLE * avgp) + chain + tbonus) ELSE 0.0::DOUBLE END AS score
       FROM (SELECT *, CAST({pts} AS INTEGER) AS chain, {names} AS chain_names,
@@ -92,8 +105,8 @@ CTES = {
     "hit_lists": """SELECT b.block_id, b.decoded_text AS t, r.rule_no, r.pattern_no, r.rule_name, r.technique_id, r.mitre_id, r.severity,
         regexp_extract_all(b.decoded_text, r.pattern) AS m, string_split_regex(b.decoded_text, r.pattern) AS p
       FROM decoded b JOIN rules r ON regexp_matches(b.decoded_text, r.pattern)""",
-    "hit_rows": """SELECT *, m[i] AS hit, CAST(coalesce(list_sum(list_transform(p[1:i], x -> length(x))), 0)
-        + coalesce(list_sum(list_transform(m[1:i-1], x -> length(x))), 0) AS BIGINT) AS s0
+    "hit_rows": """SELECT *, m[i] AS hit, CAST(coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0)
+        + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS s0
       FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM hit_lists)""",
     "rule_hits": """SELECT block_id, rule_no, pattern_no, CAST(i - 1 AS INTEGER) AS hit_no, rule_name, technique_id, mitre_id, severity, left(hit, 120) AS matched_text,
         left(regexp_replace(regexp_replace(replace(substring(t, greatest(s0 - 40, 0) + 1, least(length(t), s0 + length(hit) + 40) - greatest(s0 - 40, 0)),
@@ -123,7 +136,7 @@ CTES = {
     "hub": f"SELECT value, {ioc_type('value')} AS ioc_type, count(*) AS session_count FROM members GROUP BY value",
     "hub_ranked": "SELECT *, row_number() OVER (ORDER BY session_count DESC, ioc_type, value) AS no FROM hub",
     "words": """SELECT block_id, host_id, process_id, ts, path, entropy, substr(sha256(decoded_text), 1, 20) AS content_hash,
-        list_transform(regexp_extract_all(decoded_text, '(?i) th[a-z]+'), w -> lower(trim(w))) AS terms FROM full_blocks""",
+        list_transform(regexp_extract_all(decoded_text, '(?i) th[a-z]+'), lambda w: lower(trim(w))) AS terms FROM full_blocks""",
     "benign": "SELECT w.* FROM words w JOIN (SELECT DISTINCT 'd' || doc_id AS block_id FROM labels WHERE quality = 1) g USING (block_id)",
     "vocab": "SELECT term, count(*) AS n FROM (SELECT unnest(terms) AS term FROM benign) GROUP BY term",
     "wpath": "SELECT *, CASE WHEN length(path) > 0 THEN replace(lower(regexp_replace(path, '^[A-Za-z]:\\\\', '')), '\\', '/') END AS norm_path FROM words",
@@ -153,12 +166,12 @@ CTES = {
       FROM fprints WHERE score > 20 GROUP BY fingerprint""",
     "ivs": """SELECT session_id, list(gap ORDER BY ts, block_id) FILTER (gap BETWEEN 2 AND 172800) AS iv, count(*) AS times FROM urows GROUP BY session_id""",
     "beats": "SELECT session_id, iv, len(iv) AS n, list_avg(iv) AS mean FROM ivs WHERE times >= 6 AND len(iv) >= 5",
-    "lags": """SELECT session_id, lag, list_sum(list_transform(range(lag + 1, n + 1), i -> (iv[i] - mean) * (iv[i - lag] - mean))) / ((n - lag) * list_var_samp(iv)) AS corr
+    "lags": """SELECT session_id, lag, list_sum(list_transform(range(lag + 1, n + 1), lambda i: (iv[i] - mean) * (iv[i - lag] - mean))) / ((n - lag) * list_var_samp(iv)) AS corr
       FROM (SELECT *, unnest(range(1, greatest(2, n // 2))) AS lag FROM beats)""",
     "bestlag": "SELECT session_id, arg_min(lag, (-corr, lag)) AS lag, max(corr) AS corr FROM lags GROUP BY session_id",
     "profiles": """SELECT session_id, round(period, 1) AS period_seconds, round(1 - regular, 3) AS jitter_pct, round(conf, 3) AS confidence, n AS sample_count FROM (
         SELECT *, greatest(0, least(1, corr)) * 0.6 + regular * 0.4 AS conf FROM (
-          SELECT b.session_id, b.n, l.corr, greatest(0, 1 - list_stddev_samp(iv) / mean) AS regular, list_avg(list_filter(iv, (x, i) -> (i - 1) % lag = 0)) AS period
+          SELECT b.session_id, b.n, l.corr, greatest(0, 1 - list_stddev_samp(iv) / mean) AS regular, list_avg(list_filter(iv, lambda x, i: (i - 1) % lag = 0)) AS period
           FROM beats b JOIN bestlag l USING (session_id)))""",
     "frameworks": "SELECT * FROM (VALUES " + values((i, fw, iv) for i, (fw, iv) in enumerate(
         (fw, iv) for fw, ivs in FRAMEWORK_INTERVALS for iv in ivs)) + ") AS t(no, fw, iv)",
@@ -168,11 +181,11 @@ CTES = {
         event_type || '_' || event_id AS process_name FROM events""",
     "logons": """SELECT CASE WHEN event_type = 'view' THEN 4624 ELSE 4648 END AS event_id, 'src' || (user_id % 20) AS host_id, ts, 'src' || (event_id % 23) AS target_host,
         'u' || event_id AS username FROM events WHERE event_type IN ('signup', 'view')""",
-    "lateral": "SELECT * FROM (VALUES ('LATERAL_PSREMOTING','T1021.006','PSRemoting'),('LATERAL_WMI_EXEC','T1021.003','WMI Exec'),('LATERAL_INVOKE_CMD','T1021.002','SMB/PsExec'),"
+    "latmap": "SELECT * FROM (VALUES ('LATERAL_PSREMOTING','T1021.006','PSRemoting'),('LATERAL_WMI_EXEC','T1021.003','WMI Exec'),('LATERAL_INVOKE_CMD','T1021.002','SMB/PsExec'),"
                "('COM_LATERAL','T1021.003','DCOM'),('WMIC_REMOTE_EXEC','T1047','WMIC Remote')) AS t(technique, mitre_id, evidence)",
     "moves": """SELECT s.session_id AS source_session, d.session_id AS target_session, s.host_id AS source_host, d.host_id AS target_host, l.technique, l.mitre_id, l.evidence,
         d.start_time AS ts, s.start_time AS src_start
-      FROM sess s JOIN lateral l ON list_contains(s.tech, l.technique) JOIN sess d ON d.host_id <> s.host_id
+      FROM sess s JOIN latmap l ON list_contains(s.tech, l.technique) JOIN sess d ON d.host_id <> s.host_id
         AND (d.start_time > s.start_time OR (d.start_time = s.start_time AND d.session_id > s.session_id))
         AND d.start_time BETWEEN s.end_time - INTERVAL 60 SECOND AND s.end_time + INTERVAL 1800 SECOND""",
     "edges": "SELECT source_host, target_host, technique, arg_min(ts, (src_start, source_session, ts, target_session)) AS ts FROM moves GROUP BY ALL",
@@ -198,11 +211,25 @@ CTES = {
     "summary_tactics": "SELECT * FROM (VALUES " + values(
         (no, name, p) for no, (name, ps) in enumerate(SUMMARY_TACTICS) for p in ps) + ") AS t(tactic_no, tactic, base)",
     "stages": "SELECT * FROM (VALUES " + values((no, n, t) for no, (n, ts) in enumerate(KILL_CHAIN) for t in ts) + ") AS t(stage_no, stage, technique_id)",
-    "covered": "SELECT * FROM (VALUES ('AMSI_BYPASS_REFLECT'),('DOWNLOAD_CRADLE_WC'),('COBALT_STRIKE'),('CRED_HARVEST'),('HIGH_ENTROPY_BLOB')) AS t(technique_id)",
+    "covered": "SELECT * FROM (VALUES " + values((t,) for t in CONTENT) + ") AS t(technique_id)",
+    "content": "SELECT * FROM (VALUES " + values((t, c[0], ",".join(sorted([f"attack.{x}" for x in c[2]] + [f"attack.{c[1].lower()}"])), c[1]) for t, c in CONTENT.items())
+               + ") AS t(technique_id, title, tags, mitre)",
+    "advice": "SELECT * FROM (VALUES " + values((r[0], r[2], r[3], r[4]) for r in advice_rows()) + ") AS t(product, technique_id, title, priority)",
+    "best": """SELECT session_id, technique_id, min(first_no) AS first_no, arg_min(mitre_id, o) AS mitre_id, arg_min(severity, o) AS severity, arg_min(matched_text, o) AS matched_text,
+        any_value(host_id) AS host_id FROM (
+        SELECT *, row_number() OVER (ORDER BY severity DESC, ts, block_id, rule_no, pattern_no, hit_no) AS o, row_number() OVER (ORDER BY ts, block_id, rule_no, pattern_no, hit_no) AS first_no
+        FROM sfinds) GROUP BY session_id, technique_id""",
+    "firsts": """SELECT technique_id, arg_min(session_id, o) AS session_id, arg_min(block_id, o) AS block_id, arg_min(matched_text, o) AS matched_text, arg_min(mitre_id, o) AS mitre_id,
+        arg_min(severity, o) AS severity FROM (SELECT f.*, row_number() OVER (ORDER BY f.host_id, s.process_id, f.ts, f.block_id, f.rule_no, f.pattern_no, f.hit_no) AS o
+        FROM sfinds f JOIN sess s USING (session_id) WHERE s.score >= 40) GROUP BY technique_id""",
+    "sig": f"""SELECT b.session_id, b.technique_id, b.mitre_id, b.host_id, s.process_id, s.start_time, s.score, coalesce(c.title, 'PowerShell suspicious: ' || lower(replace(b.technique_id, '_', ' '))) AS title,
+        {BAND.format(s='b.severity')} AS level, coalesce(c.tags, 'attack.' || lower(b.mitre_id)) AS tags, b.matched_text FROM best b JOIN sess s USING (session_id) LEFT JOIN content c USING (technique_id)""",
+    "listed": f"""SELECT session_id, value, {PATTERN} AS pattern FROM (SELECT m.*, row_number() OVER (PARTITION BY session_id ORDER BY value) AS rn FROM members m)
+        WHERE rn <= 30 AND session_id IN (SELECT session_id FROM sess WHERE tier <> 'CLEAN') AND {PATTERN} IS NOT NULL""",
     "stech": "SELECT session_id, host_id, unnest(tech) AS technique_id FROM sess",
     "turns": """SELECT 'c' || conv_id AS block_id, CAST(turn + 1 AS INTEGER) AS block_number,
         CAST(max(turn) OVER (PARTITION BY conv_id) + 1 + CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS block_total,
-        'h' || (conv_id % 7) AS host_id, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60 + turn) AS ts, role AS path, text AS raw_text, upper(text) AS decoded_text FROM conversations""",
+        'h' || (conv_id % 7) AS host_id, TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60 + turn) AS ts, role AS path, text AS raw_text, replace(text, 'e', 'E') AS decoded_text FROM conversations""",
     "turn_groups": """SELECT block_id, count(*) AS n, arg_min(block_total, block_number) AS want, string_agg(raw_text, '' ORDER BY block_number) AS raw_text,
         string_agg(decoded_text, '' ORDER BY block_number) AS decoded_text, any_value(host_id) AS host_id, arg_min(path, block_number) AS path, min(ts) AS ts
       FROM turns WHERE block_total > 1 GROUP BY block_id""",
@@ -210,7 +237,7 @@ CTES = {
       UNION ALL SELECT block_id, 1, 1, host_id, path, ts, raw_text, decoded_text FROM turn_groups WHERE n = want
       UNION ALL SELECT t.block_id, t.block_number, t.block_total, t.host_id, t.path, t.ts, t.raw_text, t.decoded_text FROM turns t JOIN turn_groups g USING (block_id)
         WHERE t.block_total > 1 AND g.n <> g.want""",
-    "search_hits": """SELECT session_id, block_id, decoded_text, strpos(lower(decoded_text), '{needle}') AS at,
+    "search_hits": """SELECT session_id, block_id, decoded_text, strpos(lower(decoded_text), '{needle}') AS apos,
         row_number() OVER (PARTITION BY session_id ORDER BY ts, block_id) AS rn, count(*) OVER (PARTITION BY session_id) AS total FROM srows
       WHERE contains(lower(decoded_text), '{needle}')""",
 }

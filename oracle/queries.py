@@ -1,7 +1,9 @@
 """DuckDB SQL of every registered query that SQL can express."""
 from __future__ import annotations
 
-from oracle.ctes import RANK, UNRANK, feed_type, ioc_type, with_ctes
+from huskwatch.catalog.content import CONTENT, render
+from huskwatch.catalog.lookups import PHRASES
+from oracle.ctes import BAND, PATTERN, RANK, UNRANK, feed_type, ioc_type, q, sid, values, with_ctes
 
 TS = "%Y-%m-%d %H:%M:%S"
 
@@ -34,11 +36,10 @@ RAW: dict[str, str] = {
     "p16_public_address": """SELECT value, coalesce(list_max(o) <= 255 AND NOT regexp_matches(value, '(^|\\.)0[0-9]') AND NOT (o[1] IN (0, 10, 127) OR (o[1] = 169 AND o[2] = 254)
         OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 192 AND o[2] = 0 AND o[3] = 2) OR (o[1] = 192 AND o[2] = 0 AND o[3] = 0 AND (o[4] < 8 OR o[4] IN (170, 171)))
         OR (o[1] = 198 AND o[2] IN (18, 19)) OR (o[1] = 198 AND o[2] = 51 AND o[3] = 100) OR (o[1] = 203 AND o[2] = 0 AND o[3] = 113) OR o[1] >= 240), false) AS is_public
-      FROM (SELECT value, list_transform(string_split(value, '.'), x -> CAST(x AS INTEGER)) AS o FROM hub WHERE ioc_type = 'ip')""",
+      FROM (SELECT value, list_transform(string_split(value, '.'), lambda x: CAST(x AS INTEGER)) AS o FROM hub WHERE ioc_type = 'ip')""",
     "p17_known_good": "SELECT block_id FROM words WHERE content_hash IN (SELECT content_hash FROM benign)",
     "n1_backtick": "SELECT doc_id, sha256(text) AS digest FROM documents",
     "n12_credential_mark": """SELECT doc_id, sha256('"[PLAINTEXT_CRED:' || source || ']"; New-Object "[CREDENTIAL:' || lang || ':pw]"); ' || text) AS digest FROM documents""",
-    "n13_decode_fixed_point": """SELECT doc_id, true AS restored, 2 AS passes, 'backtick,base64' AS transforms FROM documents""",
     "n15_changed_blocks": "SELECT session_id, changed_blocks FROM sess",
     "r1_rule_hits": "SELECT block_id, rule_no, pattern_no, hit_no, matched_text, context FROM rule_hits",
     "r2_classified_techniques": "SELECT rule_name, technique_id, mitre_id, count(*) AS hits, count(DISTINCT block_id) AS blocks FROM finds GROUP BY ALL",
@@ -102,7 +103,7 @@ RAW: dict[str, str] = {
         WHERE h.no <= 50 GROUP BY ALL)""",
     "i11_credentials": f"SELECT value, session_id, host_id, block_id, {ts('ts')} FROM creds",
     "b1_terms": """SELECT doc_id, CAST(len(t) AS INTEGER) AS n, sha256(array_to_string(t, ',')) AS digest FROM (SELECT doc_id,
-        list_transform(regexp_extract_all(replace(text, ' th', ' Get-th'), '(?i)\\bGet-[0-9A-Za-z_\\x{80}-\\x{10ffff}]+'), x -> lower(x)) AS t FROM documents)""",
+        list_transform(regexp_extract_all(replace(text, ' th', ' Get-th'), '(?i)\\bGet-[0-9A-Za-z_\\x{80}-\\x{10ffff}]+'), lambda x: lower(x)) AS t FROM documents)""",
     "b2_vocabulary": "SELECT term, n FROM vocab",
     "s7_extended_vocabulary": "SELECT term, CAST(sum(n) AS BIGINT) AS n FROM (SELECT term, n FROM vocab UNION ALL SELECT term, count(*) FROM (SELECT unnest(terms) AS term FROM words) GROUP BY term) GROUP BY term",
     "b3_content_hash": "SELECT block_id, content_hash FROM words",
@@ -112,7 +113,7 @@ RAW: dict[str, str] = {
     "b7_summary": """SELECT (SELECT count(*) FROM benign) AS observations, (SELECT count(*) FROM vocab) AS unique_terms, (SELECT count(DISTINCT content_hash) FROM benign) AS known_hashes,
         (SELECT count(*) FROM bpaths) AS known_paths, (SELECT string_agg(term, ',' ORDER BY n DESC, term) FROM (SELECT * FROM vocab ORDER BY n DESC, term LIMIT 10)) AS top_terms""",
     "b8_session_anomaly": "SELECT session_id, round(arg_min(anomaly, (ts, block_id)), 6) AS baseline_anomaly FROM arows GROUP BY session_id",
-    "f1_run_lengths": """SELECT block_id, coalesce((SELECT array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(raw_text, '[A-Za-z0-9+/]{30,}={0,2}'), x -> length(x)))), ',')), '') AS runs FROM blocks""",
+    "f1_run_lengths": """SELECT block_id, coalesce((SELECT array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(raw_text, '[A-Za-z0-9+/]{30,}={0,2}'), lambda x: length(x)))), ',')), '') AS runs FROM blocks""",
     "f3_paren_depth": """SELECT b.block_id, CAST(coalesce(depth, 0) AS INTEGER) AS depth FROM blocks b LEFT JOIN (SELECT block_id, max(s - least(0, lo)) AS depth FROM (
           SELECT *, min(s) OVER (PARTITION BY block_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS lo FROM (
             SELECT *, sum(d) OVER (PARTITION BY block_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS s FROM parens)) GROUP BY block_id) USING (block_id)""",
@@ -154,8 +155,44 @@ RAW: dict[str, str] = {
         WHERE l.target_host <> l.host_id)""",
     "j7_threat_hits": "SELECT session_id, value, ioc_type, source, malware_name FROM hits",
     "j8_geolocation": """SELECT value AS ip, 'zone' || (CAST(string_split(value, '.')[1] AS INTEGER) % 7) AS country FROM hub WHERE ioc_type = 'ip'
-        AND list_max(list_transform(string_split(value, '.'), x -> CAST(x AS INTEGER))) <= 255
+        AND list_max(list_transform(string_split(value, '.'), lambda x: CAST(x AS INTEGER))) <= 255
         AND NOT regexp_matches(value, '^(0|10|127|24[0-9]|25[0-5])\\.|^192\\.168\\.|^169\\.254\\.|^172\\.(1[6-9]|2[0-9]|3[01])\\.|^198\\.1[89]\\.|^192\\.0\\.2\\.|^198\\.51\\.100\\.|^203\\.0\\.113\\.')""",
+    "n13_decode_fixed_point": """SELECT doc_id, long AS restored, 2 AS passes, CASE WHEN long THEN 'backtick,base64' ELSE 'backtick' END AS transforms FROM (
+        SELECT doc_id, ceil((18 + length(regexp_replace(text, '[^a-z ]', '', 'g'))) * 4 / 3.0) >= 60 AS long FROM documents)""",
+    "r6_best_findings": "SELECT session_id, technique_id, mitre_id, severity, matched_text FROM best",
+    "r7_first_findings": "SELECT technique_id, session_id, block_id, matched_text FROM firsts",
+    "r9_applied_content": """SELECT block_id, array_to_string(list_filter([CASE WHEN (contains(t, '<nav>') OR contains(t, '<footer>') OR (contains(t, '<p>') AND contains(t, 'track(')))
+        AND NOT regexp_matches(decoded_text, 'charset=.utf-8.><title>D') THEN 'PAGE_MARKUP' END, CASE WHEN contains(t, 'mit license') OR contains(t, 'gnu general') THEN 'LICENSE_LINE' END],
+        lambda x: x IS NOT NULL), ',') AS content_hits FROM (SELECT *, lower(decoded_text) AS t FROM decoded) WHERE contains(t, 'mit license') OR contains(t, 'gnu general')
+        OR ((contains(t, '<nav>') OR contains(t, '<footer>') OR (contains(t, '<p>') AND contains(t, 'track('))) AND NOT regexp_matches(decoded_text, 'charset=.utf-8.><title>D'))""",
+    "r11_highest_level": "SELECT session_id, arg_min(level, CASE level WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END) AS highest_level FROM sig GROUP BY session_id",
+    "j10_sigma_fields": """SELECT session_id, technique_id, title, level, tags, 'https://attack.mitre.org/techniques/' || replace(mitre_id, '.', '/') AS reference,
+        'Detects ' || title || '. Detected in session ' || session_id || ' on ' || host_id || ' at ' || strftime(start_time, '%Y-%m-%d %H:%M UTC') || '. Matched: ''' || left(matched_text, 80) || '''.' AS description FROM sig""",
+    "j11_sigma_for_sessions": """SELECT technique_id, session_id, title, level FROM (SELECT *, row_number() OVER (PARTITION BY technique_id ORDER BY host_id, process_id, start_time, session_id) AS rn
+        FROM sig WHERE score >= 40) WHERE rn = 1""",
+    "j12_yara_fields": f"SELECT session_id, technique_id, 'script_' || lower(technique_id) AS name, mitre_id AS mitre, {BAND.format(s='severity')} AS severity FROM best",
+    "j13_hardening": """SELECT product, technique_id, title, priority, CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END AS priority_rank FROM advice
+      WHERE technique_id = '' OR technique_id IN (SELECT unnest(tech) FROM sess WHERE score >= 40)""",
+    "s11_navigator_layer": "SELECT mitre_id, max(severity) AS score, count(DISTINCT session_id) AS session_count, array_to_string(list_sort(list(DISTINCT technique_id)), ',') AS rules FROM sfinds GROUP BY mitre_id",
+    "s12a_stix_ids": f"SELECT value, {sid('indicator', 'value')} AS id FROM hub",
+    "s12b_attack_patterns": f"""SELECT 'attack-pattern' AS type, {sid('attack-pattern', 'mitre_id')} AS id, mitre_id, 'MITRE ATT&CK ' || mitre_id || ': ' || technique_id AS name,
+        'https://attack.mitre.org/techniques/' || replace(mitre_id, '.', '/') AS url FROM (SELECT mitre_id, arg_min(technique_id, o) AS technique_id FROM (
+        SELECT f.*, row_number() OVER (ORDER BY f.host_id, s.process_id, f.ts, f.block_id, rule_no, pattern_no, hit_no) AS o FROM sfinds f JOIN sess s USING (session_id)) GROUP BY mitre_id)""",
+    "s12c_malware": f"""SELECT 'malware' AS type, {sid('malware', 'session_id')} AS id, session_id, 'Session ' || session_id AS name, false AS is_family, 'Tier: ' || tier || ' | Score: ' || printf('%.0f', score)
+        || '/100 | Host: ' || host_id || ' | Techniques: ' || array_to_string(tech, ', ') AS description FROM sess WHERE tier <> 'CLEAN'""",
+    "s12d_indicators": f"SELECT DISTINCT 'indicator' AS type, {sid('indicator', 'value')} AS id, left(value, 120) AS name, pattern FROM listed",
+    "i7_stix_patterns": f"SELECT value, {PATTERN} AS pattern FROM hub",
+    "s12e_relationships": f"""SELECT {sid('malware', 'session_id')} AS source_ref, 'uses' AS relationship_type, {sid('attack-pattern', 'mitre_id')} AS target_ref FROM (
+        SELECT DISTINCT session_id, mitre_id FROM sfinds WHERE session_id IN (SELECT session_id FROM sess WHERE tier <> 'CLEAN'))
+      UNION ALL SELECT {sid('indicator', 'value')}, 'indicates', {sid('malware', 'session_id')} FROM listed
+      UNION ALL SELECT {sid('malware', 'session_id')}, 'variant-of', {sid('malware', "malware_name || '-known'")} FROM (SELECT DISTINCT session_id, malware_name FROM hits
+        WHERE session_id IN (SELECT session_id FROM sess WHERE tier <> 'CLEAN'))""",
+    "s12f_known_malware": f"""SELECT 'malware' AS type, {sid('malware', "malware_name || '-known'")} AS id, malware_name AS name, true AS is_family, 'Source: ' || min(source) AS description FROM hits
+      WHERE session_id IN (SELECT session_id FROM sess WHERE tier <> 'CLEAN') GROUP BY malware_name""",
+    "t7_period_clusters": """SELECT session_id, s AS cluster_period, n AS cluster_size FROM (SELECT *, count(*) OVER (PARTITION BY s) AS n FROM (
+        SELECT session_id, (SELECT max(s) FROM (WITH RECURSIVE st(s) AS (SELECT min(period_seconds) FROM profiles UNION ALL
+            SELECT (SELECT min(period_seconds) FROM profiles WHERE period_seconds > st.s AND (period_seconds - st.s) / st.s > 0.10) FROM st WHERE st.s IS NOT NULL)
+          SELECT s FROM st WHERE s IS NOT NULL) WHERE s <= period_seconds) AS s FROM profiles)) WHERE n >= 2""",
     "j14_tactic_lookup": "SELECT DISTINCT session_id, mitre_id, tactic FROM sfinds JOIN tactics ON prefix = left(mitre_id, 5)",
     "j15_triage_status": """SELECT session_id, coalesce(t.status, 'unreviewed') AS status, coalesce(t.notes, '') AS notes FROM sess LEFT JOIN (
         SELECT * FROM triage WHERE status <> 'unreviewed') t USING (session_id)""",
@@ -216,15 +253,30 @@ RAW: dict[str, str] = {
 }
 
 SEARCH = """SELECT session_id, round(score, 1) AS weighted_score, tier AS alert_tier, total AS total_matches, block_id,
-    substring(decoded_text, greatest(1, at - 60), at - greatest(1, at - 60) + {n} + 60) AS context, CAST(at - greatest(1, at - 60) AS INTEGER) AS match_offset, {n} AS match_len
+    substring(decoded_text, greatest(1, apos - 60), apos - greatest(1, apos - 60) + {n} + 60) AS context, CAST(apos - greatest(1, apos - 60) AS INTEGER) AS match_offset, {n} AS match_len
   FROM search_hits JOIN (SELECT session_id, score, tier FROM sess WHERE session_id IN (SELECT session_id FROM search_hits) ORDER BY score DESC, session_id LIMIT 50) USING (session_id)
   WHERE rn <= 5"""
 SEARCH_TOP = """SELECT session_id, round(score, 1) AS weighted_score, total AS total_matches FROM search_hits JOIN (SELECT session_id, score FROM sess
     WHERE session_id IN (SELECT session_id FROM search_hits) ORDER BY score DESC, session_id LIMIT 50) USING (session_id) WHERE rn <= 1"""
 
 
+PHRASE_LIST = "list_filter([" + ", ".join(f"CASE WHEN list_contains(tech, {q(t)}) THEN {q(p)} END" for t, p in PHRASES) + "], lambda x: x IS NOT NULL)"
+NARRATIVE = f"""SELECT session_id, concat_ws(' ', 'At ' || strftime(start_time, '%H:%M:%S') || ' UTC on ' || host_id || ' (PID ' || process_id || '), a ' || replace(tempo, '_', ' ') || ' executed ' ||
+      block_count || ' script block' || CASE WHEN block_count <> 1 THEN 's' ELSE '' END || '.', CASE WHEN len(ph) > 0 THEN 'The session ' || array_to_string(ph, ', then ') || '.' END,
+      CASE WHEN n > 0 THEN 'Extracted IOCs: ' || top || CASE WHEN n > 5 THEN ' (and more)' ELSE '' END || '.' END,
+      CASE WHEN score > 20 THEN 'This session is part of campaign ' || substr(fingerprint, 1, 8) || ', indicating the same operator was active on other hosts.' END) AS narrative
+    FROM (SELECT s.*, f.fingerprint, i.n, i.top, {PHRASE_LIST} AS ph FROM sess s JOIN fprints f USING (session_id) LEFT JOIN (
+      SELECT session_id, count(*) AS n, array_to_string(list_sort(list(value))[1:5], ', ') AS top FROM members GROUP BY session_id) i USING (session_id))"""
+DETECTIONS = f"""SELECT technique_id, coalesce(c.title, array_to_string(list_transform(string_split(lower(technique_id), '_'), lambda w: upper(w[1]) || w[2:]), ' ')) AS title,
+    mitre_id AS mitre, {BAND.format(s='severity')} AS severity, CAST(coalesce(k.n, length('// ' || replace(technique_id, '_', ' ') || ' (' || mitre_id || ')') + 1
+      + length('Event | where EventID == 4104 | where EventData has ""') + least(50, length(matched_text))) AS INTEGER) AS kql_chars
+  FROM firsts LEFT JOIN content c USING (technique_id) LEFT JOIN (VALUES {values((t, len(render("kql", t, c[0], c[1], c[3], c[4]))) for t, c in CONTENT.items())}) AS k(technique_id, n) USING (technique_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     out = {name: with_ctes(text) for name, text in RAW.items()}
     out["p8_text_search"] = with_ctes(SEARCH, needle="license", n="7")
+    out["a27_narrative"] = with_ctes(NARRATIVE)
+    out["j9_detection_content"] = with_ctes(DETECTIONS)
     out["l8_search_top"] = with_ctes(SEARCH_TOP, needle="the")
     return out
