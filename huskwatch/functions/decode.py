@@ -196,6 +196,10 @@ def _apply(text: Column, step: Column) -> Column:
 
 def decode(text: Column, max_passes: int = MAX_PASSES) -> Column:
     """STRUCT(decoded, passes_run, transforms_applied, changed) for a text column."""
+    return let(text, lambda t: _decode(t, max_passes))
+
+
+def _decode(text: Column, max_passes: int) -> Column:
     last = len(TRANSFORMS) - 1
     names = F.array(*[F.lit(n) for n, _, _ in TRANSFORMS])
     none = F.array().cast("array<string>")

@@ -13,7 +13,7 @@ from huskwatch.functions import style
 from huskwatch.functions.decode import decode
 from huskwatch.functions.scoring import block_severity
 from huskwatch.functions.text import (block_hash, clean, credentials, indicators, let,
-                                      required_literal, shannon_entropy, terms)
+                                      required_literal, shannon_entropy, shared_pieces, terms)
 
 SIDE = 40        # context characters kept on each side of a hit
 FINDING = ("struct<rule_no:int,pattern_no:int,hit_no:int,rule_name:string,technique_id:string,"
@@ -29,18 +29,21 @@ def decode_blocks(blocks: DataFrame, text: str = "raw_text") -> DataFrame:
             .drop("_d"))
 
 
-def reassemble(blocks: DataFrame) -> DataFrame:
+def reassemble(blocks: DataFrame, bulky_parts: int = 100_000) -> DataFrame:
     """Merge complete multi-part blocks; pass singles and incomplete parts through.
 
-    Completeness is decided on a narrow count per block id, so the parts of an id that never
-    completes (possibly very many) are never gathered.
+    Completeness is decided on a narrow count per block id.  Parts of an id that has more than
+    ``bulky_parts`` of them and is not complete are set aside before the join, so they are never
+    brought together: there are at most (rows / bulky_parts) such ids, few enough to broadcast.
     """
     singles = blocks.filter(F.col("block_total") <= 1)
     parts = blocks.filter(F.col("block_total") > 1)
     counts = parts.groupBy("block_id").agg(
         F.count("*").alias("_n"),
         F.min_by("block_total", F.struct("block_number", "ts")).alias("_want"))
-    marked = parts.join(counts, "block_id", "left").withColumn("_complete", F.col("_n") == F.col("_want"))
+    bulky = F.broadcast(counts.filter((F.col("_n") > bulky_parts) & (F.col("_n") != F.col("_want"))).select("block_id"))
+    marked = (parts.join(bulky, "block_id", "left_anti").join(counts, "block_id")
+              .withColumn("_complete", F.col("_n") == F.col("_want")))
     other = [c for c in blocks.columns if c not in
              ("block_id", "block_number", "block_total", "raw_text", "decoded_text", "entropy")]
     merged = (marked.filter("_complete").groupBy("block_id")
@@ -55,7 +58,8 @@ def reassemble(blocks: DataFrame) -> DataFrame:
     columns = [c for c in blocks.columns if c != "entropy"]
     out = (singles.select(columns)
            .unionByName(merged.select(columns))
-           .unionByName(marked.filter(~F.col("_complete")).select(columns)))
+           .unionByName(marked.filter(~F.col("_complete")).select(columns))
+           .unionByName(parts.join(bulky, "block_id", "left_semi").select(columns)))
     return out.withColumn("entropy", shannon_entropy(F.col("raw_text"))) if "entropy" in blocks.columns else out
 
 
@@ -90,33 +94,44 @@ def _hits(text: Column, regex: Column) -> Column:
 def rule_hits(text: Column, rules: list[Rule]) -> Column:
     """Findings array of a text: every hit of every pattern, in rule, pattern and text order.
 
-    The catalogue is a constant array.  A substring gate (the literal a match must contain) picks
-    the few patterns worth running; only those run as regular expressions.
+    The catalogue is a constant array.  Two substring gates (a short piece shared by many patterns,
+    then the literal a match must contain) pick the few patterns worth running as regular
+    expressions.
     """
-    entries = []
+    gates = {p: required_literal(p) for rule in rules for p in rule.patterns}
+    pieces = shared_pieces(sorted(set(gates.values())))
+    groups: dict[str, list[Column]] = {}
     for rule_no, rule in enumerate(rules):
         for pattern_no, pattern in enumerate(rule.patterns):
-            entries.append(F.struct(
+            groups.setdefault(pieces[gates[pattern]], []).append(F.struct(
                 F.lit(rule_no).alias("rule_no"), F.lit(pattern_no).alias("pattern_no"),
-                F.lit(required_literal(pattern)).alias("gate"),
-                F.lit("(?imdU)" + pattern).alias("regex"), F.lit(rule.name).alias("rule_name"),
+                F.lit(gates[pattern]).alias("gate"),
+                F.lit(pattern).alias("regex"), F.lit(rule.name).alias("rule_name"),
                 F.lit(rule.technique_id).alias("technique_id"), F.lit(rule.mitre_id).alias("mitre_id"),
                 F.lit(rule.severity).alias("severity")))
-    catalogue = F.array(*entries)
+    catalogue = F.array(*[F.struct(F.lit(piece).alias("piece"), F.array(*entries).alias("entries"))
+                          for piece, entries in groups.items()])
     # Letters outside ASCII that a case-insensitive match takes for i, s or k.
-    folded = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(
-        F.lower(F.translate(text, "İıſK", "iisk")))
+    ascii_only = F.octet_length(text) == F.length(text)
+    folded = F.when(ascii_only | ~text.rlike("[İıſK]"), F.lower(text)).otherwise(
+        F.lower(F.translate(text, "İıſK", "iisk")))
+    # Pure ASCII texts need no Unicode classes, which are much slower.
+    flags = F.when(ascii_only, "(?imd)").otherwise("(?imdU)")
 
     def run(p: Column) -> Column:
-        return F.transform(F.coalesce(_hits(text, p.getField("regex")), F.array().cast(
+        found = let(F.concat(flags, p.getField("regex")), lambda regex: _hits(text, regex))
+        return F.transform(F.coalesce(found, F.array().cast(
             "array<struct<hit_no:int,matched_text:string,context:string>>")), lambda h: F.struct(
                 p.getField("rule_no").alias("rule_no"), p.getField("pattern_no").alias("pattern_no"),
                 h.getField("hit_no").alias("hit_no"), p.getField("rule_name").alias("rule_name"),
                 p.getField("technique_id").alias("technique_id"), p.getField("mitre_id").alias("mitre_id"),
                 p.getField("severity").alias("severity"), h.getField("matched_text").alias("matched_text"),
                 h.getField("context").alias("context"), F.lit(1.0).alias("confidence")))
-    gated = let(folded, lambda low: F.filter(catalogue, lambda p: F.contains(low, p.getField("gate"))))
-    return F.flatten(F.transform(gated, run)).cast(f"array<{FINDING}>")
+    def gated(low: Column) -> Column:
+        near = F.filter(catalogue, lambda g: F.contains(low, g.getField("piece")))
+        return F.sort_array(F.flatten(F.transform(near, lambda g: F.filter(
+            g.getField("entries"), lambda p: F.contains(low, p.getField("gate"))))))
+    return F.flatten(F.transform(let(folded, gated), run)).cast(f"array<{FINDING}>")
 
 
 def entropy_fallback(text: Column, entropy: Column, above: float = 6.0) -> Column:

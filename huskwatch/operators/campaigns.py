@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from huskwatch.functions.style import combine_profiles, join_style
 
 
-def session_fingerprints(rows: DataFrame, slice_seconds: int = 600) -> DataFrame:
+def session_fingerprints(rows: DataFrame, slice_seconds: int = 60) -> DataFrame:
     """Fingerprint of every session from the style columns of its block rows.
 
     Two levels: time slices of a session first, then the slices, so that a session with very many

@@ -105,7 +105,7 @@ def hardening(sessions: DataFrame, advice: DataFrame, min_score: float = 40) ->
     detected = sessions.filter(F.col("weighted_score") >= min_score).select(
         F.explode("technique_set").alias("technique_id")).distinct()
     general = advice.filter(F.col("technique_id") == "")
-    triggered = F.broadcast(advice).join(detected, "technique_id", "left_semi")
+    triggered = advice.join(F.broadcast(detected), "technique_id", "left_semi")     # detected: at most one row per technique
     return general.unionByName(triggered).withColumn("priority_rank", band_rank(F.col("priority")))
 
 

@@ -36,24 +36,26 @@ def host_processes(processes: DataFrame, n: int = 50) -> DataFrame:
     return first_per(processes, ["host_id"], [F.col("ts"), F.col("process_id"), F.col("process_name")], n)
 
 
-def session_logons(sessions: DataFrame, logons: DataFrame, margin_seconds: int = 300, n: int | None = 30,
-                   bucket_seconds: int = 3600) -> DataFrame:
+def session_logons(sessions: DataFrame, logons: DataFrame, margin_seconds: int = 300, n: int = 30,
+                   bucket_seconds: int = 300) -> DataFrame:
     """Logons on the session's host within ``margin_seconds`` of the session, first ``n`` per session.
 
-    Both sides carry an hour bucket, so a busy host spreads over many join keys.
+    Both sides meet on (host, time bucket), so a busy host spreads over many keys.  Of a bucket that
+    a session enters at its start only the first ``n`` logons can be among the session's first
+    ``n``; only the bucket in which the session's window begins is looked at whole.
     """
+    order = [F.col("ts"), F.col("username"), F.col("target_host")]
     low = F.col("start_time") - F.make_dt_interval(secs=F.lit(margin_seconds))
     high = F.col("end_time") + F.make_dt_interval(secs=F.lit(margin_seconds))
     windows = (sessions.filter(F.col("start_time").isNotNull())
                .select("session_id", "host_id", low.alias("low"), high.alias("high"))
-               .withColumn("bucket", F.explode(F.sequence(
-                   F.floor(F.unix_seconds("low") / bucket_seconds), F.floor(F.unix_seconds("high") / bucket_seconds)))))
-    events = logons.withColumn("bucket", F.floor(F.unix_seconds("ts") / bucket_seconds))
-    hits = windows.join(events, ["host_id", "bucket"]).filter(F.col("ts").between(F.col("low"), F.col("high"))).drop(
-        "bucket", "low", "high")
-    if n is None:
-        return hits
-    return first_per(hits, ["session_id"], [F.col("ts"), F.col("username"), F.col("target_host")], n)
+               .withColumn("first_bucket", F.floor(F.unix_seconds("low") / bucket_seconds))
+               .withColumn("bucket", F.explode(F.sequence("first_bucket", F.floor(F.unix_seconds("high") / bucket_seconds)))))
+    events = logons.withColumn("bucket", F.floor(F.unix_seconds("ts") / bucket_seconds)).withColumn(
+        "place", F.row_number().over(Window.partitionBy("host_id", "bucket").orderBy(*order)))
+    hits = windows.join(events, ["host_id", "bucket"]).filter(
+        ((F.col("place") <= n) | (F.col("bucket") == F.col("first_bucket"))) & F.col("ts").between(F.col("low"), F.col("high")))
+    return first_per(hits.drop("bucket", "first_bucket", "place", "low", "high"), ["session_id"], order, n)
 
 
 def lateral_moves(sessions: DataFrame, techniques: dict | None = None, before: int = 60, after: int = 1800) -> DataFrame:

@@ -33,7 +33,8 @@ class Tables:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def t(self, name: str) -> DataFrame:
-        return A.table(self.spark, self.folder, name)
+        rows = A.table(self.spark, self.folder, name)
+        return A.spread(rows) if name in ("documents", "pages") else rows
 
     @cached_property
     def hunt(self) -> Hunt:

@@ -54,33 +54,45 @@ def reassemble(parts: DataFrame, lateness: str = "10 minutes", wait_seconds: int
     the watermark is ``wait_seconds`` past their first part.
 
     State per block id holds its parts.  A block completes when the number of parts equals the
-    total given by its first part.
+    total given by its first part.  Once an id has more parts than that it can no longer complete:
+    its parts are passed on and later ones go straight through, so state stays small.
     """
     fields = ["block_id", "block_number", "block_total", "host_id", "process_id", "ts", "raw_text"]
     out_schema = ("block_id string, block_number int, block_total int, host_id string, process_id int, ts timestamp, raw_text string")
-    state_schema = "numbers array<int>, totals array<int>, hosts array<string>, pids array<int>, times array<timestamp>, texts array<string>"
+    state_schema = ("overfull boolean, numbers array<int>, totals array<int>, hosts array<string>, pids array<int>, "
+                    "times array<timestamp>, texts array<string>")
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(zip(*state.get)) if state.exists else []
+        def single(rows) -> pd.DataFrame:
+            return pd.DataFrame([(key[0], *r) for r in rows], columns=fields)
+
+        overfull, *columns = state.get if state.exists else (False, [], [], [], [], [], [])
+        held = list(zip(*columns))
         if state.hasTimedOut:
             state.remove()
-            yield pd.DataFrame([(key[0], n, t, h, p, ts, x) for n, t, h, p, ts, x in sorted(held, key=lambda r: r[0])], columns=fields)
+            if held:
+                yield single(sorted(held, key=lambda r: r[0]))
             return
         for frame in frames:
-            held += list(zip(frame.block_number, frame.block_total, frame.host_id, frame.process_id, frame.ts, frame.raw_text))
-        held.sort(key=lambda r: (r[0], r[4]))
-        first = held[0]
-        if len(held) == first[1]:
+            rows = list(zip(frame.block_number, frame.block_total, frame.host_id, frame.process_id, frame.ts, frame.raw_text))
+            if overfull:
+                yield single(rows)
+                continue
+            held = sorted(held + rows, key=lambda r: (r[0], r[4]))
+            if len(held) > held[0][1]:
+                yield single(held)
+                overfull, held = True, []
+        if held and len(held) == held[0][1]:
+            first = held[0]
             if state.exists:
                 state.remove()
-            yield pd.DataFrame([(key[0], 1, 1, first[2], first[3], first[4], "".join(r[5] for r in held))], columns=fields)
+            yield single([(1, 1, first[2], first[3], first[4], "".join(r[5] for r in held))])
             return
-        columns = [list(c) for c in zip(*held)]
-        columns[0], columns[1], columns[3] = ([int(v) for v in c] for c in (columns[0], columns[1], columns[3]))
-        columns[4] = [pd.Timestamp(v).to_pydatetime() for v in columns[4]]
-        state.update(tuple(columns))
-        due = int(min(v.timestamp() for v in columns[4]) * 1000) + wait_seconds * 1000
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        numbers, totals, hosts, pids, times, texts = [list(c) for c in zip(*held)] if held else ([], [], [], [], [], [])
+        times = [pd.Timestamp(v).to_pydatetime() for v in times]
+        state.update((overfull, [int(v) for v in numbers], [int(v) for v in totals], hosts, [int(v) for v in pids], times, texts))
+        since = min((v.timestamp() * 1000 for v in times), default=state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(max(int(since) + wait_seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
     timed = parts.select(*fields).withWatermark("ts", lateness)
     return timed.groupBy("block_id").applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)

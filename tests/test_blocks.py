@@ -93,6 +93,13 @@ def test_reassembly(spark, make_blocks):
     assert (m.raw_text, m.decoded_text, m.block_total, m.ts.second) == ("one-two", "ONE-TWO", 1, 0)
 
 
+def test_bulky_incomplete_ids_pass_through(spark, make_blocks):
+    parts = make_blocks(*[{"id": "hot", "number": i % 5, "total": 4, "sec": i} for i in range(30)], {"id": "m", "number": 1, "total": 2, "text": "a"},
+                        {"id": "m", "number": 2, "total": 2, "text": "b"})
+    rows = reassemble(parts, bulky_parts=10).collect()
+    assert sorted(r.raw_text for r in rows) == ["ab"] + ["x"] * 30
+
+
 def test_decode_feeds_rules(spark, make_blocks):
     blocks = decode_blocks(make_blocks(("In`voke-Mim`ikatz", 0)).drop("decoded_text"))
     assert [f.technique_id for f in classify(blocks).first().findings] == ["CRED_HARVEST"]

@@ -147,6 +147,9 @@ def test_stream_reassembly_and_deduplication(spark, tmp_path):
         [part("v", 1, 1, "end", "2024-06-01T13:00:00Z")]])
     got = {(r.block_id, r.block_number, r.raw_text) for r in run(jobs.reassemble(jobs.read_records(spark, str(tmp_path / "in"), 1)), "r1")}
     assert {("m", 1, "one-two"), ("i", 1, "lone"), ("s", 1, "single")} <= got
+    feed_files(tmp_path / "over", [[part("o", 1, 2, "a", "2024-06-01T10:00:00Z"), part("o", 2, 2, "b", "2024-06-01T10:00:01Z"), part("o", 2, 2, "c", "2024-06-01T10:00:02Z")],
+                                   [part("o", 2, 2, "d", "2024-06-01T10:00:03Z")]])
+    assert sorted(r.raw_text for r in run(jobs.reassemble(jobs.read_records(spark, str(tmp_path / "over"), 1)), "r2")) == ["a", "b", "c", "d"]
     feed_files(tmp_path / "dup", [[part("d", 1, 1, "x", "2024-06-01T10:00:00Z")], [part("d", 1, 1, "x", "2024-06-01T10:00:00Z"), part("d", 2, 2, "y", "2024-06-01T10:00:00Z")]])
     assert len(run(jobs.deduplicate(jobs.read_records(spark, str(tmp_path / "dup"), 1)), "d1")) == 2
 
