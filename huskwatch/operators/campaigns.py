@@ -41,7 +41,7 @@ def fingerprint_hash():
     text = F.concat_ws("|", F.array_join(F.transform("char_code_offsets", lambda c: c.cast("string")), ","),
                        F.col("iex_nesting_depth").cast("string"),
                        F.coalesce("string_join_style", F.lit("none")),
-                       F.format_string("%.1f", F.col("backtick_density")),
+                       F.format_string("%.1f", F.round("backtick_density", 1)),
                        F.col("format_string_slots").cast("string"))
     return F.substring(F.sha2(text, 256), 1, 16)
 

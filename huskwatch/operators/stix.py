@@ -71,7 +71,7 @@ def notes(sessions: DataFrame, members: DataFrame, beacons: DataFrame | None = N
         line = F.when(F.col("period_seconds").isNotNull(), line)
     content = F.concat_ws(
         "\n", F.concat(F.lit("Session ID: "), "session_id"), F.concat(F.lit("Host: "), "host_id"),
-        F.concat(F.lit("Alert Tier: "), "alert_tier"), F.format_string("Score: %.1f/100", F.col("weighted_score")),
+        F.concat(F.lit("Alert Tier: "), "alert_tier"), F.format_string("Score: %.1f/100", F.round(F.round("weighted_score", 6), 1)),
         F.concat(F.lit("Blocks: "), F.col("block_count").cast("string")),
         F.concat(F.lit("IOC count: "), F.coalesce("ioc_n", F.lit(0)).cast("string")),
         F.concat(F.lit("Techniques: "), F.when(F.size("technique_set") > 0, F.array_join("technique_set", ", ")).otherwise("none")), line)

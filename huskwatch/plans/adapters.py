@@ -47,24 +47,26 @@ def at(seconds):
 
 
 def doc_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents and web pages as script blocks; the stand-in decode marks secret tokens."""
+    """Documents and web pages as script blocks.  Every fourth document carries backticks in its raw
+    text; the decoded text is without them and has secret tokens marked."""
     docs = table(spark, folder, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("block_id"), F.col("source").alias("host_id"),
         (F.floor(F.col("doc_id") / 20) % 6).cast("int").alias("process_id"),
         at(F.col("doc_id") * 37 + F.col("doc_id") * F.col("doc_id") % 4001).alias("ts"),
         F.concat(F.lit("C:\\data\\"), "lang", F.lit("\\"), "source", F.lit(".txt")).alias("path"),
-        F.col("text").alias("raw_text"))
+        F.when(F.col("doc_id") % 4 == 0, F.replace("text", F.lit("y"), F.lit("`y"))).otherwise(F.col("text")).alias("raw_text"), "text")
     pages = table(spark, folder, "pages").select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("block_id"),
         F.concat(F.lit("src"), (F.col("page_id") % 20).cast("string")).alias("host_id"),
         (F.floor(F.col("page_id") / 20) % 6).cast("int").alias("process_id"),
         at(F.col("page_id") * 149 + F.col("page_id") * F.col("page_id") % 4001).alias("ts"),
-        F.lit("").alias("path"), F.concat("url", F.lit("\n"), "html").alias("raw_text"))
+        F.lit("").alias("path"), F.concat("url", F.lit("\n"), "html").alias("raw_text"),
+        F.concat("url", F.lit("\n"), "html").alias("text"))
     both = spread(docs).unionByName(spread(pages))
     return both.select(
         "block_id", F.lit(1).alias("block_number"), F.lit(1).alias("block_total"), "host_id", "process_id",
         F.lit(0).alias("thread_id"), "ts", "path", "raw_text",
-        F.regexp_replace("raw_text", 'token = "([0-9a-f]+)"', "[PLAINTEXT_CRED:$1]").alias("decoded_text"),
+        F.regexp_replace("text", 'token = "([0-9a-f]+)"', "[PLAINTEXT_CRED:$1]").alias("decoded_text"),
         shannon_entropy(F.col("raw_text")).alias("entropy"))
 
 

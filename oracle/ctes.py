@@ -93,10 +93,10 @@ CTES = {
     ) + ") AS t(rule_no, pattern_no, rule_name, technique_id, mitre_id, severity, pattern)",
     "blocks": """SELECT 'd' || doc_id AS block_id, source AS host_id, CAST((doc_id // 20) % 6 AS INTEGER) AS process_id,
         TIMESTAMP '2024-01-01' + to_seconds(doc_id * 37 + doc_id * doc_id % 4001) AS ts,
-        'C:\\data\\' || lang || '\\' || source || '.txt' AS path, text AS raw_text FROM documents
+        'C:\\data\\' || lang || '\\' || source || '.txt' AS path, CASE WHEN doc_id % 4 = 0 THEN replace(text, 'y', '`y') ELSE text END AS raw_text, text FROM documents
       UNION ALL SELECT 'p' || page_id, 'src' || (page_id % 20), CAST((page_id // 20) % 6 AS INTEGER),
-        TIMESTAMP '2024-01-01' + to_seconds(page_id * 149 + page_id * page_id % 4001), '', url || chr(10) || html FROM pages""",
-    "decoded": """SELECT *, regexp_replace(raw_text, 'token = "([0-9a-f]+)"', '[PLAINTEXT_CRED:\\1]', 'g') AS decoded_text FROM blocks""",
+        TIMESTAMP '2024-01-01' + to_seconds(page_id * 149 + page_id * page_id % 4001), '', url || chr(10) || html, url || chr(10) || html FROM pages""",
+    "decoded": """SELECT * EXCLUDE (text), regexp_replace(text, 'token = "([0-9a-f]+)"', '[PLAINTEXT_CRED:\\1]', 'g') AS decoded_text FROM blocks""",
     "ent": """SELECT block_id, -sum(c / n * log2(c / n)) AS e FROM (
         SELECT block_id, ch, count(*)::DOUBLE AS c, any_value(n)::DOUBLE AS n FROM (
           SELECT block_id, length(raw_text) AS n, unnest(string_split(raw_text, '')) AS ch FROM blocks) WHERE n > 0 GROUP BY block_id, ch)
@@ -160,7 +160,7 @@ CTES = {
       LEFT JOIN (SELECT session_id, max(s - least(0, lo)) AS depth FROM (
           SELECT *, min(s) OVER (PARTITION BY session_id ORDER BY ts, block_id, pos ROWS UNBOUNDED PRECEDING) AS lo FROM (
             SELECT *, sum(d) OVER (PARTITION BY session_id ORDER BY ts, block_id, pos ROWS UNBOUNDED PRECEDING) AS s FROM parens)) GROUP BY session_id) p USING (session_id)""",
-    "fprints": "SELECT *, substr(sha256('|0|' || coalesce(style, 'none') || '|' || printf('%.1f', density) || '|0'), 1, 16) AS fingerprint FROM prints",
+    "fprints": "SELECT *, substr(sha256('|0|' || coalesce(style, 'none') || '|' || printf('%.1f', round(density, 1)) || '|0'), 1, 16) AS fingerprint FROM prints",
     "camps": """SELECT substr(fingerprint, 1, 8) AS campaign_id, count(*) AS session_count, count(DISTINCT host_id) AS host_count, min(start_time) AS first_seen,
         max(start_time) AS last_seen, max(max_severity) AS peak_severity, count(DISTINCT host_id) >= 2 AND count(*) >= 3 AS is_confirmed
       FROM fprints WHERE score > 20 GROUP BY fingerprint""",

@@ -181,7 +181,7 @@ RAW: dict[str, str] = {
     "s12c_malware": f"""SELECT 'malware' AS type, {sid('malware', 'session_id')} AS id, session_id, 'Session ' || session_id AS name, false AS is_family, 'Tier: ' || tier || ' | Score: ' || printf('%.0f', score)
         || '/100 | Host: ' || host_id || ' | Techniques: ' || array_to_string(tech, ', ') AS description FROM sess WHERE tier <> 'CLEAN'""",
     "s12c_notes": f"""SELECT {sid('note', "session_id || '-note'")} AS id, 'Session ID: ' || session_id || chr(10) || 'Host: ' || host_id || chr(10) || 'Alert Tier: ' || tier || chr(10)
-        || 'Score: ' || printf('%.1f', score) || '/100' || chr(10) || 'Blocks: ' || block_count || chr(10) || 'IOC count: ' || coalesce(n, 0) || chr(10) || 'Techniques: '
+        || 'Score: ' || printf('%.1f', round(round(score, 6), 1)) || '/100' || chr(10) || 'Blocks: ' || block_count || chr(10) || 'IOC count: ' || coalesce(n, 0) || chr(10) || 'Techniques: '
         || CASE WHEN len(tech) > 0 THEN array_to_string(tech, ', ') ELSE 'none' END AS content
       FROM sess LEFT JOIN (SELECT session_id, count(*) AS n FROM members GROUP BY session_id) m USING (session_id) WHERE tier <> 'CLEAN'""",
     "s12d_indicators": f"SELECT DISTINCT 'indicator' AS type, {sid('indicator', 'value')} AS id, left(value, 120) AS name, pattern FROM listed",
