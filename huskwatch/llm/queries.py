@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huskwatch.llm import bpe, decontaminate
+from huskwatch.llm import bpe, decontaminate, linededup, simhash, substring
 from huskwatch.llm.common import table
 
 
@@ -17,6 +17,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.digest(table(spark, folder, "documents"))
+
+
+def op3_substring(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.digest(table(spark, folder, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -25,7 +33,11 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(table(spark, folder, "documents"), vocabulary())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_decontamination, op7_bpe)}
+def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.digest(table(spark, folder, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_substring, op5_decontamination, op7_bpe, op9_line_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -44,6 +56,20 @@ named as (select r, count(*) as n_items, sha256(string_agg(s, ',' order by s)) a
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
        coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from docs left join hits using (r) left join named using (r)""",
+    "op9_line_dedup": r"""
+with docs as (select row_number() over () as r, doc_id, text from documents),
+parts as (select r, doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as p from docs where text is not null),
+lines as (select *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as s from parts),
+full_lines as (select *, row_number() over (partition by r order by p) as n from lines where s <> ''),
+three as (select r, doc_id, n, s as a, lead(s, 1) over w as b, lead(s, 2) over w as c from full_lines window w as (partition by r order by n)),
+firsts as (select *, min(row(doc_id, n)) over (partition by a, b, c) as f from three where c is not null),
+gone as (select distinct r, unnest(range(n, n + 3)) as n from firsts where row(doc_id, n) > f),
+marked as (select l.r, l.p, l.line, g.n is not null as gone from lines l left join full_lines u using (r, p) left join gone g on g.r = u.r and g.n = u.n),
+left_over as (select r, string_agg(line, chr(10) order by p) as kept from marked where not gone group by r),
+numbers as (select r, count(*) as n_lines from full_lines group by r),
+removed as (select r, count(*) as n_removed from gone group by r)
+select doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from docs left join left_over using (r) left join numbers using (r) left join removed using (r)""",
 }
 
 
