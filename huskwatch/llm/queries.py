@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huskwatch.llm import bpe, decontaminate, linededup, simhash, substring
+from huskwatch.llm import bpe, chat, decontaminate, linededup, simhash, substring, warc
 from huskwatch.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.digest(table(spark, folder, "documents"))
 
 
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.digest(table(spark, folder, "pages"))
+
+
 def op3_substring(spark: SparkSession, folder: str) -> DataFrame:
     return substring.digest(table(spark, folder, "documents"))
 
@@ -33,16 +37,26 @@ def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(table(spark, folder, "documents"), vocabulary())
 
 
+def op8_chat(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.digest(chat.with_probe(table(spark, folder, "conversations")))
+
+
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.digest(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op3_substring, op5_decontamination, op7_bpe, op9_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_warc, op3_substring, op5_decontamination, op7_bpe, op8_chat, op9_line_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+with rows as (select page_id, coalesce(html, '') as html from pages),
+firsts as (select html, min(page_id) as f from rows where octet_length(encode(html)) >= 100 group by html having count(*) > 1),
+joined as (select r.page_id, r.html, f, f is not null and r.page_id is distinct from f as again from rows r left join firsts using (html))
+select page_id, cast(octet_length(encode(html)) as bigint) as payload_bytes, sha256(html) as payload_digest,
+       case when again then 'revisit' else 'response' end as record_type, case when again then f end as refers_to from joined""",
     "op5_decontamination": f"""
 with items as (select item_id, {_ITEM_WORDS} as w from benchmark),
 places as (select item_id, w, least(len(w), 10) as size, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from items where len(w) > 0),
@@ -56,6 +70,17 @@ named as (select r, count(*) as n_items, sha256(string_agg(s, ',' order by s)) a
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
        coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from docs left join hits using (r) left join named using (r)""",
+    "op8_chat": r"""
+with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+counted as (select *, length(role) + length(text) as plain,
+  length(role || '|' || text) - length(replace(role || '|' || text, chr(92), '')) as slashes,
+  len(regexp_extract_all(role || '|' || text, '</?s>|<</?SYS>>|\[/?INST\]')) as marks from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+       cast(sum(plain + slashes + marks + 23) as bigint) as formatted_chars
+from counted group by conv_id""",
     "op9_line_dedup": r"""
 with docs as (select row_number() over () as r, doc_id, text from documents),
 parts as (select r, doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as p from docs where text is not null),
