@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huskwatch.llm import bpe, chat, decontaminate, linededup, simhash, substring, warc
+from huskwatch.llm import bpe, chat, decontaminate, linededup, quality, simhash, substring, warc
 from huskwatch.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_substring(spark: SparkSession, folder: str) -> DataFrame:
     return substring.digest(table(spark, folder, "documents"))
 
 
+def op4_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -45,7 +49,7 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.digest(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_warc, op3_substring, op5_decontamination, op7_bpe, op8_chat, op9_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_warc, op3_substring, op4_quality, op5_decontamination, op7_bpe, op8_chat, op9_line_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -38,7 +38,7 @@ def test_salvage_recovers_everything_around_damage(compressed):
 
 def test_salvage_of_odd_files():
     assert names(b"") == ([], [])
-    assert names(b"no archive at all") == ([], [(0, 17, "version line")])
+    assert names(b"no archive at all") == ([], [(0, 17, "header end")])
     whole = b"".join(archive([(1, b"a"), (2, b"b" * 3_000_000)], True))
     assert names(b"junk" * 20 + whole)[0] == [1, 2]
     assert names(whole[:-5])[0] == [1]
