@@ -10,13 +10,16 @@ from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Distinct text pieces whose ids a Python worker remembers; it then starts anew. Results do not depend on it.
-REMEMBERED = 200_000
+REMEMBERED = 150_000
+#: Rows whose ids and texts a worker holds at once.
+_ROWS = 256
 
 
 def byte_symbols() -> dict[int, str]:
@@ -243,17 +246,24 @@ def coded(docs: DataFrame, vocabulary: str) -> DataFrame:
     Null texts count as empty: no ids, empty text. The vocabulary text is broadcast; its size does not depend on the rows."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(docs.sparkSession, vocabulary))
 
-    @F.pandas_udf("n_tokens long, ids binary, decoded string")
-    def bpe(texts: pd.Series) -> pd.DataFrame:
-        own = codec(spec.value)
-        rows = []
-        for text in texts:
-            raw = own.encode(text) if text else b""
-            rows.append((len(raw) // 4, raw, own.decode(memoryview(raw).cast("I"))))
-        return pd.DataFrame(rows, columns=["n_tokens", "ids", "decoded"])
-
     names = [c for c in docs.columns if c != "bpe"]
-    return docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("bpe", bpe(F.col("text")))
+    rows = docs.select(*[F.col(f"`{c}`") for c in names])
+    kind = T.StructType([*rows.schema.fields, T.StructField("bpe", T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))])
+    at = names.index("text")
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(spec.value)
+        struct = pa.struct([("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
+        for batch in batches:
+            for part in (batch.slice(i, _ROWS) for i in range(0, batch.num_rows, _ROWS)):
+                out = []
+                for text in part.column(at):
+                    raw = own.encode(t) if (t := text.as_py()) else b""
+                    out.append((len(raw) // 4, raw, own.decode(memoryview(raw).cast("I"))))
+                fields = [pa.array([x[i] for x in out], struct.field(i).type) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(fields, fields=list(struct))], names=[*names, "bpe"])
+
+    return rows.mapInArrow(code, kind)
 
 
 def digest(docs: DataFrame, vocabulary: str) -> DataFrame:

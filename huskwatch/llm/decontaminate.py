@@ -199,7 +199,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
 
     @F.pandas_udf("string")
     def removed(texts: pd.Series, ranges: pd.Series) -> pd.Series:
-        return pd.Series([without_spans(t, [(x["start"], x["end"]) for x in r]).decode("utf-8", "replace") for t, r in zip(texts, ranges, strict=True)], dtype=object)
+        return pd.Series([without_spans(t, [(x["start"], x["end"]) for x in r]).decode("utf-8", "replace") if t and len(r) else None
+                          for t, r in zip(texts, ranges, strict=True)], dtype=object)
 
     found = contaminated(docs.select(*names), benchmark, window)
     found = found.where(F.col("leak.n_hit") <= max_coverage * F.col("leak.n_words"))
