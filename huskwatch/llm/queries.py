@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huskwatch.llm import bpe, chat, decontaminate, linededup, quality, simhash, substring, warc
+from huskwatch.llm import bpe, chat, decontaminate, html, linededup, quality, simhash, substring, warc
 from huskwatch.llm.common import table
 
 
@@ -37,6 +37,10 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.digest(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op6_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extracted(table(spark, folder, "pages"))
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digest(table(spark, folder, "documents"), vocabulary())
 
@@ -49,7 +53,7 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.digest(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_warc, op3_substring, op4_quality, op5_decontamination, op7_bpe, op8_chat, op9_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_warc, op3_substring, op4_quality, op5_decontamination, op6_html, op7_bpe, op8_chat, op9_line_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
