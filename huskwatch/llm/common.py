@@ -47,6 +47,16 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row as a struct ``row_``, so that a column an operator adds clashes with none of the row's."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"))
+
+
+def restored(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of the rows that nested() put away, but for those given anew."""
+    return df.select(*[changed.get(c, F.col("row_")[c]).alias(c) for c in columns])
+
+
 def merged(ranges) -> list[tuple[int, int]]:
     """Sorted disjoint half-open ranges that cover the given ones."""
     out: list[list[int]] = []

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huskwatch.llm.common import merged
+from huskwatch.llm.common import merged, nested, restored
 
 WINDOW = 10
 #: Words of one automaton; a larger benchmark is cut into several, which the documents pass one after the other.
@@ -194,18 +194,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """Documents without the spans that match the benchmark.
 
     A document with a larger share of hit words than ``max_coverage`` goes as a whole. All other columns stay as they are;
-    a text without hits, null included, is unchanged. A column named ``leak`` in the input is not kept."""
-    names = [c for c in docs.columns if c != "leak"]
+    a text without hits, null included, is unchanged."""
 
     @F.pandas_udf("string")
     def removed(texts: pd.Series, ranges: pd.Series) -> pd.Series:
         return pd.Series([without_spans(t, [(x["start"], x["end"]) for x in r]).decode("utf-8", "replace") if t and len(r) else None
                           for t, r in zip(texts, ranges, strict=True)], dtype=object)
 
-    found = contaminated(docs.select(*names), benchmark, window)
+    found = contaminated(nested(docs), benchmark, window)
     found = found.where(F.col("leak.n_hit") <= max_coverage * F.col("leak.n_words"))
     text = F.when(F.col("leak.n_hit") > 0, removed(F.col("text").cast("binary"), F.col("leak.ranges"))).otherwise(F.col("text"))
-    return found.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names])
+    return restored(found, docs.columns, text=text)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

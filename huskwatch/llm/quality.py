@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huskwatch.llm.common import SPACES
+from huskwatch.llm.common import SPACES, nested, restored
 
 MIN_WORDS = 50
 MAX_REPEATED = 0.5
@@ -206,8 +206,7 @@ def judged(docs: DataFrame, field: Field) -> DataFrame:
 
 def accepted(docs: DataFrame, field: Field) -> DataFrame:
     """The documents that are kept, with the columns they had."""
-    names = [c for c in docs.columns if c != "rules"]
-    return judged(docs, field).where("rules.kept").select(*[F.col(f"`{c}`") for c in names])
+    return restored(judged(nested(docs), field).where("rules.kept"), docs.columns)
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huskwatch.llm import bpe, chat, decontaminate, html, linededup, quality, simhash, substring, warc
+from huskwatch.llm import bpe, chat, decontaminate, html, linededup, lm, quality, simhash, substring, warc
 from huskwatch.llm.common import table
 
 
@@ -53,7 +53,17 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linededup.digest(table(spark, folder, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_warc, op3_substring, op4_quality, op5_decontamination, op6_html, op7_bpe, op8_chat, op9_line_dedup)}
+def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.digest(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_warc, op3_substring, op4_quality, op5_decontamination, op6_html, op7_bpe, op8_chat, op9_line_dedup, op10_lm, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -78,4 +78,4 @@ def test_edge_cases(spark):
     got = quality.digest(docs, labels)
     assert sorted((str(r["doc_id"]), r["n_words"], r["base_failed"], r["kept"]) for r in got.collect()) == [
         ("1", 0, True, False), ("2", 0, True, False), ("2", 100_000, True, False), ("None", 2, True, False), ("None", 2, True, False)]
-    assert quality.accepted(docs.limit(0), quality.train(docs, labels)).columns == ["doc_id", "text"]
+    assert quality.accepted(docs.limit(0), quality.train(docs, labels)).columns == docs.columns
