@@ -18,7 +18,7 @@ RUN = 3
 #: Cells of the table that finds frequent fingerprints; its size does not depend on the input.
 CELLS = 1 << 20
 #: Fingerprints in cells above this and above four times the mean are dealt out by whole windows instead.
-FREQUENT = 20_000
+FREQUENT = 1000
 _SCOPE = 1 << 17
 _SIZE = 16
 
