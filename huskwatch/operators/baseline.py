@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from huskwatch.catalog.lookups import UNIVERSAL_TERMS
 from huskwatch.functions.text import normalise_path
 
-MAX_TERMS, MAX_SAMPLES = 5000, 2000
-
 
 @dataclass
 class Baseline:
@@ -43,13 +41,14 @@ def extend(old: Baseline, new: Baseline) -> Baseline:
         observed=old.observed.unionByName(new.observed).agg(F.sum("n").alias("n")))
 
 
-def save(baseline: Baseline, folder: str) -> None:
-    """Write the baseline; the most frequent terms and the latest entropy samples are kept."""
-    baseline.vocab.orderBy(F.desc("n"), "term").limit(MAX_TERMS).write.mode("overwrite").parquet(f"{folder}/vocab")
+def save(baseline: Baseline, folder: str, max_terms: int | None = None, max_samples: int | None = None) -> None:
+    """Write the whole baseline; the two limits, where given, keep the most frequent terms and the latest entropy samples."""
+    vocab = baseline.vocab if max_terms is None else baseline.vocab.orderBy(F.desc("n"), "term").limit(max_terms)
+    samples = baseline.samples if max_samples is None else baseline.samples.orderBy(F.desc("ts"), F.desc("block_id")).limit(max_samples)
+    vocab.write.mode("overwrite").parquet(f"{folder}/vocab")
     baseline.hashes.write.mode("overwrite").parquet(f"{folder}/hashes")
     baseline.paths.write.mode("overwrite").parquet(f"{folder}/paths")
-    (baseline.samples.orderBy(F.desc("ts"), F.desc("block_id")).limit(MAX_SAMPLES)
-     .write.mode("overwrite").parquet(f"{folder}/samples"))
+    samples.write.mode("overwrite").parquet(f"{folder}/samples")
     baseline.observed.write.mode("overwrite").parquet(f"{folder}/observed")
 
 

@@ -34,14 +34,14 @@ def reassemble(blocks: DataFrame, bulky_parts: int = 100_000) -> DataFrame:
 
     Completeness is decided on a narrow count per block id.  Parts of an id that has more than
     ``bulky_parts`` of them and is not complete are set aside before the join, so they are never
-    brought together: there are at most (rows / bulky_parts) such ids, few enough to broadcast.
+    brought together; whether those few ids are broadcast is decided by their measured size.
     """
     singles = blocks.filter(F.col("block_total") <= 1)
     parts = blocks.filter(F.col("block_total") > 1)
     counts = parts.groupBy("block_id").agg(
         F.count("*").alias("_n"),
         F.min_by("block_total", F.struct("block_number", "ts")).alias("_want"))
-    bulky = F.broadcast(counts.filter((F.col("_n") > bulky_parts) & (F.col("_n") != F.col("_want"))).select("block_id"))
+    bulky = counts.filter((F.col("_n") > bulky_parts) & (F.col("_n") != F.col("_want"))).select("block_id")
     marked = (parts.join(bulky, "block_id", "left_anti").join(counts, "block_id")
               .withColumn("_complete", F.col("_n") == F.col("_want")))
     other = [c for c in blocks.columns if c not in

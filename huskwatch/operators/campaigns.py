@@ -11,10 +11,12 @@ def session_fingerprints(rows: DataFrame, slice_seconds: int = 60) -> DataFrame:
     """Fingerprint of every session from the style columns of its block rows.
 
     Two levels: time slices of a session first, then the slices, so that a session with very many
-    blocks is never gathered in one list.
+    blocks is never gathered in one list.  Undated blocks stand in the order of their ids and are sliced by
+    the first characters of those.
     """
+    head = F.when(F.col("ts").isNull(), F.substring("block_id", 1, 4)).otherwise("")
     ordered = F.array_sort(F.collect_list(F.struct("ts", "block_id", "block_number", "parens")))
-    part = rows.groupBy("session_id", "host_id", F.floor(F.unix_seconds("ts") / slice_seconds).alias("slice")).agg(
+    part = rows.groupBy("session_id", "host_id", F.floor(F.unix_seconds("ts") / slice_seconds).alias("slice"), head.alias("head")).agg(
         F.count("*").alias("n"), F.sum("raw_chars").alias("chars"), F.sum("ticks").alias("ticks"),
         F.sum("calls").alias("calls"), F.min("join_rank").alias("join_rank"), F.max("slots").alias("slots"),
         F.array_distinct(F.flatten(F.collect_set("char_codes"))).alias("codes"),
@@ -25,7 +27,7 @@ def session_fingerprints(rows: DataFrame, slice_seconds: int = 60) -> DataFrame:
         F.sum("calls").alias("calls"), F.min("join_rank").alias("join_rank"), F.max("slots").alias("slots"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("char_code_offsets"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("runs")))).alias("base64_chunk_sizes"),
-        combine_profiles(F.transform(F.array_sort(F.collect_list(F.struct("slice", "profile"))),
+        combine_profiles(F.transform(F.array_sort(F.collect_list(F.struct("slice", "head", "profile"))),
                                      lambda x: x.getField("profile"))).alias("p"))
     return whole.select(
         "session_id", "host_id", "base64_chunk_sizes", "char_code_offsets",
@@ -48,9 +50,9 @@ def fingerprint_hash():
 
 def tag_sessions(sessions: DataFrame, prints: DataFrame, min_score: float = 20) -> DataFrame:
     """Add fingerprint and campaign_id to sessions scoring above ``min_score`` (NULL for others)."""
-    active = sessions.filter(F.col("weighted_score") > min_score).select("session_id").join(
-        prints.select("session_id", "fingerprint"), "session_id")
-    return sessions.join(active, "session_id", "left").withColumn("campaign_id", F.substring("fingerprint", 1, 8))
+    joined = sessions.join(prints.select("session_id", F.col("fingerprint").alias("_print")), "session_id", "left")
+    tagged = joined.withColumn("fingerprint", F.when(F.col("weighted_score") > min_score, F.col("_print"))).drop("_print")
+    return tagged.withColumn("campaign_id", F.substring("fingerprint", 1, 8))
 
 
 def campaigns(tagged: DataFrame) -> DataFrame:

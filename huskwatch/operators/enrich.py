@@ -103,8 +103,51 @@ def lateral_edges(moves: DataFrame) -> DataFrame:
         "source_host", "target_host", "technique", "f.mitre_id", "f.evidence", "f.ts")
 
 
-def lateral_counts(moves: DataFrame) -> DataFrame:
-    return moves.groupBy(F.col("source_session").alias("session_id")).agg(F.count("*").alias("lateral_move_count"))
+def _starts_upto(starts: DataFrame, asked: DataFrame, keys: list[str], slot: int = 10, page: int = 6000) -> DataFrame:
+    """asked (session_id, sign, keys, at, id) with ``upto``: how many starts have (at, id) up to the asked place, per ``keys``.
+
+    Running counts in three steps: pages of time slots, slots of a page, rows of a slot. No task sees more than the pages, the
+    slots of one page, or the rows of one slot of ``slot`` seconds."""
+    marks = starts.select(*keys, "at", "id", F.lit(1).alias("one"), F.lit(None).cast("string").alias("session_id"), F.lit(0).alias("sign"))
+    marks = marks.unionByName(asked.select(*keys, "at", "id", F.lit(0).alias("one"), "session_id", "sign"))
+    marks = marks.withColumn("slot", F.floor(F.col("at") / (slot * 1_000_000))).withColumn("page", F.floor(F.col("slot") / page))
+    slots = marks.groupBy(*keys, "page", "slot").agg(F.sum("one").alias("n"))
+    pages = slots.groupBy(*keys, "page").agg(F.sum("n").alias("n"))
+
+    def earlier(by: list[str], order: str) -> Column:
+        w = Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
+        return F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pages = pages.select(*keys, "page", earlier(keys, "page").alias("pages_before"))
+    slots = slots.select(*keys, "page", "slot", earlier([*keys, "page"], "slot").alias("slots_before"))
+    inside = Window.partitionBy(*keys, "page", "slot").orderBy("at", "id").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = marks.withColumn("n", F.sum("one").over(inside)).filter("one = 0")
+    return (placed.join(slots, [*keys, "page", "slot"]).join(pages, [*keys, "page"])
+            .select("session_id", "sign", (F.col("n") + F.col("slots_before") + F.col("pages_before")).alias("upto")))
+
+
+def lateral_counts(sessions: DataFrame, techniques: dict | None = None, before: int = 60, after: int = 1800) -> DataFrame:
+    """Number of lateral_moves() rows per source session, without making them.
+
+    The sessions that start inside a source's window are a difference of two running counts, over all hosts less those on
+    its own host; every one of them counts once for each lateral technique of the source."""
+    known = LATERAL_TECHNIQUES if techniques is None else techniques
+    timed = sessions.filter(F.col("start_time").isNotNull())
+    starts = timed.select("host_id", F.unix_micros("start_time").alias("at"), F.col("session_id").alias("id"))
+    end = F.unix_micros("end_time")
+    src = (timed.withColumn("n_techs", F.size(F.array_intersect("technique_set", F.array(*[F.lit(k) for k in known]))))
+           .filter("n_techs > 0").select("session_id", "host_id", "n_techs", F.unix_micros("start_time").alias("start"), end.alias("end")))
+    last = F.col("end") + after * 1_000_000
+    first = F.col("end") - before * 1_000_000
+    # Up to the window's end, less up to its beginning: the source itself, or all that start before it where that is later.
+    bounds = F.array(F.struct(F.lit(1).alias("sign"), last.alias("at"), F.lit("\U0010ffff").alias("id")),
+                     F.struct(F.lit(-1).alias("sign"), F.greatest("start", first - 1).alias("at"),
+                              F.when(F.col("start") >= first, F.col("session_id")).otherwise("\U0010ffff").alias("id")))
+    asked = src.select("session_id", "host_id", F.explode(bounds).alias("b")).select("session_id", "host_id", "b.*")
+    every = _starts_upto(starts.drop("host_id"), asked.drop("host_id"), [])
+    same = _starts_upto(starts, asked, ["host_id"]).withColumn("sign", -F.col("sign"))
+    found = every.unionByName(same).groupBy("session_id").agg(F.sum(F.col("sign") * F.col("upto")).alias("targets"))
+    return (src.join(found, "session_id").filter("targets > 0")
+            .select("session_id", (F.col("targets") * F.col("n_techs")).cast("bigint").alias("lateral_move_count")))
 
 
 def hop_degree(edges: DataFrame) -> DataFrame:
@@ -147,11 +190,10 @@ def feed_lookup(feed: DataFrame) -> DataFrame:
             .select("key", "ioc_type", "f.*"))
 
 
-def threat_hits(members: DataFrame, feed: DataFrame, max_iocs: int = 20) -> DataFrame:
-    """Feed hits for the first ``max_iocs`` indicators (by value) of every session."""
-    first = first_per(members, ["session_id"], [F.col("value")], max_iocs)
-    keyed = first.withColumn("key", F.lower(F.trim("value"))).withColumn("ioc_type", feed_ioc_type(F.col("value")))
-    return keyed.join(feed_lookup(feed), ["key", "ioc_type"]).drop("key", "rank")
+def threat_hits(members: DataFrame, feed: DataFrame) -> DataFrame:
+    """Feed hits for every indicator of every session."""
+    keyed = members.withColumn("key", F.lower(F.trim("value"))).withColumn("ioc_type", feed_ioc_type(F.col("value")))
+    return keyed.join(feed_lookup(feed), ["key", "ioc_type"]).drop("key")
 
 
 def geolocate(addresses: DataFrame, ranges: DataFrame, column: str = "value") -> DataFrame:

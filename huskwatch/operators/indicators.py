@@ -25,17 +25,15 @@ def hub_order():
     return [F.desc("session_count"), F.asc("ioc_type"), F.asc("value")]
 
 
-def hub_with_sessions(members: DataFrame, per_row: int = 1000) -> DataFrame:
-    """Hub rows with their sorted session ids.
-
-    A value seen in more than ``per_row`` sessions is spread over several rows (``part``), each
-    holding about ``per_row`` ids, so that no task gathers an unbounded list; nothing is dropped.
-    """
-    hub = ioc_hub(members).withColumn("parts", F.ceil(F.col("session_count") / per_row).cast("int"))
-    return (members.join(hub, "value")
-            .withColumn("part", F.pmod(F.xxhash64("session_id"), F.col("parts")).cast("int"))
-            .groupBy("value", "ioc_type", "session_count", "part")
-            .agg(F.array_sort(F.collect_list("session_id")).alias("sessions")))
+def hub_members(members: DataFrame) -> DataFrame:
+    """(value, ioc_type, session_count, session_id): the hub entry of every member, one row each at any size."""
+    return members.select("value", "session_id").join(ioc_hub(members), "value").select("value", "ioc_type", "session_count", "session_id")
+
+
+def hub_lists(members: DataFrame) -> DataFrame:
+    """Hub rows with their sorted session ids in one list, for callers that know their values to be in few sessions."""
+    return members.groupBy("value").agg(F.count("*").alias("session_count"), F.array_sort(F.collect_list("session_id")).alias("sessions")).withColumn(
+        "ioc_type", ioc_type(F.col("value")))
 
 
 def type_counts(hub: DataFrame) -> DataFrame:

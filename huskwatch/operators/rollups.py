@@ -206,6 +206,19 @@ def navigator_rows(findings: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("t")))).alias("rules"))
 
 
+def rank_all(rows: DataFrame, order: list[Column], leading: list[Column]) -> DataFrame:
+    """Every row with its place in the whole order.
+
+    ``leading`` are the first sort keys, or coarser forms of them, with few distinct values: rows are ranked inside each such
+    group and the sizes of the groups before are added, so no task sorts all rows."""
+    keys = [f"_g{i}" for i in range(len(leading))]
+    grouped = rows.withColumns({k: c for k, c in zip(keys, leading, strict=True)})
+    sizes = grouped.groupBy(*keys).agg(F.count("*").alias("_n"))
+    before = sizes.select(*keys, F.coalesce(F.sum("_n").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = grouped.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return placed.join(before, keys).withColumn("rank", (F.col("_at") + F.col("_before")).cast("int")).drop(*keys, "_at", "_before")
+
+
 def ranked(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
     """Top-k report: first ``n`` rows in order, with their rank."""
     return rows.orderBy(*order).limit(n).withColumn("rank", F.row_number().over(Window.orderBy(*order)))

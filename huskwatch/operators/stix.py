@@ -79,11 +79,13 @@ def notes(sessions: DataFrame, members: DataFrame, beacons: DataFrame | None = N
                        content.alias("content"), F.array(stix_id("malware", F.col("session_id"))).alias("object_refs"))
 
 
-def session_indicators(sessions: DataFrame, members: DataFrame, n: int = 30) -> DataFrame:
-    """First ``n`` indicators (by value) of every exported session that have a pattern."""
-    first = first_per(members.select("session_id", "value"), ["session_id"], [F.col("value")], n)
-    return first.join(_active(sessions).select("session_id"), "session_id", "left_semi").withColumn(
-        "pattern", ioc_pattern(F.col("value"))).filter(F.col("pattern").isNotNull()).drop("rank")
+def session_indicators(sessions: DataFrame, members: DataFrame, n: int | None = None) -> DataFrame:
+    """Indicators of every exported session that have a pattern: all, or the first ``n`` by value of each."""
+    listed = members.select("session_id", "value")
+    if n is not None:
+        listed = first_per(listed, ["session_id"], [F.col("value")], n).drop("rank")
+    return listed.join(_active(sessions).select("session_id"), "session_id", "left_semi").withColumn(
+        "pattern", ioc_pattern(F.col("value"))).filter(F.col("pattern").isNotNull())
 
 
 def indicators(listed: DataFrame) -> DataFrame:

@@ -100,8 +100,9 @@ def process_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def logon_events(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "events").filter(F.col("event_type").isin("signup", "view")).select(
-        F.when(F.col("event_type") == "view", 4624).otherwise(4648).cast("bigint").alias("event_id"),
+    """Every event as a logon: views as 4624, errors as 4625, all others as 4648."""
+    return table(spark, folder, "events").select(
+        F.when(F.col("event_type") == "view", 4624).when(F.col("event_type") == "error", 4625).otherwise(4648).cast("bigint").alias("event_id"),
         F.concat(F.lit("src"), (F.col("user_id") % 20).cast("string")).alias("host_id"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("src"), (F.col("event_id") % 23).cast("string")).alias("target_host"),

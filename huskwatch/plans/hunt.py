@@ -5,6 +5,7 @@ are written there and every later stage reads that table; without one the plan s
 """
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -42,8 +43,9 @@ class Hunt:
         narrow = block_features(self.blocks)
         if not self.folder:
             return narrow
-        narrow.write.mode("overwrite").parquet(f"{self.folder}/block_features")
-        return self.spark.read.parquet(f"{self.folder}/block_features")
+        path = f"{self.folder}/block_features-{uuid.uuid4().hex}"  # of this run alone
+        narrow.write.parquet(path)
+        return self.spark.read.parquet(path)
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -93,5 +95,5 @@ class Hunt:
         """Sessions with indicator, move and beacon facts joined on."""
         iocs = self.members.groupBy("session_id").agg(F.count("*").alias("ioc_count"))
         return (self.tagged.join(iocs, "session_id", "left")
-                .join(enrich.lateral_counts(self.moves), "session_id", "left")
+                .join(enrich.lateral_counts(self.sessions), "session_id", "left")
                 .join(self.beacons.drop("host_id"), "session_id", "left"))

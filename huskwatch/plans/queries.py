@@ -103,7 +103,7 @@ class Tables:
 
     @cached_property
     def hits(self) -> DataFrame:
-        return enrich.threat_hits(self.hunt.members, self.feed, 15)
+        return enrich.threat_hits(self.hunt.members, self.feed)
 
 
 def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -188,7 +188,7 @@ def p12_indicator_filter(s):
 
 @query
 def p13_hit_source_filter(s):
-    return enrich.threat_hits(s.hunt.members, s.feed, 15).filter(F.col("source") == "urlhaus").select(
+    return enrich.threat_hits(s.hunt.members, s.feed).filter(F.col("source") == "urlhaus").select(
         "session_id", "value", "malware_name")
 
 
@@ -406,8 +406,12 @@ def i3_feed_types(s):
 
 @query
 def i4_indicator_hub(s):
-    h = indicators.hub_with_sessions(s.hunt.members)
-    return h.select("value", "ioc_type", "session_count", joined("sessions"))
+    return s.hunt.hub.select("value", "ioc_type", "session_count")
+
+
+@query
+def i4_hub_members(s):
+    return indicators.hub_members(s.hunt.members)
 
 
 @query
@@ -630,7 +634,7 @@ def j6_credential_reuse(s):
 
 @query
 def j7_threat_hits(s):
-    return enrich.threat_hits(s.hunt.members, s.feed, 15).select("session_id", "value", "ioc_type", "source", "malware_name")
+    return enrich.threat_hits(s.hunt.members, s.feed).select("session_id", "value", "ioc_type", "source", "malware_name")
 
 
 @query
@@ -759,7 +763,7 @@ def a18_host_timeline(s):
 
 @query
 def a19_hits_per_source(s):
-    return enrich.threat_hits(s.hunt.members, s.feed, 15).groupBy("source").agg(F.count("*").alias("n"))
+    return enrich.threat_hits(s.hunt.members, s.feed).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query
@@ -829,7 +833,8 @@ def l3_sorted_by_tier(s):
 
 @query
 def l4_campaign_order(s):
-    return rollups.ranked(s.hunt.campaigns, campaign_ops.campaign_order(), 100).select("rank", "campaign_id")
+    leading = [~F.col("is_confirmed"), -F.col("peak_severity"), F.substring("campaign_id", 1, 2)]
+    return rollups.rank_all(s.hunt.campaigns, campaign_ops.campaign_order(), leading).select("rank", "campaign_id")
 
 
 @query
@@ -839,7 +844,7 @@ def l6_top_three(s):
 
 @query
 def l7_beacon_order(s):
-    return rollups.ranked(s.found, [F.desc("confidence"), F.asc("session_id")], 20).select("rank", "session_id", "confidence")
+    return rollups.rank_all(s.found, [F.desc("confidence"), F.asc("session_id")], [-F.col("confidence")]).select("rank", "session_id", "confidence")
 
 
 @query

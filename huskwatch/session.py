@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -24,6 +25,13 @@ def get_spark(app: str = "huskwatch", master: str | None = None, shuffle_partiti
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints: the one the cluster names, else a local one (tests only)."""
+    """A new folder below the shared one that the cluster names in spark.checkpoint.dir.
+
+    Without that setting a local master gets a temporary folder; on a cluster, where executors do not see each other's
+    disks, it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="huskwatch-ckpt-")
+    if named:
+        return f"{named.rstrip('/')}/huskwatch-{uuid.uuid4().hex}"
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+        return tempfile.mkdtemp(prefix="huskwatch-ckpt-")
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huskwatch.operators.indicators import hub_with_sessions
+from huskwatch.operators.indicators import hub_members
 
 
 def write_results(sessions: DataFrame, campaigns: DataFrame, folder: str) -> None:
@@ -13,12 +13,10 @@ def write_results(sessions: DataFrame, campaigns: DataFrame, folder: str) -> Non
     campaigns.write.mode("overwrite").json(f"{folder}/campaigns")
 
 
-def write_ioc_csv(members: DataFrame, folder: str, per_row: int = 1000) -> None:
-    """type, value, count, sessions (joined by a pipe).  A value in very many sessions takes several
-    rows of about ``per_row`` ids each."""
-    hub = hub_with_sessions(members, per_row)
-    hub.select(F.col("ioc_type").alias("type"), "value", F.col("session_count").alias("count"), F.array_join("sessions", "|").alias("sessions")).orderBy(
-        F.desc("count"), "type", "value", "sessions").write.mode("overwrite").option("header", True).option("quoteAll", True).csv(folder)
+def write_ioc_csv(members: DataFrame, folder: str) -> None:
+    """type, value, count, session: one line per value and session, in hub order."""
+    hub_members(members).select(F.col("ioc_type").alias("type"), "value", F.col("session_count").alias("count"), F.col("session_id").alias("session")).orderBy(
+        F.desc("count"), "type", "value", "session").write.mode("overwrite").option("header", True).option("quoteAll", True).csv(folder)
 
 
 def ioc_text_lines(hub: DataFrame) -> DataFrame:
@@ -64,10 +62,11 @@ def write_bundle(objects: DataFrame, folder: str) -> None:
     objects.select("object").write.mode("overwrite").text(folder)
 
 
-def write_session_folders(tables: dict[str, DataFrame], folder: str) -> None:
-    """Per-session export: every table partitioned by session_id.  Rows are clustered by session
+def write_session_folders(tables: dict[str, DataFrame], folder: str, session_ids: list[str]) -> None:
+    """Export of the named sessions: every table partitioned by session_id.  Rows are clustered by session
     first, so a session's files come from few tasks; a very large session may span several."""
     for name, table in tables.items():
+        table = table.filter(F.col("session_id").isin(session_ids))
         spread = table.withColumn("_salt", F.pmod(F.hash(*[c for c in table.columns if c != "session_id"][:1]), F.lit(8)))
         spread.repartition("session_id", "_salt").drop("_salt").write.mode("overwrite").partitionBy("session_id").json(f"{folder}/{name}")
 

@@ -179,8 +179,8 @@ CTES = {
       FROM events CROSS JOIN frameworks GROUP BY event_id""",
     "procs": """SELECT 4688 + event_id % 3 AS event_id, 'src' || (user_id % 20) AS host_id, ts, CAST(user_id % 5 AS INTEGER) AS process_id,
         event_type || '_' || event_id AS process_name FROM events""",
-    "logons": """SELECT CASE WHEN event_type = 'view' THEN 4624 ELSE 4648 END AS event_id, 'src' || (user_id % 20) AS host_id, ts, 'src' || (event_id % 23) AS target_host,
-        'u' || event_id AS username FROM events WHERE event_type IN ('signup', 'view')""",
+    "logons": """SELECT CASE event_type WHEN 'view' THEN 4624 WHEN 'error' THEN 4625 ELSE 4648 END AS event_id, 'src' || (user_id % 20) AS host_id, ts, 'src' || (event_id % 23) AS target_host,
+        'u' || event_id AS username FROM events""",
     "latmap": "SELECT * FROM (VALUES ('LATERAL_PSREMOTING','T1021.006','PSRemoting'),('LATERAL_WMI_EXEC','T1021.003','WMI Exec'),('LATERAL_INVOKE_CMD','T1021.002','SMB/PsExec'),"
                "('COM_LATERAL','T1021.003','DCOM'),('WMIC_REMOTE_EXEC','T1047','WMIC Remote')) AS t(technique, mitre_id, evidence)",
     "moves": """SELECT s.session_id AS source_session, d.session_id AS target_session, s.host_id AS source_host, d.host_id AS target_host, l.technique, l.mitre_id, l.evidence,
@@ -198,8 +198,7 @@ CTES = {
       FROM (SELECT DISTINCT value FROM members) WHERE length(value) % 3 <> 1
       UNION ALL SELECT value, 'threatfox', 'second' FROM (SELECT DISTINCT value FROM members) WHERE length(value) % 2 = 0""",
     "hits": f"""SELECT session_id, value, ioc_type, arg_min(source, (no, malware_name)) AS source, arg_min(f.malware_name, (no, malware_name)) AS malware_name FROM (
-        SELECT session_id, value, {feed_type('value')} AS ioc_type FROM (
-          SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY value) AS rn FROM members) WHERE rn <= 15) m
+        SELECT session_id, value, {feed_type('value')} AS ioc_type FROM members) m
       JOIN (SELECT lower(value) AS k, source, malware_name, ty, CASE WHEN ty = 'url' AND source = 'urlhaus' THEN 0 WHEN ty = 'url' AND source = 'threatfox' THEN 1
           WHEN ty = 'hash' AND source = 'malwarebazaar' THEN 0 WHEN ty = 'hash' AND source = 'threatfox' THEN 1 WHEN ty IN ('ip', 'domain') AND source = 'threatfox' THEN 0 END AS no
         FROM (SELECT *, {feed_type('value')} AS ty FROM feed)) f
@@ -224,8 +223,8 @@ CTES = {
         FROM sfinds f JOIN sess s USING (session_id) WHERE s.score >= 40) GROUP BY technique_id""",
     "sig": f"""SELECT b.session_id, b.technique_id, b.mitre_id, b.host_id, s.process_id, s.start_time, s.score, coalesce(c.title, 'PowerShell suspicious: ' || lower(replace(b.technique_id, '_', ' '))) AS title,
         {BAND.format(s='b.severity')} AS level, coalesce(c.tags, 'attack.' || lower(b.mitre_id)) AS tags, b.matched_text FROM best b JOIN sess s USING (session_id) LEFT JOIN content c USING (technique_id)""",
-    "listed": f"""SELECT session_id, value, {PATTERN} AS pattern FROM (SELECT m.*, row_number() OVER (PARTITION BY session_id ORDER BY value) AS rn FROM members m)
-        WHERE rn <= 30 AND session_id IN (SELECT session_id FROM sess WHERE tier <> 'CLEAN') AND {PATTERN} IS NOT NULL""",
+    "listed": f"""SELECT session_id, value, {PATTERN} AS pattern FROM members
+        WHERE session_id IN (SELECT session_id FROM sess WHERE tier <> 'CLEAN') AND {PATTERN} IS NOT NULL""",
     "stech": "SELECT session_id, host_id, unnest(tech) AS technique_id FROM sess",
     "turns": """SELECT 'c' || conv_id AS block_id, CAST(turn + 1 AS INTEGER) AS block_number,
         CAST(max(turn) OVER (PARTITION BY conv_id) + 1 + CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS block_total,

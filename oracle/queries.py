@@ -87,7 +87,8 @@ RAW: dict[str, str] = {
     "i1_session_indicators": "SELECT session_id, value FROM members",
     "i2_indicator_types": "SELECT value, ioc_type FROM hub",
     "i3_feed_types": f"""SELECT value, {feed_type('value')} AS feed_type FROM (SELECT value FROM members UNION SELECT regexp_extract(url, '^http://([^/]+)', 1) FROM pages)""",
-    "i4_indicator_hub": f"""SELECT value, {ioc_type('value')} AS ioc_type, count(*) AS session_count, string_agg(session_id, ',' ORDER BY session_id) AS sessions FROM members GROUP BY value""",
+    "i4_indicator_hub": f"""SELECT value, {ioc_type('value')} AS ioc_type, count(*) AS session_count FROM members GROUP BY value""",
+    "i4_hub_members": "SELECT value, ioc_type, session_count, session_id FROM members JOIN hub USING (value)",
     "i5_type_counts": "SELECT " + ", ".join(f"count(*) FILTER (ioc_type = '{t}') AS {t}" for t in ("url", "ip", "hash", "path")) + " FROM hub",
     "i6_one_type": "SELECT value, session_count FROM hub WHERE ioc_type = 'hash'",
     "i8_cooccurrence": """SELECT a.value AS value_a, b.value AS value_b FROM (
@@ -248,9 +249,9 @@ RAW: dict[str, str] = {
     "l1_top_sessions": "SELECT CAST(rn AS INTEGER) AS rank, session_id, round(score, 6) AS weighted_score FROM (SELECT *, row_number() OVER (ORDER BY score DESC, session_id) AS rn FROM sess) WHERE rn <= 200",
     "l2_top_alerts": "SELECT CAST(rn AS INTEGER) AS rank, session_id, tier AS alert_tier FROM (SELECT *, row_number() OVER (ORDER BY score DESC, session_id) AS rn FROM sess WHERE tier IN ('P1_INCIDENT', 'P2_ALERT')) WHERE rn <= 5",
     "l3_sorted_by_tier": "SELECT session_id, tier AS alert_tier FROM sess",
-    "l4_campaign_order": "SELECT CAST(rn AS INTEGER) AS rank, campaign_id FROM (SELECT *, row_number() OVER (ORDER BY is_confirmed DESC, peak_severity DESC, campaign_id) AS rn FROM camps) WHERE rn <= 100",
+    "l4_campaign_order": "SELECT CAST(rn AS INTEGER) AS rank, campaign_id FROM (SELECT *, row_number() OVER (ORDER BY is_confirmed DESC, peak_severity DESC, campaign_id) AS rn FROM camps)",
     "l6_top_three": "SELECT session_id, top3 AS top3_sum, posn AS positive_blocks FROM sess",
-    "l7_beacon_order": "SELECT CAST(rn AS INTEGER) AS rank, session_id, confidence FROM (SELECT *, row_number() OVER (ORDER BY confidence DESC, session_id) AS rn FROM profiles) WHERE rn <= 20",
+    "l7_beacon_order": "SELECT CAST(rn AS INTEGER) AS rank, session_id, confidence FROM (SELECT *, row_number() OVER (ORDER BY confidence DESC, session_id) AS rn FROM profiles)",
     "u2_host_techniques": "SELECT host_id, array_to_string(list_sort(list(DISTINCT technique_id)), ',') AS techniques FROM stech GROUP BY host_id",
     "u4_lolbin_intersection": "SELECT session_id, CAST(len(list_intersect(tech, ['LOLBIN_CERTUTIL', 'LOLBIN_MSHTA', 'LOLBIN_REGSVR32'])) AS INTEGER) AS tools FROM sess",
     "u5_set_tests": "SELECT session_id, list_has_all(tech, ['REG_PERSIST', 'MARKUP_SCRIPT']) AS has_all, list_has_any(tech, ['CRED_HARVEST', 'COBALT_STRIKE']) AS has_any FROM sess",

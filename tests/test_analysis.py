@@ -1,3 +1,4 @@
+import collections
 import datetime as dt
 import math
 import random
@@ -157,6 +158,8 @@ def test_lateral_moves_equal_nested_loop(spark):
     moves = enrich.lateral_moves(make_sessions(spark, rows))
     got = {(r.source_session, r.target_session, r.technique) for r in moves.collect()}
     assert got == plain_moves(rows)
+    counts = {r.session_id: r.lateral_move_count for r in enrich.lateral_counts(make_sessions(spark, rows)).collect()}
+    assert counts == {k: n for k, n in collections.Counter(m[0] for m in plain_moves(rows)).items()}
     edges = enrich.lateral_edges(moves)
     assert edges.count() == len({(r.source_host, r.target_host, r.technique) for r in moves.collect()})
     assert {r.host_id for r in enrich.hop_degree(edges).collect()} >= {"x", "y"}
@@ -186,7 +189,14 @@ def test_feed_precedence(spark):
     members = spark.createDataFrame([("s", "h", "http://x/A"), ("s", "h", "1.2.3.4"), ("s", "h", "F" * 32)], "session_id string, host_id string, value string")
     got = {(r.value, r.source, r.malware_name) for r in enrich.threat_hits(members, feed).collect()}
     assert got == {("http://x/A", "urlhaus", "U"), ("F" * 32, "malwarebazaar", "M")}
-    assert enrich.threat_hits(members, feed, 1).count() == 0
+
+
+def test_no_indicator_of_a_session_is_left_out(spark):
+    members = spark.createDataFrame([("s", "h", f"http://x/{i:02d}") for i in range(40)], "session_id string, host_id string, value string")
+    feed = members.select("value", F.lit("urlhaus").alias("source"), F.lit("U").alias("malware_name"))
+    assert enrich.threat_hits(members, feed).count() == 40
+    sessions = spark.createDataFrame([("s", "INFO")], "session_id string, alert_tier string")
+    assert stix.session_indicators(sessions, members).count() == 40 and stix.session_indicators(sessions, members, 30).count() == 30
 
 
 def test_geolocation(spark):
@@ -197,12 +207,21 @@ def test_geolocation(spark):
 
 # -- indicators ----------------------------------------------------------------------------------
 
-def test_hub_keeps_all_sessions_of_a_hot_value(spark):
-    members = spark.createDataFrame([(f"s{i:04d}", "h", "1.2.3.4") for i in range(250)] + [("s0001", "h", "5.6.7.8")], "session_id string, host_id string, value string")
-    rows = indicators.hub_with_sessions(members, per_row=20).collect()
-    hot = [r for r in rows if r.value == "1.2.3.4"]
-    assert len(hot) > 5 and sorted(x for r in hot for x in r.sessions) == [f"s{i:04d}" for i in range(250)]
-    assert all(r.session_count == 250 for r in hot)
+def test_hub_has_one_grain_at_any_size(spark):
+    members = spark.createDataFrame([(f"s{i:04d}", "h", "1.2.3.4") for i in range(1500)] + [("s0001", "h", "5.6.7.8")], "session_id string, host_id string, value string")
+    assert {(r.value, r.session_count) for r in indicators.ioc_hub(members).collect()} == {("1.2.3.4", 1500), ("5.6.7.8", 1)}
+    rows = indicators.hub_members(members).collect()
+    assert len(rows) == 1501 and {r.session_count for r in rows if r.value == "1.2.3.4"} == {1500}
+    lists = {r.value: r.sessions for r in indicators.hub_lists(members).collect()}
+    assert lists == {"1.2.3.4": [f"s{i:04d}" for i in range(1500)], "5.6.7.8": ["s0001"]}
+
+
+def test_rank_all_equals_one_sort(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice([0.1, 0.5, 0.9]), f"s{i:03d}") for i in range(300)]
+    got = rollups.rank_all(spark.createDataFrame(rows, "c double, k string"), [F.desc("c"), F.asc("k")], [-F.col("c")]).collect()
+    assert {r.k: r["rank"] for r in got} == {k: n for n, (_, k) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])), 1)}
+    assert rollups.rank_all(spark.createDataFrame([], "c double, k string"), [F.asc("c")], [F.col("c")]).count() == 0
 
 
 def test_first_credentials(make_blocks):

@@ -92,10 +92,11 @@ def test_sinks(hunt, tmp_path):
     assert len(lines(tmp_path / "r/sessions")) == 4
     sinks.write_ioc_csv(hunt.members, str(tmp_path / "csv"))
     rows = [r for p in glob.glob(str(tmp_path / "csv/part-*")) for r in csv.reader(open(p))]
-    assert ["type", "value", "count", "sessions"] in rows and ["ip", "1.2.3.4", "1", "A_7_20240601T140000"] in rows
+    assert ["type", "value", "count", "session"] in rows and ["ip", "1.2.3.4", "1", "A_7_20240601T140000"] in rows
     sinks.write_ioc_text(hunt.hub, str(tmp_path / "txt"))
     assert lines(tmp_path / "txt") == ["## IPs (1)", "1.2.3.4", ""]
-    sinks.write_session_folders({"findings": hunt.findings}, str(tmp_path / "s"))
+    sinks.write_session_folders({"findings": hunt.findings}, str(tmp_path / "s"), ["A_7_20240601T140000"])
+    assert len(glob.glob(str(tmp_path / "s/findings/session_id=*"))) == 1
     assert glob.glob(str(tmp_path / "s/findings/session_id=A_7_20240601T140000/*.json"))
     layer = json.loads(sinks.navigator_layer(rollups.navigator_rows(hunt.findings), "t").first().layer)
     assert layer["techniques"][0]["techniqueID"] == "T1003.001" and layer["techniques"][0]["score"] == 90
