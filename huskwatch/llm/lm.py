@@ -62,7 +62,7 @@ def fit(docs: DataFrame, target: DataFrame, classes: int = CLASSES, cells: int =
     Each task adds up its documents in tables of fixed size and sends the blocks that are not empty; blocks are then summed.
     The driver gets two summed tables, whose size depends on the parameters alone. Null texts and ids count as no words and
     as no target; a doc_id listed twice counts once."""
-    marks = target.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().withColumn("_in", F.lit(True))
+    marks = target.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().withColumn("_in", F.lit(True)).hint("shuffle_hash")  # one plan at every size
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(marks, F.col("doc_id") == F.col("_id"), "left").select("text", F.coalesce("_in", F.lit(False)).alias("inside"))
     size = classes + (classes + 1) + cells
     starts = (0, classes, 2 * classes + 1)
