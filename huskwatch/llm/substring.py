@@ -259,11 +259,17 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Every word covered by a window of ``window`` consecutive words whose sequence also starts anywhere else, in the same
     document or another row, is removed; windows are judged on the input. Null and empty texts have no words and stay as an
     empty text; repeated rows repeat each other. Other columns stay, but for one named ``kept``."""
+    @F.pandas_udf("binary")
+    def pressed(texts: pd.Series) -> pd.Series:
+        press = zstandard.ZstdCompressor(level=3)
+        return pd.Series([press.compress(t) if t else None for t in texts], dtype=object)
+
     @F.pandas_udf("n_words long, n_removed long, text string")
     def kept(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:
         rows = []
+        unpress = zstandard.ZstdDecompressor()
         for text, given in zip(texts, ranges, strict=True):
-            words = text.split() if text else []
+            words = unpress.decompress(text).split() if text else []
             n = len(words)
             for a, b in reversed(merged((r["start"], r["end"]) for r in given) if given is not None else []):
                 del words[a:b]
@@ -272,8 +278,9 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     found = repeats(docs, window).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("ranges").alias("_ranges"))
     names = [c for c in docs.columns if c != "kept"]
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (key_of(docs["text"]) == found["_key"]), "left")
-    return joined.select(*[docs[c] for c in names], kept(docs["text"].cast("binary"), F.col("_ranges")).alias("kept"))
+    own = docs.select(*names, key_of(F.col("text")).alias("_own"), pressed(F.col("text").cast("binary")).alias("_text"))
+    joined = own.join(found, own["doc_id"].eqNullSafe(found["_id"]) & (own["_own"] == found["_key"]), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in names], kept("_text", "_ranges").alias("kept"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
