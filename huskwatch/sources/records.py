@@ -27,7 +27,8 @@ def normalise(rows: DataFrame, record: str | None = None) -> DataFrame:
     """Records (flat columns, or a struct column named ``record``) to block rows.
 
     Rows without text are dropped.  A missing id becomes a digest of the row, so repeated runs
-    agree; a time that cannot be read stays NULL and is flagged.
+    agree (repeated rows share it and are told apart by nothing else); a time that cannot be read stays
+    NULL and is flagged.
     """
     def field(name: str) -> Column:
         return F.col(f"{record}.`{name}`" if record else f"`{name}`")

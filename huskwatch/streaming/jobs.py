@@ -10,8 +10,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from huskwatch.catalog.rules import Rule
 from huskwatch.functions.text import shannon_entropy
+from huskwatch.operators.baseline import Baseline
 from huskwatch.operators.blocks import classify, decode_blocks, explode_findings
-from huskwatch.operators.enrich import feed_lookup
+from huskwatch.operators.enrich import feed_lookup, latest_triage
 from huskwatch.operators.sessions import session_id
 from huskwatch.sources.records import RECORD_SCHEMA, normalise
 
@@ -49,69 +50,82 @@ def deduplicate(records: DataFrame, lateness: str = "10 minutes") -> DataFrame:
     return records.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["block_id", "block_number"])
 
 
+_PART = ["block_id", "block_number", "block_total", "host_id", "process_id", "thread_id", "path", "at", "raw_text", "decoded_text"]
+
+
 def reassemble(parts: DataFrame, lateness: str = "10 minutes", wait_seconds: int = 600) -> DataFrame:
     """Merge multi-part blocks as their parts arrive; incomplete ones are passed on part by part once
     the watermark is ``wait_seconds`` past their first part.
 
-    State per block id holds its parts.  A block completes when the number of parts equals the
-    total given by its first part.  Once an id has more parts than that it can no longer complete:
-    its parts are passed on and later ones go straight through, so state stays small.
+    Parts are decoded one by one before they are merged, as in the batch job.  Those without a time pass
+    through unmerged: no watermark ever reaches them.  State per block id holds its parts in order of
+    arrival; they are sorted once, when the block is complete or given up.  A block completes when the
+    number of parts equals the total given by its first part.  Once an id has more parts than that it can
+    no longer complete: its parts are passed on and later ones go straight through, so state stays small.
     """
-    fields = ["block_id", "block_number", "block_total", "host_id", "process_id", "ts", "raw_text"]
-    out_schema = ("block_id string, block_number int, block_total int, host_id string, process_id int, ts timestamp, raw_text string")
-    state_schema = ("overfull boolean, numbers array<int>, totals array<int>, hosts array<string>, pids array<int>, "
-                    "times array<timestamp>, texts array<string>")
+    kind = ("block_id string, block_number int, block_total int, host_id string, process_id int, thread_id int, path string, "
+            "at bigint, raw_text string, decoded_text string")
+    state_kind = ("overfull boolean, numbers array<int>, totals array<int>, hosts array<string>, pids array<int>, tids array<int>, paths array<string>, "
+                  "times array<bigint>, raws array<string>, texts array<string>")
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         def single(rows) -> pd.DataFrame:
-            return pd.DataFrame([(key[0], *r) for r in rows], columns=fields)
+            return pd.DataFrame([(key[0], *r) for r in sorted(rows, key=lambda r: (r[0], r[6]))], columns=_PART)
 
-        overfull, *columns = state.get if state.exists else (False, [], [], [], [], [], [])
-        held = list(zip(*columns))
+        overfull, *columns = state.get if state.exists else (False, *[[] for _ in _PART[1:]])
+        held = list(zip(*columns, strict=True))
         if state.hasTimedOut:
             state.remove()
             if held:
-                yield single(sorted(held, key=lambda r: r[0]))
+                yield single(held)
             return
         for frame in frames:
-            rows = list(zip(frame.block_number, frame.block_total, frame.host_id, frame.process_id, frame.ts, frame.raw_text))
+            rows = list(zip(*(frame[c].tolist() for c in _PART[1:]), strict=True))
             if overfull:
                 yield single(rows)
                 continue
-            held = sorted(held + rows, key=lambda r: (r[0], r[4]))
-            if len(held) > held[0][1]:
+            held += rows
+            if len(held) > min(held, key=lambda r: (r[0], r[6]))[1]:
                 yield single(held)
                 overfull, held = True, []
-        if held and len(held) == held[0][1]:
-            first = held[0]
+        first = min(held, key=lambda r: (r[0], r[6]), default=None)
+        if first and len(held) == first[1]:
             if state.exists:
                 state.remove()
-            yield single([(1, 1, first[2], first[3], first[4], "".join(r[5] for r in held))])
+            held.sort(key=lambda r: (r[0], r[6]))
+            yield single([(1, 1, *first[2:7], "".join(r[7] for r in held), "".join(r[8] for r in held))])
             return
-        numbers, totals, hosts, pids, times, texts = [list(c) for c in zip(*held)] if held else ([], [], [], [], [], [])
-        times = [pd.Timestamp(v).to_pydatetime() for v in times]
-        state.update((overfull, [int(v) for v in numbers], [int(v) for v in totals], hosts, [int(v) for v in pids], times, texts))
-        since = min((v.timestamp() * 1000 for v in times), default=state.getCurrentWatermarkMs())
-        state.setTimeoutTimestamp(max(int(since) + wait_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        state.update((overfull, *([list(c) for c in zip(*held, strict=True)] if held else [[] for _ in _PART[1:]])))
+        since = min((r[6] // 1000 for r in held), default=state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(max(since + wait_seconds * 1000, state.getCurrentWatermarkMs() + 1))
 
-    timed = parts.select(*fields).withWatermark("ts", lateness)
-    return timed.groupBy("block_id").applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    decoded = parts if "decoded_text" in parts.columns else decode_blocks(parts)
+    rows = decoded.withColumn("at", F.unix_micros("ts")).select(*_PART, "ts")
+    timed = rows.filter(F.col("ts").isNotNull()).withWatermark("ts", lateness)
+    merged = timed.groupBy("block_id").applyInPandasWithState(step, kind, state_kind, "append", GroupStateTimeout.EventTimeTimeout)
+    whole = merged.unionByName(rows.filter(F.col("ts").isNull()).drop("ts"))
+    return whole.withColumn("ts", F.timestamp_micros("at")).drop("at")
 
 
 def triage_upsert(log: DataFrame, folder: str, checkpoint: str):
-    """Keep the latest status per session from a stream of changes.
+    """Write the latest status per session of every batch; triage_table() gives the current state.
 
-    Every batch is merged with the current table and written as a new version folder named after the
-    batch id, so a batch that is run again writes the same version.  Returns the started query.
+    A batch writes its own changes only, to a folder named after its id, so a batch that is run again
+    replaces itself and no batch rewrites the table.  Returns the started query.
     """
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.select("session_id", "status", "notes", "ts")
-        if batch_id > 0:
-            rows = rows.unionByName(spark.read.parquet(f"{folder}/v={batch_id - 1}"))
-        latest = rows.groupBy("session_id").agg(F.max_by(F.struct("status", "notes", "ts"), F.struct("ts", "status")).alias("t"))
-        latest.select("session_id", "t.*").write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
-    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
+    def append(batch: DataFrame, batch_id: int) -> None:
+        latest_triage(batch.select("session_id", "status", "notes", "ts")).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+    return log.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).start()
+
+
+def triage_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Current status per session from all batches written so far."""
+    return latest_triage(spark.read.option("basePath", folder).parquet(f"{folder}/batch=*"))
+
+
+def unknown_content(blocks: DataFrame, baseline: Baseline) -> DataFrame:
+    """Stream of blocks (column ``content_hash``) less those that the saved baseline knows."""
+    return blocks.join(baseline.hashes, "content_hash", "left_anti")
 
 
 def enrich_with_feed(values: DataFrame, feed: DataFrame) -> DataFrame:

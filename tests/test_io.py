@@ -6,7 +6,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from huskwatch.operators import rollups
+from huskwatch.functions.text import block_hash
+from huskwatch.operators import baseline, blocks, rollups
 from huskwatch.plans.hunt import Hunt
 from huskwatch.sources import readers, sinks
 from huskwatch.streaming import jobs
@@ -155,6 +156,27 @@ def test_stream_reassembly_and_deduplication(spark, tmp_path):
     assert len(run(jobs.deduplicate(jobs.read_records(spark, str(tmp_path / "dup"), 1)), "d1")) == 2
 
 
+def test_stream_reassembly_equals_batch(spark, tmp_path):
+    """Undated parts, tokens across part borders, paths and threads: the stream gives what the batch job gives."""
+    def part(i, n, total, text, t):
+        return rec(text, t, ScriptBlockId=i, MessageNumber=n, MessageTotal=total, ThreadId=7, Path="C:\\\\x.ps1")
+    rows = [part("m", 2, 2, "-join('b','c')", "2024-06-01T10:00:01Z"), part("m", 1, 2, "in`voke ", "2024-06-01T10:00:00Z"), part("n", 1, 1, "no t`ime", "bad"),
+            part("k", 1, 1, "sing`le", "2024-06-01T10:00:02Z")]
+    feed_files(tmp_path / "in", [[r] for r in rows])
+    names = ["block_id", "block_number", "block_total", "thread_id", "path", "ts", "raw_text", "decoded_text"]
+    got = {tuple(r[n] for n in names) for r in run(jobs.reassemble(jobs.read_records(spark, str(tmp_path / "in"), 1)), "r9")}
+    batch = blocks.reassemble(blocks.decode_blocks(readers.read_ndjson(spark, str(tmp_path / "in"))))
+    assert got == {tuple(r[n] for n in names) for r in batch.collect()} and len(got) == 3
+
+
+def test_stream_baseline(spark, tmp_path):
+    feed_files(tmp_path / "in", [[rec("known", "2024-06-01T10:00:00Z"), rec("new", "2024-06-01T10:00:01Z")]])
+    stream = jobs.read_records(spark, str(tmp_path / "in")).withColumn("content_hash", block_hash(F.col("raw_text")))
+    hashes = spark.createDataFrame([("known",)], "raw_text string").select(block_hash(F.col("raw_text")).alias("content_hash"))
+    known = baseline.Baseline(None, hashes, None, None, None)
+    assert [r.raw_text for r in run(jobs.unknown_content(stream, known), "b1")] == ["new"]
+
+
 def test_stream_triage_and_feed(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -165,7 +187,7 @@ def test_stream_triage_and_feed(spark, tmp_path):
     q = jobs.triage_upsert(log, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.processAllAvailable()
     q.stop()
-    assert {(r.session_id, r.status) for r in spark.read.parquet(str(tmp_path / "out/v=2")).collect()} == {("a", "closed"), ("b", "open")}
+    assert {(r.session_id, r.status) for r in jobs.triage_table(spark, str(tmp_path / "out")).collect()} == {("a", "closed"), ("b", "open")}
     feed = spark.createDataFrame([("1.2.3.4", "threatfox", "Fam")], "value string, source string, malware_name string")
     values = jobs.read_records(spark, str(folder)).select(F.col("raw_text").alias("value"))
     feed_files(tmp_path / "v", [[rec("1.2.3.4", "2024-06-01T10:00:00Z"), rec("9.9.9.9", "2024-06-01T10:00:00Z")]])
