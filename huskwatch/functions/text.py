@@ -63,9 +63,11 @@ def shannon_entropy(texts: pd.Series) -> pd.Series:
     def one(text: str | None) -> float:
         if not text:
             return 0.0
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        counts = np.bincount(points)
-        p = counts[counts > 0] / len(points)
+        if text.isascii():
+            counts = np.bincount(np.frombuffer(text.encode("ascii"), dtype=np.uint8))
+        else:
+            counts = np.unique(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32), return_counts=True)[1]
+        p = counts[counts > 0] / len(text)
         return float(-(p * np.log2(p)).sum())
     return texts.map(one)
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from huskwatch.catalog.content import advice_table, content_table
+from huskwatch.catalog.rules import builtin_rules
 from huskwatch.functions import decode as D
 from huskwatch.functions import scoring, style
 from huskwatch.functions import text as X
@@ -227,6 +228,136 @@ def n12_credential_mark(s):
     return s.t("documents").select("doc_id", F.sha2(D.mark_credentials(t), 256).alias("digest"))
 
 
+def _letters(s: Tables) -> tuple[DataFrame, Column, Column]:
+    """Documents with the letters and blanks of their text, that text, and its characters."""
+    t = F.col("letters")
+    rows = s.t("documents").withColumn("letters", F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""))
+    return rows, t, F.filter(F.split(t, ""), lambda c: c != "")
+
+
+def _digest(rows: DataFrame, decoded: Column) -> DataFrame:
+    return rows.select("doc_id", F.sha2(decoded, 256).alias("digest"))
+
+
+def _base64(text: Column, charset: str) -> Column:
+    return F.regexp_replace(F.base64(F.encode(text, charset)), r"\s", "")
+
+
+@query
+def n2_join_lists(s):
+    rows, t, _ = _letters(s)
+    return _digest(rows, D.unwrap_join(F.concat(F.lit("x = ('"), F.replace(t, F.lit(" "), F.lit("', '")), F.lit("') -join ''"))))
+
+
+@query
+def n3_char_codes(s):
+    rows, _, chars = _letters(s)
+    return _digest(rows, D.unwrap_char_decimal(F.array_join(F.transform(chars, lambda c: F.concat(F.lit("[char]"), F.ascii(c).cast("string"))), "")))
+
+
+@query
+def n3_char_hex_codes(s):
+    rows, _, chars = _letters(s)
+    return _digest(rows, D.unwrap_char_hex(F.array_join(F.transform(chars, lambda c: F.concat(F.lit("[CHAR] 0x"), F.hex(F.ascii(c)))), "+")))
+
+
+@query
+def n4_hex_lists(s):
+    rows, t, _ = _letters(s)
+    pairs = F.regexp_replace(F.hex(F.concat(F.lit("invoke "), t).cast("binary")), "(..)(?=.)", "0x$1, ")
+    return _digest(rows, D.unwrap_hex_list(F.concat(F.lit("$x = "), F.regexp_replace(pairs, "(..)$", "0x$1"))))
+
+
+@query
+def n5_base64_calls(s):
+    rows, t, _ = _letters(s)
+    coded = _base64(F.concat(F.lit("get "), t), "UTF-16LE")
+    return _digest(rows, D.unwrap_base64_call(F.concat(F.lit("[Convert]::FromBase64String('"), coded, F.lit("')"))))
+
+
+@query
+def n6_base64_runs_utf16(s):
+    rows, t, _ = _letters(s)
+    coded = _base64(F.concat(F.lit("Write-Output with powershell "), t), "UTF-16LE")
+    return _digest(rows, D.unwrap_base64_run(F.concat(F.lit("run "), coded, F.lit(" now"))))
+
+
+@query
+def n7_format_strings(s):
+    """The words of a text as arguments in reversed order, picked by reversed slots."""
+    rows, t, _ = _letters(s)
+    words = F.split(F.concat(F.lit("w "), t), " ")
+    slots = F.array_join(F.transform(F.reverse(F.sequence(F.lit(0), F.size(words) - 1)), lambda i: F.concat(F.lit("{"), i.cast("string"), F.lit("}"))), "")
+    return _digest(rows, D.unwrap_format(F.concat(F.lit('"'), slots, F.lit('" -f "'), F.array_join(F.reverse(words), '","'), F.lit('"'))))
+
+
+@query
+def n8_replace_chains(s):
+    rows, t, _ = _letters(s)
+    return _digest(rows, D.unwrap_replace_calls(F.concat(t, F.lit(".Replace('a','b')"), F.lit('.replace( "c" , "d")'))))
+
+
+@query
+def n9_reversed_literals(s):
+    rows, t, _ = _letters(s)
+    return _digest(rows, D.unwrap_reversed(F.concat(F.lit("$a = '"), F.reverse(F.concat(F.lit("call powershell "), t)), F.lit("'; b"))))
+
+
+@query
+def n10_environment_picks(s):
+    rows, t, _ = _letters(s)
+    picks = F.concat_ws(",", *[(F.col("doc_id") * k % 27).cast("string") for k in (1, 3, 7)])
+    return _digest(rows, D.unwrap_env(F.concat(F.lit("& ($env:ComSpec["), picks, F.lit("]-join'') "), t)))
+
+
+@query
+def n11_looks_like_script(s):
+    """Texts with a script word in front of every third one."""
+    return s.t("documents").select("doc_id", D.looks_like_script(
+        F.concat(F.when(F.col("doc_id") % 3 == 0, "New-Item ").otherwise(""), F.regexp_replace(F.coalesce("text", F.lit("")), r"\$", ""))).alias("script"))
+
+
+@query
+def n13_every_transform(s):
+    """One wrapped form per document, by doc_id, through the whole decode job: transforms that ran and whether the text came back."""
+    rows, t, chars = _letters(s)
+    plain = F.concat(F.lit("Invoke-Expression "), t)
+    forms = [(F.replace(plain, F.lit("e"), F.lit("`e")), plain),
+             (F.concat(F.lit("('"), F.replace(plain, F.lit(" "), F.lit("','")), F.lit("') -join ''")), F.replace(plain, F.lit(" "), F.lit(""))),
+             (F.concat(F.lit("x "), F.array_join(F.transform(chars, lambda c: F.concat(F.lit("[char]"), F.ascii(c).cast("string"))), "")), F.concat(F.lit("x "), t)),
+             (F.concat(F.lit("[Convert]::FromBase64String('"), _base64(plain, "UTF-16LE"), F.lit("')")), plain),
+             (F.concat(F.lit("'"), F.reverse(F.concat(F.lit("powershell "), t)), F.lit("'")), F.concat(F.lit("'powershell "), t, F.lit("'"))),
+             (F.concat(plain, F.lit(".Replace('q','u')")), plain)]
+    pick = F.col("doc_id") % len(forms)
+    wrapped, want = F, F
+    for no, (a, b) in enumerate(forms):
+        wrapped, want = wrapped.when(pick == no, a), want.when(pick == no, b)
+    done = rows.withColumn("want", want).withColumn("d", D.decode(wrapped))
+    return done.select("doc_id", (F.col("d.decoded") == F.col("want")).alias("restored"), joined("d.transforms_applied", "transforms"))
+
+
+# One text that each built-in rule must find, in the order of the catalogue.
+TRIGGERS = (
+    "amsiInitFailed", "IAmsiStream", "Net.WebClient", "Start-BitsTransfer", 'Invoke-WebRequest -Method Get -Uri "https://x', "Invoke-ReflectivePEInjection",
+    "Runtime.InteropServices.Marshal", "__PSLockDownPolicy", "sekurlsa", "Set-WmiInstance -Class __EventFilter", "Register-ScheduledTask",
+    "-EncodedCommand AAAABBBBCCCCDDDDEEEEFFFF", "EtwEventWrite", "Add-MpPreference -ExclusionPath", r"HKCU:\Software\Microsoft\Windows\CurrentVersion\Run", "Net.Sockets.TCPClient",
+    "Invoke-Expression", "-ExecutionPolicy Bypass", "CreateProcess then NtUnmapViewOfSection", "New-Object -ComObject WScript.Shell", "IEX (New-Object Net.WebClient).DownloadString",
+    "VirtualProtect of amsi", r"HKLM:\SOFTWARE\Microsoft\Windows Script\Settings set AmsiEnable", "ntdll and EtwEventWrite", "AutoLogger-Diagtrack", "certutil -f -decode",
+    "mshta http://x", "regsvr32 a /s b /n c /i:http", "rundll32 a javascript:", "bitsadmin /transfer", "wmic /node:", "GetRequest of KerberosRequestorSecurityToken",
+    "Invoke-ASREPRoast", "dpapi::", r"reg save to HKLM\SAM", "lsadump::dcsync", "OpenProcess on lsass", "Invoke-Command -x -ComputerName", r"\\host\Admin$",
+    "Invoke-WMIMethod -x -ComputerName", "OpenProcess(", "schtasks a /change b /TR")
+
+
+@query
+def r1_builtin_catalogue(s):
+    """Every document with a line that sets off one built-in rule, or none, by doc_id: the rule's technique where it was found."""
+    slot = (F.col("doc_id") % (len(TRIGGERS) + 1)).cast("int")
+    line = F.coalesce(F.get(F.array(*[F.lit(t) for t in TRIGGERS]), slot), F.lit(""))
+    text = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^a-z \n]", ""), F.lit("\n"), line)
+    hits = F.filter(block_ops.rule_hits(text, builtin_rules()), lambda h: h.getField("rule_no") == slot)
+    return s.t("documents").select("doc_id", F.get(hits, F.lit(0)).getField("technique_id").alias("technique_id"), F.get(hits, F.lit(0)).getField("severity").alias("severity"))
+
+
 @query
 def n13_decode_fixed_point(s):
     """Whole texts wrapped twice (base64 of a backticked command) and decoded to a fixed point."""

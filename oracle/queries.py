@@ -6,6 +6,8 @@ from huskwatch.catalog.lookups import PHRASES
 from oracle.ctes import BAND, PATTERN, RANK, UNRANK, feed_type, ioc_type, q, sid, values, with_ctes
 
 TS = "%Y-%m-%d %H:%M:%S"
+LETTERS = "regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g')"
+CMD = r"'C:\Windows\System32\cmd.exe'"
 
 
 def ts(col: str, name: str | None = None) -> str:
@@ -158,6 +160,29 @@ RAW: dict[str, str] = {
     "j8_geolocation": """SELECT value AS ip, 'zone' || (CAST(string_split(value, '.')[1] AS INTEGER) % 7) AS country FROM hub WHERE ioc_type = 'ip'
         AND list_max(list_transform(string_split(value, '.'), lambda x: CAST(x AS INTEGER))) <= 255
         AND NOT regexp_matches(value, '^(0|10|127|24[0-9]|25[0-5])\\.|^192\\.168\\.|^169\\.254\\.|^172\\.(1[6-9]|2[0-9]|3[01])\\.|^198\\.1[89]\\.|^192\\.0\\.2\\.|^198\\.51\\.100\\.|^203\\.0\\.113\\.')""",
+    "n2_join_lists": f"SELECT doc_id, sha256('x = ' || replace({LETTERS}, ' ', '')) AS digest FROM documents",
+    "n3_char_codes": f"SELECT doc_id, sha256({LETTERS}) AS digest FROM documents",
+    "n3_char_hex_codes": f"SELECT doc_id, sha256(array_to_string(list_filter(string_split({LETTERS}, ''), lambda c: c <> ''), '+')) AS digest FROM documents",
+    "n4_hex_lists": f"""SELECT doc_id, sha256('$x = "invoke ' || {LETTERS} || '"') AS digest FROM documents""",
+    "n5_base64_calls": f"SELECT doc_id, sha256('get ' || {LETTERS}) AS digest FROM documents",
+    "n6_base64_runs_utf16": f"SELECT doc_id, sha256('run Write-Output with powershell ' || {LETTERS} || ' now') AS digest FROM documents",
+    "n7_format_strings": f"SELECT doc_id, sha256('w' || replace({LETTERS}, ' ', '')) AS digest FROM documents",
+    "n8_replace_chains": f"SELECT doc_id, sha256({LETTERS}) AS digest FROM documents",
+    "n9_reversed_literals": f"SELECT doc_id, sha256('$a = ''call powershell ' || {LETTERS} || '''; b') AS digest FROM documents",
+    "n10_environment_picks": f"""SELECT doc_id, sha256('& (' || substr({CMD}, doc_id % 27 + 1, 1) || substr({CMD}, doc_id * 3 % 27 + 1, 1) || substr({CMD}, doc_id * 7 % 27 + 1, 1)
+      || ') ' || {LETTERS}) AS digest FROM documents""",
+    "n11_looks_like_script": """SELECT doc_id, length(t) >= 5 AND regexp_matches(lower(t), 'invoke|iex|powershell|cmdlet|param\\(|function |write-|get-|set-|new-|webclient|downloadstring|bypass|hidden|-nop|amsi') AS script
+      FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'New-Item ' ELSE '' END || replace(coalesce(text, ''), '$', '') AS t FROM documents)""",
+    "n13_every_transform": f"""SELECT doc_id, true AS restored, CASE doc_id % 6 WHEN 0 THEN 'backtick' WHEN 1 THEN 'join' WHEN 2 THEN CASE WHEN {LETTERS} = '' THEN '' ELSE 'char_concat' END
+      WHEN 3 THEN 'base64' WHEN 4 THEN 'reversed' ELSE 'replace_chain' END AS transforms FROM documents""",
+    "r1_builtin_catalogue": """SELECT doc_id, technique_id, severity FROM documents LEFT JOIN (SELECT * FROM (VALUES
+      (0, 'AMSI_BYPASS_REFLECT', 90), (1, 'AMSI_BYPASS_COM', 90), (2, 'DOWNLOAD_CRADLE_WC', 75), (3, 'DOWNLOAD_CRADLE_BITS', 70), (4, 'DOWNLOAD_CRADLE_IWR', 65), (5, 'REFLECTIVE_INJECT', 95),
+      (6, 'SHELLCODE_MARSHAL', 95), (7, 'CLM_BYPASS', 80), (8, 'CRED_HARVEST', 90), (9, 'WMI_PERSIST', 80), (10, 'SCHTASK_CREATE', 55), (11, 'ENCODED_CMD', 50),
+      (12, 'ETW_BYPASS', 80), (13, 'AV_EXCLUSION', 75), (14, 'REG_PERSIST', 55), (15, 'REVERSE_SHELL', 95), (16, 'IEX_EXEC', 40), (17, 'EXEC_POLICY_BYPASS', 35),
+      (18, 'PROC_HOLLOW', 90), (19, 'COM_LATERAL', 75), (20, 'COBALT_STRIKE', 90), (21, 'AMSI_BYPASS_PATCH', 95), (22, 'AMSI_FORCE_DISABLE', 85), (23, 'ETW_PATCH_INLINE', 90),
+      (24, 'ETW_PROVIDER_DISABLE', 75), (25, 'LOLBIN_CERTUTIL', 75), (26, 'LOLBIN_MSHTA', 80), (27, 'LOLBIN_REGSVR32', 80), (28, 'LOLBIN_RUNDLL32', 75), (29, 'LOLBIN_BITSADMIN', 70),
+      (30, 'WMIC_REMOTE_EXEC', 80), (31, 'KERBEROAST_SPN', 85), (32, 'ASREPROAST', 85), (33, 'DPAPI_DECRYPT', 80), (34, 'SAM_DUMP', 90), (35, 'DCSYNC_PATTERN', 95),
+      (36, 'LSASS_READ', 90), (37, 'LATERAL_PSREMOTING', 80), (38, 'LATERAL_INVOKE_CMD', 75), (39, 'LATERAL_WMI_EXEC', 80), (40, 'PROC_INJECT_OPENPROC', 90), (41, 'SCHTASK_HIJACK', 75)) AS v(slot, technique_id, severity)) ON slot = doc_id % 43""",
     "n13_decode_fixed_point": """SELECT doc_id, long AS restored, 2 AS passes, CASE WHEN long THEN 'backtick,base64' ELSE 'backtick' END AS transforms FROM (
         SELECT doc_id, ceil((18 + length(regexp_replace(text, '[^a-z ]', '', 'g'))) * 4 / 3.0) >= 60 AS long FROM documents)""",
     "r6_best_findings": "SELECT session_id, technique_id, mitre_id, severity, matched_text FROM best",
