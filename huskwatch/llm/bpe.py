@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Distinct text pieces whose ids a Python worker remembers; it then starts anew. Results do not depend on it.
-REMEMBERED = 150_000
+REMEMBERED = 100_000
 #: Rows whose ids and texts a worker holds at once.
 _ROWS = 256
 

@@ -12,7 +12,17 @@ from pyspark.sql import functions as F
 SPACES = b" \t\n\x0b\x0c\r"
 
 
+#: Rows that go to a Python worker at once; texts are long, and a worker holds a batch several times over.
+BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker of this session holds at once; called by the queries and the pipeline."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
