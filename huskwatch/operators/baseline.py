@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from huskwatch.catalog.lookups import UNIVERSAL_TERMS
@@ -64,42 +64,41 @@ def known_good(features: DataFrame, baseline: Baseline) -> DataFrame:
 BLOCK_KEY = ("block_id", "block_number", "host_id", "process_id", "ts")
 
 
+def _spread_null(key: Column) -> Column:
+    """The key, or for rows without one a stand-in that matches nothing and is spread over 1024 values."""
+    return F.coalesce(key, F.concat(F.lit("\0"), F.pmod(F.xxhash64("block_id"), F.lit(1024)).cast("string")))
+
+
 def anomaly(features: DataFrame, baseline: Baseline) -> DataFrame:
     """0-100 distance of every block from the baseline.
 
-    Only terms of not-yet-known blocks are exploded; they meet the vocabulary in one equi-join.
-    Baseline-wide numbers come in as scalar subqueries.
+    Terms are counted inside their row; only those of not-yet-known blocks that are not universal are exploded
+    and meet the vocabulary in one equi-join.  What else the score needs travels with them, so the blocks are
+    not joined back.  Baseline-wide numbers come in as scalar subqueries.
     """
-    universal = [F.lit(t) for t in UNIVERSAL_TERMS]
+    universal = F.array(*[F.lit(t) for t in UNIVERSAL_TERMS])
     observed = baseline.observed.select("n").scalar()
-    stats = baseline.samples.agg(F.count("entropy").alias("n"), F.avg("entropy").alias("mean"))
-    flagged = (features.select(*BLOCK_KEY, "path", "entropy", "terms", "content_hash")
-               .withColumn("norm_path", F.when(F.length("path") > 0, normalise_path(F.col("path"))))
+    stats = baseline.samples.agg(F.struct(F.count("entropy").alias("n"), F.avg("entropy").alias("mean")).alias("s")).select("s").scalar()
+    path = F.when(F.length("path") > 0, normalise_path(F.col("path")))
+    flagged = (features.select(*BLOCK_KEY, "entropy", "terms", "content_hash", _spread_null(path).alias("norm_path"))
                .join(baseline.hashes.select("content_hash", F.lit(True).alias("known_hash")), "content_hash", "left")
                .join(baseline.paths.select("norm_path", F.lit(True).alias("known_path")), "norm_path", "left"))
-    counted = (flagged.filter(F.col("known_hash").isNull())
-               .select(*BLOCK_KEY, F.explode("terms").alias("term"))
-               .groupBy(*BLOCK_KEY, "term").agg(F.count("*").alias("k"))
-               .join(baseline.vocab, "term", "left")
-               .withColumn("seen", F.coalesce("n", F.lit(0)))
-               .withColumn("odd", ~F.array_contains(F.array(*universal), F.col("term")))
-               .groupBy(*BLOCK_KEY).agg(
-                   F.sum("k").alias("terms_n"),
-                   F.sum(F.when(F.col("odd") & (F.col("seen") < 5), F.col("k")).otherwise(0)).alias("rare"),
-                   F.sum(F.when(F.col("odd") & (F.col("seen") == 0), F.col("k")).otherwise(0)).alias("never")))
-    same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in BLOCK_KEY]
-    on = same[0]
-    for c in same[1:]:
-        on = on & c
-    joined = flagged.alias("a").join(counted.alias("b"), on, "left").select("a.*", "b.terms_n", "b.rare", "b.never")
+    odd = F.when(F.col("known_hash").isNull(), F.filter("terms", lambda t: ~F.array_contains(universal, t)))
+    kept = [*BLOCK_KEY, "entropy", "known_hash", "known_path"]
+    size = F.size(F.coalesce("terms", F.array().cast("array<string>")))
+    one = flagged.withColumn("size", size).select(*kept, "size", F.posexplode_outer(odd).alias("pos", "term"))
+    counted = (one.groupBy(*kept, "term").agg(F.count("term").alias("k"), F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("size"))).alias("size"))
+               .withColumn("term", _spread_null(F.col("term")))
+               .join(baseline.vocab, "term", "left").withColumn("seen", F.coalesce("n", F.lit(0)))
+               .groupBy(*kept).agg(
+                   F.sum("size").alias("terms_n"),
+                   F.sum(F.when(F.col("seen") < 5, F.col("k")).otherwise(0)).alias("rare"),
+                   F.sum(F.when(F.col("seen") == 0, F.col("k")).otherwise(0)).alias("never")))
     rarity = F.least(F.lit(100.0), (F.col("rare") + 1.5 * F.col("never")) / F.col("terms_n") * 80)
-    outlier = ((stats.select("n").scalar() > 50) & (F.col("entropy") > stats.select("mean").scalar() * 1.5)
-               & (F.col("entropy") > 4.5))
+    outlier = (stats.getField("n") > 50) & (F.col("entropy") > stats.getField("mean") * 1.5) & (F.col("entropy") > 4.5)
     raw = rarity + F.when(outlier, 15.0).otherwise(0.0)
     score = F.least(F.lit(100.0), F.when(F.col("known_path"), raw * 0.3).otherwise(raw))
-    return joined.withColumn("anomaly", F.when(
-        (observed < 100) | F.col("known_hash").isNotNull() | F.col("terms_n").isNull(), 0.0).otherwise(score)).select(
-        *BLOCK_KEY, "anomaly")
+    return counted.select(*BLOCK_KEY, F.when((observed < 100) | F.col("known_hash").isNotNull() | (F.col("terms_n") == 0), 0.0).otherwise(score).alias("anomaly"))
 
 
 def session_anomaly(scored: DataFrame) -> DataFrame:

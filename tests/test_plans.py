@@ -1,5 +1,6 @@
 """Plan shapes that matter at scale, and registered queries against SQL on the smallest tables."""
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -16,11 +17,13 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
-def test_no_cartesian_joins(spark, name):
-    if name.startswith(("p", "j", "i", "a2", "w", "t")):
+def test_no_query_joins_all_pairs(spark):
+    """Plans every registered query once, several at a time."""
+    def bad(name):
         text = plan(QUERIES[name](spark, FOLDER))
-        assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+        return name if "CartesianProduct" in text or "BroadcastNestedLoopJoin" in text else None
+    with ThreadPoolExecutor(8) as pool:
+        assert [x for x in pool.map(bad, sorted(QUERIES)) if x] == []
 
 
 def test_top_per_key_is_cut_before_the_shuffle(spark):
@@ -57,4 +60,4 @@ def test_queries_equal_sql(spark, name):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(entry_mod.oracle_sql())
+    assert set(QUERIES) <= set(entry_mod.oracle_sql())
