@@ -8,9 +8,10 @@ IPV4 = r"^\d{1,3}(?:\.\d{1,3}){3}$"
 
 # Ranges that are private, loopback, link-local or reserved for special use.
 NOT_PUBLIC = ["0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12",
-              "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16",
+              "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16",
               "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
               "255.255.255.255/32"]
+BUT_PUBLIC = ["192.0.0.9/32", "192.0.0.10/32"]
 
 
 def ip_to_long(ip: Column) -> Column:
@@ -35,6 +36,8 @@ def is_public(ip: Column) -> Column:
     for cidr in NOT_PUBLIC:
         low, high = _range(cidr)
         cond = cond & ~n.between(low, high)
+    for cidr in BUT_PUBLIC:
+        cond = cond | n.between(*_range(cidr))
     return F.coalesce(cond, F.lit(False))
 
 

@@ -208,6 +208,41 @@ def p16_public_address(s):
     return s.hunt.hub.filter(F.col("ioc_type") == "ip").select("value", is_public(F.col("value")).alias("is_public"))
 
 
+@query
+def p14_beacon_flags(s):
+    """Every other user's intervals made regular, so that both answers occur."""
+    steady = F.transform("intervals", lambda x, i: F.lit(60.0) + i % 5)
+    mixed = s.beats.withColumn("intervals", F.when(F.size("intervals") % 2 == 0, steady).otherwise(F.col("intervals")))
+    return beacon_ops.beacons(mixed, 0.0).select("session_id", "is_beacon", "confidence")
+
+
+@query
+def p16_address_classes(s):
+    """Addresses made of doc_id that fall into private, reserved and public ranges."""
+    n = F.col("doc_id")
+    heads = ["10", "172.16", "172.32", "192.168", "192.0.2", "192.0.0", "198.18", "203.0.113", "8.8", "100.64", "240.1", "127.0", "169.254", "300.1", "198.51.100"]
+    head = F.get(F.array(*[F.lit(h) for h in heads]), (n % len(heads)).cast("int"))
+    tail = F.array_join(F.slice(F.array(*[(n * k % 256).cast("string") for k in (3, 5, 7)]), 1, 4 - F.size(F.split(head, r"\."))), ".")
+    value = F.concat(head, F.lit("."), tail)
+    return s.t("documents").select("doc_id", value.alias("value"), is_public(value).alias("is_public"))
+
+
+@query
+def r3_entropy_rule(s):
+    """The fallback itself on every block, whether or not a rule matched."""
+    rows = A.doc_blocks(s.spark, s.folder)
+    return rows.select("block_id", F.size(block_ops.entropy_fallback(F.col("decoded_text"), F.col("entropy"), 4.2)).alias("n"))
+
+
+@query
+def f4_join_idioms(s):
+    """Texts with one of the three idioms, two of them, or none, by doc_id."""
+    tails = [" -join ''", " [string]::Join(',', $a)", " + 'x'", " nothing", " + \"y\" -JOIN \"\""]
+    tail = F.get(F.array(*[F.lit(t) for t in tails]), (F.col("doc_id") % len(tails)).cast("int"))
+    text = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z ]", ""), tail)
+    return s.t("documents").select("doc_id", style.join_style(style.join_style_rank(text)).alias("style"))
+
+
 @query
 def p17_known_good(s):
     return base_ops.known_good(s.words, s.baseline).select("block_id")

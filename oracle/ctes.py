@@ -241,6 +241,11 @@ CTES = {
       WHERE contains(lower(decoded_text), '{needle}')""",
 }
 
+# The same profiles over intervals of which every other list is made regular.
+CTES["ivs_m"] = "SELECT session_id, CASE WHEN len(iv) % 2 = 0 THEN list_transform(iv, lambda x, i: 60.0::DOUBLE + (i - 1) % 5) ELSE iv END AS iv, times FROM ivs"
+for _name in ("beats", "lags", "bestlag", "profiles"):
+    CTES[f"{_name}_m"] = re.sub(r"\b(ivs|beats|lags|bestlag)\b", r"\1_m", CTES[_name])
+
 
 def with_ctes(final: str, **params: str) -> str:
     """Prefix ``final`` with the tables it needs, in dependency order."""

@@ -36,9 +36,18 @@ RAW: dict[str, str] = {
     "p14_beacon_predicate": "SELECT session_id, confidence FROM profiles WHERE confidence >= 0.65",
     "p15_confirmed_campaigns": "SELECT count(*) AS n, max(session_count) AS largest FROM camps WHERE is_confirmed",
     "p16_public_address": """SELECT value, coalesce(list_max(o) <= 255 AND NOT regexp_matches(value, '(^|\\.)0[0-9]') AND NOT (o[1] IN (0, 10, 127) OR (o[1] = 169 AND o[2] = 254)
-        OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 192 AND o[2] = 0 AND o[3] = 2) OR (o[1] = 192 AND o[2] = 0 AND o[3] = 0 AND (o[4] < 8 OR o[4] IN (170, 171)))
+        OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31) OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 192 AND o[2] = 0 AND o[3] = 2) OR (o[1] = 192 AND o[2] = 0 AND o[3] = 0 AND o[4] NOT IN (9, 10))
         OR (o[1] = 198 AND o[2] IN (18, 19)) OR (o[1] = 198 AND o[2] = 51 AND o[3] = 100) OR (o[1] = 203 AND o[2] = 0 AND o[3] = 113) OR o[1] >= 240), false) AS is_public
       FROM (SELECT value, list_transform(string_split(value, '.'), lambda x: CAST(x AS INTEGER)) AS o FROM hub WHERE ioc_type = 'ip')""",
+    "p14_beacon_flags": "SELECT session_id, confidence >= 0.65 AS is_beacon, confidence FROM profiles_m",
+    "p16_address_classes": f"""SELECT doc_id, value, coalesce(list_max(o) <= 255 AND NOT (o[1] IN (0, 10, 127) OR (o[1] = 169 AND o[2] = 254) OR (o[1] = 172 AND o[2] BETWEEN 16 AND 31)
+        OR (o[1] = 192 AND o[2] = 168) OR (o[1] = 192 AND o[2] = 0 AND o[3] = 2) OR (o[1] = 192 AND o[2] = 0 AND o[3] = 0 AND o[4] NOT IN (9, 10)) OR (o[1] = 198 AND o[2] IN (18, 19))
+        OR (o[1] = 198 AND o[2] = 51 AND o[3] = 100) OR (o[1] = 203 AND o[2] = 0 AND o[3] = 113) OR o[1] >= 240), false) AS is_public
+      FROM (SELECT doc_id, value, list_transform(string_split(value, '.'), lambda x: CAST(x AS INTEGER)) AS o FROM (
+        SELECT doc_id, head || '.' || array_to_string([doc_id * 3 % 256, doc_id * 5 % 256, doc_id * 7 % 256][1:4 - len(string_split(head, '.'))], '.') AS value FROM (
+          SELECT doc_id, ['10', '172.16', '172.32', '192.168', '192.0.2', '192.0.0', '198.18', '203.0.113', '8.8', '100.64', '240.1', '127.0', '169.254', '300.1', '198.51.100'][doc_id % 15 + 1] AS head FROM documents)))""",
+    "r3_entropy_rule": "SELECT block_id, CASE WHEN entropy > 4.2 AND length(decoded_text) > 300 THEN 1 ELSE 0 END AS n FROM full_blocks",
+    "f4_join_idioms": "SELECT doc_id, ['-join', '[string]::Join', 'concat', NULL, '-join'][doc_id % 5 + 1] AS style FROM documents",
     "p17_known_good": "SELECT block_id FROM words WHERE content_hash IN (SELECT content_hash FROM benign)",
     "n1_backtick": "SELECT doc_id, sha256(text) AS digest FROM documents",
     "n12_credential_mark": """SELECT doc_id, sha256('"[PLAINTEXT_CRED:' || source || ']"; New-Object "[CREDENTIAL:' || lang || ':pw]"); ' || text) AS digest FROM documents""",
