@@ -163,12 +163,14 @@ def builtin_rules() -> list[Rule]:
     return [Rule(n, t, m, s, tuple(p)) for n, t, m, s, p in _BUILTIN]
 
 
-def load_rules(path: str | None = None) -> list[Rule]:
+def load_rules(path: str | None = None, spark=None) -> list[Rule]:
     """Rules from a JSON file (a list, or an object with a ``rules`` list); the built-in
-    catalogue when the file is not given or does not exist."""
-    if path is None or not Path(path).exists():
+    catalogue when no file is given.  With a session the file is read by Spark, from any store it
+    knows.  A named file that does not exist is an error."""
+    if path is None:
         return builtin_rules()
-    data = json.loads(Path(path).read_text(encoding="utf-8"))
+    text = Path(path).read_text(encoding="utf-8") if spark is None else spark.read.text(path, wholetext=True).first()[0]
+    data = json.loads(text)
     rows = data.get("rules", []) if isinstance(data, dict) else data
     return [
         Rule(r["name"], r["technique_id"], r["mitre_id"], int(r["severity"]),

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from huskwatch.catalog.lookups import PHRASES
 from huskwatch.functions.scoring import tier_rank
-from huskwatch.operators.enrich import first_per
+from huskwatch.operators.campaigns import campaign_order
+from huskwatch.operators.enrich import first_per, host_processes, session_logons
 
 
 def summary_rows(sessions: DataFrame) -> DataFrame:
@@ -25,25 +26,41 @@ def summary_rows(sessions: DataFrame) -> DataFrame:
         F.col("changed_blocks").alias("deobfuscation_passes"), "max_severity")
 
 
-def detail_children(rows: DataFrame, blocks: DataFrame, members: DataFrame) -> dict[str, DataFrame]:
-    """Child tables of the session detail: first 60 indicators, block texts cut for display, findings.
+def detail_children(rows: DataFrame, blocks: DataFrame, members: DataFrame, n_iocs: int = 60) -> dict[str, DataFrame]:
+    """Child tables of the session detail: first indicators, block texts cut for display, findings.
 
-    ``rows`` are stitched block rows with findings; ``blocks`` holds the texts.
+    ``rows`` are stitched block rows with findings; ``blocks`` holds the texts.  Texts are cut before they travel, and
+    records that were sent twice share one text.
     """
     keys = ["block_id", "block_number"]
     texts = blocks.select(*keys, F.left("decoded_text", F.lit(1200)).alias("decoded_text"),
-                          F.when(F.col("raw_text") != F.col("decoded_text"), F.left("raw_text", F.lit(400))).alias("raw_text"))
+                          F.when(F.col("raw_text") != F.col("decoded_text"), F.left("raw_text", F.lit(400))).alias("raw_text")).dropDuplicates(keys)
     found = (rows.select("session_id", *keys, F.posexplode_outer("findings").alias("pos", "f"))
              .filter(F.col("f").isNotNull()).select("session_id", *keys, "pos", "f.*")
              .withColumn("matched_text", F.left("matched_text", F.lit(200)))
              .withColumn("confidence", F.round("confidence", 2)))
     return {
-        "iocs": first_per(members, ["session_id"], [F.col("value")], 60),
+        "iocs": first_per(members, ["session_id"], [F.col("value")], n_iocs),
         "blocks": rows.select("session_id", *keys, "ts", "path", F.round("entropy", 2).alias("entropy"), "severity").join(texts, keys),
         "findings": found,
     }
 
 
+def detail_context(sessions: DataFrame, processes: DataFrame, logons: DataFrame, hits: DataFrame, moves: DataFrame, credentials: DataFrame,
+                   n_processes: int = 30, n_logons: int = 30) -> dict[str, DataFrame]:
+    """Further child tables of the session detail: processes of the session's host, logons around it, feed hits, moves from
+    and to it, and credentials first seen in it; each row carries session_id."""
+    own = sessions.select("session_id", "host_id")
+    ends = F.explode(F.array_distinct(F.array("source_session", "target_session")))
+    return {
+        "processes": own.join(host_processes(processes, n_processes).withColumnRenamed("process_id", "pid"), "host_id"),
+        "logons": session_logons(sessions, logons, n=n_logons),
+        "hits": hits.join(own.select("session_id"), "session_id", "left_semi"),
+        "moves": moves.withColumn("session_id", ends),
+        "credentials": credentials,
+    }
+
+
 def session_filter(sessions: DataFrame, tier: str = "all", min_score: float = 0, query: str = "") -> DataFrame:
     out = sessions.filter(F.col("weighted_score") >= min_score)
     if tier != "all":
@@ -124,3 +141,12 @@ def report_rows(sessions: DataFrame, members: DataFrame, min_score: float = 40)
     return sessions.join(told, "session_id", "left").select(
         "session_id", "alert_tier", "host_id", F.round("weighted_score").alias("score"), "tempo", "technique_set",
         F.coalesce("narrative", F.lit("")).alias("narrative"))
+
+
+def report_set(sessions: DataFrame, members: DataFrame, campaigns: DataFrame, min_score: float = 40) -> dict[str, DataFrame]:
+    """Tables of the report: sessions by falling score, campaigns in their order, and the number of sessions per tier."""
+    return {
+        "sessions": report_rows(sessions, members, min_score).orderBy(F.desc("score"), F.asc("session_id")),
+        "campaigns": campaigns.orderBy(*campaign_order()),
+        "tiers": sessions.groupBy("alert_tier").agg(F.count("*").alias("sessions")).orderBy(F.desc(tier_rank(F.col("alert_tier")))),
+    }

@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -152,6 +152,20 @@ def p5_session_summary(s):
                     "has_beacon", "tempo", "deobfuscation_passes", "max_severity")
 
 
+@query
+def p6_session_detail(s):
+    """Rows of each child table of the session detail, counted per session."""
+    tables = views.detail_context(s.hunt.sessions, A.process_events(s.spark, s.folder), A.logon_events(s.spark, s.folder), s.hits, s.hunt.moves,
+                                  indicators.first_credentials(s.hunt.rows))
+    counts = [t.groupBy("session_id").agg(F.count("*").alias("n")).select("session_id", F.lit(k).alias("child"), "n") for k, t in tables.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query
+def s14_report_tiers(s):
+    return views.report_set(s.hunt.sessions, s.hunt.members, s.hunt.campaigns)["tiers"]
+
+
 @query
 def p7_session_filter(s):
     return views.session_filter(s.hunt.sessions, "all", 40, "SRC1 ").select("session_id", "alert_tier", r6("weighted_score"))

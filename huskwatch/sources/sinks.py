@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from huskwatch.functions.scoring import band_rank
 from huskwatch.operators.indicators import hub_members
 
 
@@ -75,3 +76,8 @@ def write_content(detections: DataFrame, platforms: list[str], folder: str) -> N
     """Query texts as rows (platform, technique, text), partitioned by platform."""
     texts = F.explode(F.map_from_arrays(F.array(*[F.lit(p) for p in platforms]), F.array(*[F.col(p) for p in platforms]))).alias("platform", "text")
     detections.select("technique_id", "severity", texts).write.mode("overwrite").partitionBy("platform").json(folder)
+
+
+def write_rule_texts(rows: DataFrame, folder: str, level: str = "level") -> None:
+    """Texts of generated rules (column ``text``), most severe first: the part files in name order are the export."""
+    rows.select(band_rank(F.col(level)).alias("no"), "technique_id", "text").orderBy("no", "technique_id", "text").select("text").write.mode("overwrite").text(folder)

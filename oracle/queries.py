@@ -25,6 +25,12 @@ RAW: dict[str, str] = {
         changed_blocks AS deobfuscation_passes, max_severity
       FROM sess s LEFT JOIN (SELECT session_id, count(*) AS n FROM members GROUP BY session_id) i USING (session_id)
       LEFT JOIN (SELECT source_session AS session_id, count(*) AS n FROM moves GROUP BY source_session) m USING (session_id)""",
+    "p6_session_detail": """SELECT session_id, 'processes' AS child, least(30, count(*)) AS n FROM sess JOIN procs USING (host_id) GROUP BY session_id
+      UNION ALL SELECT s.session_id, 'logons', least(30, count(*)) FROM sess s JOIN logons l ON l.host_id = s.host_id AND l.ts BETWEEN s.start_time - INTERVAL 300 SECOND AND s.end_time + INTERVAL 300 SECOND GROUP BY s.session_id
+      UNION ALL SELECT session_id, 'hits', count(*) FROM hits GROUP BY session_id
+      UNION ALL SELECT session_id, 'moves', count(*) FROM (SELECT source_session AS session_id FROM moves UNION ALL SELECT target_session FROM moves) GROUP BY session_id
+      UNION ALL SELECT session_id, 'credentials', count(*) FROM creds GROUP BY session_id""",
+    "s14_report_tiers": "SELECT tier AS alert_tier, count(*) AS sessions FROM sess GROUP BY tier",
     "p7_session_filter": """SELECT session_id, tier AS alert_tier, round(score, 6) AS weighted_score FROM sess
       WHERE score >= 40 AND contains(lower(host_id || ' ' || process_id || ' ' || array_to_string(tech, ' ')), 'src1')""",
     "p9_pivot_indicator": "SELECT session_id, tier AS alert_tier FROM sess WHERE session_id IN (SELECT session_id FROM members WHERE contains(lower(value), 'example.com/fr'))",

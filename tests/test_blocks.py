@@ -66,7 +66,9 @@ def test_custom_rules(tmp_path, spark, make_blocks):
     rules = load_rules(str(f))
     row = classify(make_blocks(("a foo b fooo", 0)), rules).first()
     assert [x.matched_text for x in row.findings] == ["foo", "fooo"] and row.severity == 33
-    assert len(load_rules(str(tmp_path / "absent.json"))) == 42
+    assert load_rules(str(f), spark) == rules and len(load_rules()) == 42
+    with pytest.raises(FileNotFoundError):
+        load_rules(str(tmp_path / "absent.json"))
 
 
 def test_entropy_fallback(spark, make_blocks):

@@ -103,6 +103,15 @@ def test_sinks(hunt, tmp_path):
     assert layer["techniques"][0]["techniqueID"] == "T1003.001" and layer["techniques"][0]["score"] == 90
 
 
+def test_content_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([("T2", "low", "rule two {\n  a\n}"), ("T1", "critical", "rule one"), ("T0", "low", "rule zero")], "technique_id string, level string, text string")
+    sinks.write_rule_texts(rows, str(tmp_path / "rules"))
+    assert lines(tmp_path / "rules") == ["rule one", "rule zero", "rule two {", "  a", "}"]
+    found = spark.createDataFrame([("T1", "high", "kql text", "eql text")], "technique_id string, severity string, kql string, eql string")
+    sinks.write_content(found, ["kql", "eql"], str(tmp_path / "content"))
+    assert {(r.platform, r.text) for r in spark.read.json(str(tmp_path / "content")).collect()} == {("kql", "kql text"), ("eql", "eql text")}
+
+
 # -- streams -------------------------------------------------------------------------------------
 
 def run(df, name, mode="append"):
