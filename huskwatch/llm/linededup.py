@@ -155,7 +155,7 @@ def copies(docs: DataFrame, run: int = RUN, cells: int = CELLS) -> DataFrame:
 
     order = ("bucket", F.col("doc_id").asc_nulls_last(), "anchor")
     found = spread(texts.mapInArrow(match, _ROW), "bucket").sortWithinPartitions(*order).mapInArrow(extend, "doc_id long, key long, start int, end int")
-    return found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    return found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 
 def without_lines(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int]:

@@ -250,7 +250,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED, cells: int
             held.append(packed)
 
     found = spread(texts.mapInArrow(pack, "bucket long, packed binary"), "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "doc_id long, key long, start int, end int")
-    return found.groupBy("doc_id", "key").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
+    return found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -65,8 +65,10 @@ def with_revisits(pages: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     Of equal payloads of at least ``shortest`` bytes, the rows with the smallest page_id are responses and the others revisit
     it; rows without an id come last, and are all responses where no row of the payload has one."""
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("digest", F.when(F.length("payload") >= shortest, F.unhex(F.sha2("payload", 256))))
-    first = rows.where("digest is not null").groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
+    # Short payloads get keys that match nothing, so that many equal ones do not meet in one task.
+    alone = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))
+    rows = rows.withColumn("digest", F.when(F.length("payload") >= shortest, F.sha2("payload", 256)).otherwise(alone))
+    first = rows.where(F.length("payload") >= shortest).groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").select("digest", "refers_to")
     found = rows.join(first, "digest", "left")
     revisit = F.col("refers_to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("refers_to"))
     return found.select("page_id", "url", "payload", F.when(revisit, F.col("refers_to")).alias("refers_to"), revisit.alias("revisit"))
