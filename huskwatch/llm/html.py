@@ -201,10 +201,22 @@ def _value(node: Node) -> float:
     return (node.score + bonus * (node.score > 0)) * (1 - (node.linked / node.chars if node.chars else 0))
 
 
+def _whole(best: Node) -> Node:
+    """The article around the best container: the nearest article element, else the outermost main element or named container with few links."""
+    found, up = best, best
+    while up is not None and up.tag not in ("body", "html"):
+        if up.tag == "article":
+            return up
+        if (up.tag == "main" or any(named(m) > 0 for m in up.marks.lower().split())) and up.linked < 0.3 * up.chars:
+            found = up
+        up = up.up
+    return found
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks joined by empty lines; a null, empty or wordless page gives the empty text.
 
-    The container with the best value is kept whole, but for what surrounds articles. Siblings stay if their value is a
+    The container with the best value, or the article that it is a part of, is kept whole, but for what surrounds articles. Siblings stay if their value is a
     fifth of the best or more, or if they are paragraphs of text with few links. Where nothing scores, all blocks stay."""
     if not page:
         return ""
@@ -217,6 +229,7 @@ def main_text(page: str | None) -> str:
     best = max(order, key=_value)
     if _value(best) <= 0:
         return "\n\n".join(t for t, _ in blocks(root))
+    best = _whole(best)
     keep = {id(best)}
     if best.up is not None:
         least = max(10.0, _value(best) / 5)

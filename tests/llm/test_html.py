@@ -16,6 +16,8 @@ FRAME = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><scrip
     ("<article><h1>Head &amp; line</h1><p>First, with <b>bold,<br>text</b> &eacute;&#233;  here.<p>Second unclosed, paragraph</article>", ["Head & line", "First, with bold, text éé here.", "Second unclosed, paragraph"]),
     ("<div><h2>A</h2><p>Long enough, a paragraph, with commas, and text.</p><p>Tiny.</p><ul><li>one<li>two</ul></div>", ["A", "Long enough, a paragraph, with commas, and text.", "Tiny.", "one", "two"]),
     ("<main><header><h1>Own</h1></header><p>Text, text, text, text, and yet more text here.</p><!-- <p>no</p> --><div hidden>no</div></main>", ["Own", "Text, text, text, text, and yet more text here."]),
+    ("<div class='post'><div>" + "<p>Long, long paragraph, with commas, and with words.</p>" * 9 + "</div><div><p>Short end.</p></div></div>",
+     ["Long, long paragraph, with commas, and with words."] * 9 + ["Short end."]),
     ("<article><p><b>Bold never closed, in a first paragraph.<br><p>Next, second.</p><br></article>", ["Bold never closed, in a first paragraph.", "Next, second."]),
 ])
 def test_article_without_its_surroundings(body, want):
