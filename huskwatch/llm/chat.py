@@ -37,17 +37,19 @@ def segments(turns: DataFrame) -> DataFrame:
     formatted text; the target is the part of an assistant's segment that is trained on, its text without marks, and null in
     other turns. Lengths are first summed over stretches of turns, so that a very long conversation is no single task."""
     role, text = escape(F.col("role")), escape(F.col("text"))
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
+    # Keys without nulls, so that the windows and the join share one shuffle of the texts.
+    keys = ["_no_conv", "_conv", "_stretch"]
+    stretch = F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(-(1 << 62)))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.length(text).alias("n"),
                         F.concat(F.lit(OPEN + HEAD), role, F.lit(BODY), text, F.lit(CLOSE)).alias("segment"),
-                        F.length(text).alias("n"), F.floor(F.col("turn") / STRETCH).alias("stretch"))
+                        F.col("conv_id").isNull().alias("_no_conv"), F.coalesce("conv_id", F.lit(0)).alias("_conv"), stretch.alias("_stretch"))
     rows = rows.withColumn("length", F.length("segment").cast("long"))
-    sums = rows.groupBy("conv_id", "stretch").agg(F.sum("length").alias("total"), F.count("*").alias("turns"))
-    before = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("conv_id", "stretch", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("skip"))
-    order = ("turn", "role", "segment")
-    inside = Window.partitionBy("conv_id", "stretch").orderBy(*order)
+    sums = rows.groupBy(*keys).agg(F.sum("length").alias("total"), F.count("*").alias("turns"))
+    before = Window.partitionBy(*keys[:2]).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*keys, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("turns").over(before), F.lit(0)).alias("skip"))
+    inside = Window.partitionBy(*keys).orderBy("turn", "role", "segment")
     rows = rows.withColumn("upto", F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, 0))).withColumn("at", F.row_number().over(inside))
-    rows = rows.alias("r").join(sums.alias("s"), F.col("r.conv_id").eqNullSafe(F.col("s.conv_id")) & F.col("r.stretch").eqNullSafe(F.col("s.stretch"))).select("r.*", "base", "skip")
+    rows = rows.join(sums, keys)
     end = F.col("base") + F.col("upto")
     last = end - len(CLOSE)
     target = F.col("role") == "assistant"
@@ -71,13 +73,11 @@ def expand(formatted: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("conv_id", "example", F.concat_ws("", F.col("p.segment")).alias("text"), "target_start", "target_end")
 
 
-def read_back(formatted: DataFrame, found: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, parsed from segments and examples alone.
+def read_back(formatted: DataFrame) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, parsed from the formatted texts and the examples' targets.
 
     A conversation's segments pass in order through hashes of constant size, without being gathered."""
-    marks = found.select(F.col("conv_id").alias("_conv"), F.col("example").alias("_example"), F.col("target_start").alias("_from"), F.col("target_end").alias("_to"))
-    same = formatted["conv_id"].eqNullSafe(marks["_conv"]) & (formatted["place"] == marks["_example"])
-    rows = formatted.join(marks, same, "left").select("conv_id", "place", "segment", "start", "_from", "_to")
+    rows = formatted.select("conv_id", "place", "segment", "start", "target_start", "target_end")
     rows = spread(rows, "conv_id").sortWithinPartitions("conv_id", "place")
     kind = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
@@ -110,8 +110,7 @@ def read_back(formatted: DataFrame, found: DataFrame) -> DataFrame:
 
 def digest(turns: DataFrame) -> DataFrame:
     """One row per conversation, read back from its formatted examples; no rows, no conversations."""
-    formatted = segments(turns)
-    return read_back(formatted, examples(formatted))
+    return read_back(segments(turns))
 
 
 def with_probe(turns: DataFrame) -> DataFrame:
