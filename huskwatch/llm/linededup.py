@@ -184,10 +184,10 @@ def deduplicate(docs: DataFrame, run: int = RUN) -> DataFrame:
             rows.append((None if text is None else left.decode("utf-8", "replace"), n, sum(b - a for a, b in found)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
-    found = copies(docs, run).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("ranges").alias("_ranges"))
+    found = copies(docs, run).select(F.col("doc_id").alias("_op_id"), F.col("key").alias("_op_key"), F.col("ranges").alias("_op_ranges"))
     names = [c for c in docs.columns if c != "lines"]
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (text_key(docs["text"]) == found["_key"]), "left")
-    done = joined.select(*[docs[c] for c in names if c != "text"], strip(docs["text"].cast("binary"), F.col("_ranges")).alias("lines"))
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_op_id"]) & (text_key(docs["text"]) == found["_op_key"]), "left")
+    done = joined.select(*[docs[c] for c in names if c != "text"], strip(docs["text"].cast("binary"), F.col("_op_ranges")).alias("lines"))
     return done.select(*[F.col("lines.text").alias(c) if c == "text" else F.col(f"`{c}`") for c in names], F.struct("lines.n_lines", "lines.n_removed").alias("lines"))
 
 

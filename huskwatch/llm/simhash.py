@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huskwatch.llm.common import cut, spread, text_key
+from huskwatch.llm.common import cut, nested, restored, spread, text_key
 from huskwatch.llm.components import components
 
 RADIUS = 2
@@ -182,8 +182,10 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each component: the one with the smallest doc_id, rows without an id coming last.
 
     Among rows of the same id the smallest hash of the text decides; rows equal in both count as one. All columns are kept."""
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "key")
-    first = clusters(docs, radius).groupBy("cluster").agg(F.min(order).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.key").alias("_key"))
-    own = docs.withColumn("_own", text_key(F.col("text")))
-    kept = own.join(first, own["doc_id"].eqNullSafe(first["_id"]) & (own["_own"] == first["_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_own"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Keys without nulls, so that the join and what follows it share one shuffle of the texts.
+    keys = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0))}
+    first = clusters(docs, radius).withColumns(keys).groupBy("cluster").agg(F.min(F.struct("_none", "_id", "key")).alias("f"))
+    first = first.select("f._none", "f._id", F.col("f.key").alias("_own")).distinct()
+    own = nested(docs).withColumns({**keys, "_own": text_key(F.col("text"))}).drop("doc_id", "text")
+    kept = own.join(first, ["_none", "_id", "_own"], "left_semi")
+    return restored(kept.dropDuplicates(["_none", "_id", "_own"]), docs.columns)

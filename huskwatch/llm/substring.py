@@ -276,11 +276,11 @@ def deduplicate(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             rows.append((n, n - len(words), b" ".join(words).decode("utf-8", "replace")))
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "text"])
 
-    found = repeats(docs, window).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("ranges").alias("_ranges"))
+    found = repeats(docs, window).select(F.col("doc_id").alias("_op_id"), F.col("key").alias("_op_key"), F.col("ranges").alias("_op_ranges"))
     names = [c for c in docs.columns if c != "kept"]
-    own = docs.select(*names, key_of(F.col("text")).alias("_own"), pressed(F.col("text").cast("binary")).alias("_text"))
-    joined = own.join(found, own["doc_id"].eqNullSafe(found["_id"]) & (own["_own"] == found["_key"]), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in names], kept("_text", "_ranges").alias("kept"))
+    own = docs.select(*names, key_of(F.col("text")).alias("_op_own"), pressed(F.col("text").cast("binary")).alias("_op_text"))
+    joined = own.join(found, own["doc_id"].eqNullSafe(found["_op_id"]) & (own["_op_own"] == found["_op_key"]), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in names], kept("_op_text", "_op_ranges").alias("kept"))
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -54,8 +54,8 @@ def test_stages_equal_brute_force(spark):
 
 
 def test_stages_take_odd_rows(spark):
-    kind = "doc_id long, text string, lang string, source string, n_chars long, fp int, lines string, rules int, leak int"
-    rows = [(None, None, None, None, None, 1, "l", 2, 3), (1, "", "en", "s", 0, 1, "l", 2, 3), (1, "", "en", "s", 0, 1, "l", 2, 3), (2, "word " * 60, "en", "s", 300, 1, "l", 2, 3)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, fp int, lines string, rules int, leak int, _id long, _own string"
+    rows = [(None, None, None, None, None, 1, "l", 2, 3, 4, "o"), (1, "", "en", "s", 0, 1, "l", 2, 3, 4, "o"), (1, "", "en", "s", 0, 1, "l", 2, 3, 4, "o"), (2, "word " * 60, "en", "s", 300, 1, "l", 2, 3, 4, "o")]
     for docs in (spark.createDataFrame(rows, kind), spark.createDataFrame([], kind)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, FOLDER)
