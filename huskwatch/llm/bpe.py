@@ -189,7 +189,7 @@ class Codec:
     def encode(self, text: str) -> bytes:
         """Ids of a text; special tokens in it count as such."""
         out, at = [], 0
-        if self.split_special and "<|" in text:
+        if any(map(text.__contains__, self.special)):
             for m in self.split_special.finditer(text):
                 out += [*map(self._chunk, WHITE.split(text[at:m.start()])), array("I", [self.special[m[0]]]).tobytes()]
                 at = m.end()
