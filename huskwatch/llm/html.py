@@ -31,6 +31,10 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
+#: Ancestors that a block's points reach; what is further up would get less than a hundredth of them.
+_HEIGHT = 40
+
+
 class Node:
     """An element; ``parts`` holds its texts and elements in page order."""
 
@@ -189,10 +193,9 @@ def _score(root: Node) -> None:
         points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)
         up = node if node.tag in CONTAINERS else node.up
         depth = 0
-        while up is not None:
+        while up is not None and depth < _HEIGHT:
             up.score += points if depth == 0 else points / 2 if depth == 1 else points / (depth * 3)
             up, depth = up.up, depth + 1
-    return
 
 
 def _value(node: Node) -> float:
