@@ -2,7 +2,6 @@ import json
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from huskwatch.catalog.rules import Rule, builtin_rules, load_rules, rules_table
 from huskwatch.functions.text import required_literal
