@@ -182,9 +182,14 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One document of each component: the one with the smallest doc_id, rows without an id coming last.
 
     Among rows of the same id the smallest hash of the text decides; rows equal in both count as one. All columns are kept."""
+    return keep_first(docs, clusters(docs, radius))
+
+
+def keep_first(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The documents that come first in their cluster, given by doc_id, key and cluster for each row."""
     # Keys without nulls, so that the join and what follows it share one shuffle of the texts.
     keys = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0))}
-    first = clusters(docs, radius).withColumns(keys).groupBy("cluster").agg(F.min(F.struct("_none", "_id", "key")).alias("f"))
+    first = placed.withColumns(keys).groupBy("cluster").agg(F.min(F.struct("_none", "_id", "key")).alias("f"))
     first = first.select("f._none", "f._id", F.col("f.key").alias("_own")).distinct()
     own = nested(docs).withColumns({**keys, "_own": text_key(F.col("text"))}).drop("doc_id", "text")
     kept = own.join(first, ["_none", "_id", "_own"], "left_semi")
