@@ -7,11 +7,12 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from huskwatch.llm.common import spread
+from huskwatch.llm.common import shared_folder, spread
 
 #: Word classes of the shared vocabulary. Every word belongs to one by its hash, so no word is unknown to either model.
 CLASSES = 1 << 18
@@ -21,6 +22,8 @@ CELLS = 1 << 22
 WEIGHT = 0.7
 _ADDED = 0.5
 _BLOCK = 1 << 14
+#: Bigrams that make up more than 1/TOP of all are joined in SALTS parts.
+TOP, SALTS = 5000, 64
 
 
 def classes_of(text: bytes | None, classes: int) -> np.ndarray:
@@ -143,8 +146,81 @@ def scored(docs: DataFrame, target: Model, background: Model) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("loss", loss(F.col("text").cast("binary")))
 
 
+def grams(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """d (hash of doc_id and text), inside, a, b, n: the distinct bigrams of each document row and how often it has them.
+
+    a and b are 64-bit hashes of words (A-Z lowered), a is 0 at the start. Null texts and ids count as in fit()."""
+    marks = target.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().withColumn("_in", F.lit(True)).hint("shuffle_hash")
+    rows = docs.select("doc_id", _row(), F.col("text").cast("binary").alias("text")).join(marks, F.col("doc_id") == F.col("_id"), "left")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for d, inside, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+                words = text.as_py().lower().split() if text.is_valid else []
+                for at in range(0, len(words), _BLOCK * 64):
+                    part = words[max(at - 1, 0):at + _BLOCK * 64]
+                    ids = np.array(([] if at else [0]) + [xxhash.xxh64_intdigest(w, 7) for w in part], np.uint64).view(np.int64)
+                    pairs, n = _unique(ids)
+                    yield pa.record_batch({"d": pa.array(np.full(len(n), d.as_py(), np.int64)), "inside": pa.array(np.full(len(n), inside.as_py(), bool)), "a": pairs[:, 0], "b": pairs[:, 1], "n": n.astype(np.int64)})
+
+    return rows.select("d", F.coalesce("_in", F.lit(False)).alias("inside"), "text").mapInArrow(count, "d long, inside boolean, a long, b long, n long")
+
+
+def _unique(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct neighbours and their counts."""
+    order = np.lexsort((ids[1:], ids[:-1]))
+    pairs = np.stack([ids[:-1], ids[1:]], axis=1)[order]
+    first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)])
+    return pairs[first], np.diff(np.r_[first, len(pairs)])
+
+
+def _row() -> Column:
+    return F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit(""))).alias("d")
+
+
+def losses(found: DataFrame) -> DataFrame:
+    """a, b, far (how often all documents have the pair), target, background: exact negative log probabilities of each distinct bigram.
+
+    Words, contexts and bigrams are counted in written tables that grow with the input; the vocabulary is all distinct words."""
+    spark, folder = found.sparkSession, shared_folder(found.sparkSession)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    near_far = [F.sum("far").alias("far"), F.sum("near").alias("near")]
+    counts = found.select("a", "b", F.col("n").alias("far"), F.when(F.col("inside"), F.col("n")).otherwise(0).alias("near"))
+    pairs = written(counts.groupBy("a", "b").agg(*near_far), "pairs")
+    words = written(pairs.groupBy("b").agg(*near_far).select("b", F.col("far").alias("word_far"), F.col("near").alias("word_near")), "words")
+    contexts = written(pairs.groupBy("a").agg(*near_far).select("a", F.col("far").alias("seen_far"), F.col("near").alias("seen_near")), "contexts")
+    size, far, near = words.agg(F.count("*"), F.sum("word_far"), F.sum("word_near")).first()
+
+    def loss(kind: str, total: int | None) -> Column:
+        single = (F.col(f"word_{kind}") + _ADDED) / F.lit((total or 0) + _ADDED * max(size, 1))
+        seen = F.col(f"seen_{kind}")
+        return -F.log(F.when(seen > 0, WEIGHT * F.col(kind) / seen + (1 - WEIGHT) * single).otherwise(single))
+
+    return written(pairs.join(words, "b").join(contexts, "a").select("a", "b", "far", loss("near", near).alias("target"), loss("far", far).alias("background")), "losses")
+
+
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score, the target being the documents labelled as good."""
-    models = fit(docs, labels.where("quality = 1").select("doc_id"))
-    found = scored(docs.select("doc_id", "text"), *models)
-    return found.select("doc_id", "loss.n_tokens", F.col("loss.target").alias("target_loss"), F.col("loss.background").alias("background_loss"), F.col("loss.difference").alias("score"))
+    """doc_id, n_tokens, target_loss, background_loss, score, the target being the documents labelled as good.
+
+    Losses come from exact counts, as scored() has them for tables without collisions. Equal rows add up to the same means. Bigrams
+    of more than 1/TOP of all words are dealt out over SALTS tasks."""
+    found = grams(docs, labels.where("quality = 1").select("doc_id"))
+    table = losses(found)
+    total = table.agg(F.sum("far")).first()[0] or 0
+    hot = F.broadcast(table.where(F.col("far") > total / TOP).select("a", "b", F.lit(True).alias("hot")))  # fewer than TOP rows
+    rows = found.join(hot, ["a", "b"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod("d", F.lit(SALTS)).cast("int")).otherwise(0))
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("far") > total / TOP, SALTS - 1).otherwise(0))))
+    rows = rows.join(salted.drop("far"), ["a", "b", "salt"])
+    sums = rows.groupBy("d").agg(F.sum("n").alias("_n"), *[F.sum(F.col(c) * F.col("n")).alias(c) for c in ("target", "background")])
+
+    @F.pandas_udf("long")
+    def n_tokens(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(t.split()) if t else 0 for t in texts], dtype="int64")
+
+    sizes = docs.select("doc_id", _row(), n_tokens(F.col("text").cast("binary")).alias("n_tokens"))
+    mean = {c: F.col(c) / F.col("_n") for c in ("target", "background")}
+    return sizes.join(sums, "d", "left").select("doc_id", "n_tokens", mean["target"].alias("target_loss"), mean["background"].alias("background_loss"), (mean["target"] - mean["background"]).alias("score"))
