@@ -73,12 +73,14 @@ def expand(formatted: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("conv_id", "example", F.concat_ws("", F.col("p.segment")).alias("text"), "target_start", "target_end")
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, parsed from the formatted texts and the examples' targets.
-
-    A conversation's segments pass in order through hashes of constant size, without being gathered."""
-    rows = formatted.select("conv_id", "place", "segment", "start", "target_start", "target_end")
-    rows = spread(rows, "conv_id").sortWithinPartitions("conv_id", "place")
+def read_back(formatted: DataFrame, found: DataFrame) -> DataFrame:
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, parsed from the formatted texts and the examples ``found``.
+
+    A conversation's segments and examples pass in order through hashes of constant size, without being gathered: each example
+    comes right after its last segment. Its length must be that of the text so far, and its target lie in that segment."""
+    segment = formatted.select("conv_id", "place", F.lit(0).alias("kind"), "segment", *[F.lit(None).cast("long").alias(c) for c in ("length", "target_start", "target_end")])
+    example = found.select("conv_id", F.col("example").alias("place"), F.lit(1).alias("kind"), F.lit(None).cast("string").alias("segment"), "length", "target_start", "target_end")
+    rows = spread(segment.unionByName(example), "conv_id").sortWithinPartitions("conv_id", "place", "kind")
     kind = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,30 +89,35 @@ def read_back(formatted: DataFrame) -> DataFrame:
         types = [pa.string() if "sha" in n else pa.int64() for n in names]
         out: list[tuple] = []
         now: tuple | None = None
-        for conv, _, segment, start, a, b in chain(every, [(None,) * 6]):
-            if segment is None or now is None or conv != now[0]:
+        for conv, _, example, segment, length, a, b in chain(every, [(None,) * 7]):
+            if example is None or now is None or conv != now[0]:
                 if now is not None:
                     out.append((now[0], n, turns.hexdigest(), chars, loss.hexdigest(), size))
-                if out and (segment is None or len(out) >= 10_000):
+                if out and (example is None or len(out) >= 10_000):
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
                     out = []
-                now, n, chars, size, turns, loss = (conv,), 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-            if segment is None:
+                now, n, chars, size, last, turns, loss = (conv,), 0, 0, 0, "", hashlib.sha256(), hashlib.sha256()
+            if example is None:
                 continue
-            role, text = map(unescape, _TURN.fullmatch(segment).groups())
-            turns.update(f"{role}\n{text}\n".encode())
-            if b is not None:
-                reply = unescape(segment[a - start:b - start])
+            if example:
+                start = size - len(last)
+                if length != size or not start <= a <= b <= size or last[b - start:] != CLOSE:
+                    raise ValueError(f"example of conversation {conv} with length {length} does not end at {size}")
+                reply = unescape(last[a - start:b - start])
                 loss.update(reply.encode())
                 chars += len(reply)
-            n, size = n + 1, size + len(segment)
+                continue
+            role, text = map(unescape, _TURN.fullmatch(segment).groups())
+            turns.update(f"{role}\n{text}\n".encode())
+            n, size, last = n + 1, size + len(segment), segment
 
     return rows.mapInArrow(parse, kind)
 
 
 def digest(turns: DataFrame) -> DataFrame:
     """One row per conversation, read back from its formatted examples; no rows, no conversations."""
-    return read_back(segments(turns))
+    formatted = segments(turns)
+    return read_back(formatted, examples(formatted))
 
 
 def with_probe(turns: DataFrame) -> DataFrame:
