@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from huskwatch.llm import bpe, chat, decontaminate, html, linededup, lm, negatives, packing, quality, simhash, substring, warc
+from huskwatch.llm import bpe, chat, decontaminate, html, linededup, lm, negatives, packing, quality, simhash, substring, trie, warc
 from huskwatch.llm.common import table
 
 
@@ -65,13 +65,17 @@ def op12_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mined(table(spark, folder, "embeddings"))
 
 
+def op13_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return trie.digest(table(spark, folder, "conversations"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_warc, op3_substring, op4_quality, op5_decontamination, op6_html, op7_bpe, op8_chat, op9_line_dedup, op10_lm, op11_packing, op12_negatives, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_warc, op3_substring, op4_quality, op5_decontamination, op6_html, op7_bpe, op8_chat, op9_line_dedup, op10_lm, op11_packing, op12_negatives, op13_trie, pipeline)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ITEM_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -121,6 +125,41 @@ numbers as (select r, count(*) as n_lines from full_lines group by r),
 removed as (select r, count(*) as n_removed from gone group by r)
 select doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from docs left join left_over using (r) left join numbers using (r) left join removed using (r)""",
+    "op12_negatives": """
+with clean as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select a.r as a, a.vec_id as anchor_id, b.r as b, b.vec_id as id, a.label = b.label as same, cast(list_inner_product(a.v, b.v) as bigint) as score
+  from clean a join clean b on a.r <> b.r where a.vec_id % 100 = 0),
+positives as (select a, anchor_id, b as p, id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by a order by score desc, id) <= 5),
+ranked as (select p.anchor_id, positive_id, row_number() over (partition by p.a, p.p order by score desc, id) as rank, id as negative_id, positive_score, score as negative_score
+  from positives p join scored s on s.a = p.a and not s.same and 80 * positive_score <= 100 * score and 100 * score <= 100 * positive_score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from ranked where rank <= 5""",
+    "op13_trie": r"""
+with ids as (select distinct conv_id, cast(conv_id as varchar) as s from conversations where conv_id is not null),
+crcs as (select conv_id, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, len(s) + 1), lambda i: ord(s[i])::bigint)),
+    lambda crc, c: list_reduce(list_prepend(xor(crc, c), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))) % 4 as h from ids),
+turns as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as n
+  from conversations where conv_id is not null),
+parts as (select conv_id, 0 as own, n, role, text from turns join crcs using (conv_id) where n > h
+  union all select c.conv_id, -1, n, role, text from crcs c join turns t on t.conv_id = c.conv_id - c.conv_id % 20 where n <= h),
+placed as (select conv_id, row_number() over (partition by conv_id order by own, n) as d, md5(length(role) || ':' || role || text) as m,
+    len(regexp_extract_all(text, '[^ 	-
+]+')) as words from parts),
+lists as (select c.conv_id, coalesce(list(p.m order by p.d) filter (p.d is not null), []) as path, coalesce(list(p.words order by p.d) filter (p.d is not null), []) as words
+  from crcs c left join placed p using (conv_id) group by 1),
+prefixes as (select conv_id, d, len(path) = d as ended, case when d = 0 then 0 else words[d] end as words, path[1:d] as node, case when d > 0 then path[1:d - 1] end as up
+  from (select *, unnest(range(len(path) + 1)) as d from lists)),
+nodes as (select node, any_value(d) as depth, any_value(up) as up, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words,
+    coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (ended), '') as ends from prefixes group by node),
+children as (select up as node, count(*) as n_children from nodes where up is not null group by up),
+full_nodes as (select n.*, coalesce(n_children, 0) as n_children from nodes n left join children using (node)),
+sums as (select top as node, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum((n_convs - 1) * words) as saved_tokens
+  from (select *, node[1:unnest(range(depth + 1))] as top from full_nodes) group by top)
+select n.conv_id, cast(n.depth as bigint) as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, cast(n_leaves as bigint) as n_leaves,
+       cast(saved_tokens as bigint) as saved_tokens, sha256(n.ends) as ends_sha256
+from full_nodes n join sums using (node) left join nodes p on p.node = n.up""",
 }
 
 
