@@ -6,23 +6,29 @@ copies plus exact subset sums over what is left round it. Its size depends on th
 the driver sees one count for each length."""
 from __future__ import annotations
 
+import json
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
-from huskwatch.llm.bpe import NEWER, codec, members, read_spec
+from huskwatch.llm.bpe import NEWER, Codec, Recent, byte_symbols, read_spec
 from huskwatch.llm.common import shared_folder
 
 #: Tokens of a sequence, and the id behind each document.
 CAPACITY, END = 2048, 0
+#: Words of at most 64 characters whose ids a Python worker remembers.
+WORDS = 300_000
 #: Rounds of the weights, and the share of a length's count that one step covers at most.
 ROUNDS, SHARE = 100, 1 / 8
 #: Exponents by which the weight of a wholly covered length has fallen; tried in turn.
@@ -178,9 +184,42 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return plan
 
 
-def _unknown() -> regex.Pattern:
-    """Characters whose class or lower case Python may not know; texts with one go through the tokenizers library itself."""
-    return regex.compile(f"[{members('C')}{''.join(map(chr, NEWER))}]")
+@cache
+def _unknown() -> np.ndarray:
+    """Marks the code points whose class or lower case Python may not know: those unassigned in its tables, and NEWER."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" or c in NEWER for c in range(0x110000)])
+
+
+class Coder(Codec):
+    """The encoder of bpe with the tokenizers library in two places: it merges words, and it takes whole texts that hold a
+    character which Python may not know."""
+
+    def __init__(self, spec: str) -> None:
+        super().__init__(json.loads(spec))
+        self.library = Tokenizer.from_str(spec)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.model, self.alphabet = self.library.model, byte_symbols()
+        self._chunks, self._pieces = Recent(WORDS), Recent(WORDS)
+
+    def _piece(self, piece: str) -> bytes:
+        if (got := self._pieces.new.get(piece) or self._pieces.find(piece)) is not None:
+            return got
+        word = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
+        out = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        if len(piece) <= 64:
+            self._pieces.put(piece, out)
+        return out
+
+    def encode(self, text: str) -> bytes:
+        if not text.isascii() and _unknown()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any():
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return super().encode(text)
+
+
+@cache
+def coder(spec: str) -> Coder:
+    return Coder(spec)
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
@@ -193,27 +232,14 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
                            *[T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32")], T.StructField("task", T.IntegerType()), T.StructField("nth", T.LongType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        own, unknown, library = codec(spec.value), None, None
+        own = coder(spec.value)
         task, seen, end = TaskContext.get().partitionId(), [0] * (capacity + 1), END.to_bytes(4, "little")
         for batch in batches:
             for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
                 rows, out = [], []
                 for row, text in enumerate(part.column(1)):
                     text = text.as_py() or ""
-                    if not text.isascii():
-                        unknown = unknown or _unknown()
-                        if unknown.search(text):
-                            if library is None:
-                                library = Tokenizer.from_str(spec.value)
-                                library.no_truncation()
-                                library.no_padding()
-                            raw = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
-                        else:
-                            raw = own.encode(text) + end
-                    else:
-                        raw = own.encode(text) + end
+                    raw = own.encode(text) + end
                     for at in range(0, len(raw), 4 * capacity):
                         ids = raw[at:at + 4 * capacity]
                         n = len(ids) // 4
