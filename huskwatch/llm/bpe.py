@@ -57,7 +57,7 @@ NEVER = 1 << 62
 class Recent:
     """A memo of bounded size: the entries used since it was last full stay, the others go. ``new`` may be read directly."""
 
-    def __init__(self, most: int = REMEMBERED) -> None:
+    def __init__(self, most: int | None = None) -> None:
         self.most = most
         self.new: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -68,7 +68,7 @@ class Recent:
         return got
 
     def put(self, key: str, value: bytes) -> None:
-        if len(self.new) >= self.most:
+        if len(self.new) >= (self.most or REMEMBERED):
             self.older = dict(self.new)
             self.new.clear()
         self.new[key] = value

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from huskwatch.llm.common import SPACES, cut, merged, spread, text_key
 
-#: Lines of the shortest run that is deleted, and so the winnowing window.
-RUN = 3
+#: Lines of the shortest run that is deleted, and so the winnowing window; fewer lines count if they hold WORDS words together.
+RUN, WORDS = 3, 50
 #: Cells of the table that finds frequent fingerprints; its size does not depend on the input.
 CELLS = 1 << 20
 #: Fingerprints in cells above this and above four times the mean are dealt out by whole windows instead.
@@ -22,12 +22,31 @@ FREQUENT = 1000
 _SCOPE = 1 << 17
 _SIZE = 16
 
-_ROW = "bucket long, packed binary, doc_id long, key long, start int, count int, anchor int"
+_ROW = "bucket long, packed binary, doc_id long, key long, start int, count int, anchor int, size int"
 
 
-def line_hashes(text: bytes | None) -> bytes:
-    """128-bit hashes of the lines that hold a word, stripped of white space, one after the other."""
-    return b"".join([xxhash.xxh3_128_digest(s) for line in text.split(b"\n") if (s := line.strip(SPACES))]) if text else b""
+def full_lines(text: bytes | None) -> list[bytes]:
+    """The lines that hold a word, stripped of white space."""
+    return [s for line in text.split(b"\n") if (s := line.strip(SPACES))] if text else []
+
+
+def line_hashes(lines: list[bytes]) -> bytes:
+    """128-bit hashes of the lines, one after the other."""
+    return b"".join(map(xxhash.xxh3_128_digest, lines))
+
+
+def short_windows(lines: list[bytes], run: int) -> Iterator[tuple[int, int]]:
+    """(first line, lines) of the windows of fewer than ``run`` lines: the shortest from each line on that holds WORDS words.
+
+    A text of fewer than ``run`` lines is a window of its own as well, given with its lines below zero: only whole texts equal it."""
+    if 0 < len(lines) < run:
+        yield 0, -len(lines)
+    bytes_of = [len(x) for x in lines]
+    for n in range(len(lines)):
+        for k in range(1, min(run, len(lines) - n + 1)):
+            if sum(bytes_of[n:n + k]) + k >= 2 * WORDS and sum(len(x.split()) for x in lines[n:n + k]) >= WORDS:
+                yield n, k
+                break
 
 
 def fingerprints(hashes: bytes, run: int) -> Iterator[tuple[int, int, int, int]]:
@@ -51,21 +70,24 @@ class Scope:
 
     def __init__(self, frequent: np.ndarray, run: int) -> None:
         self.frequent, self.run = frequent, run
-        self.seen: dict[bytes, tuple] = {}
+        self.seen: dict[tuple[bytes, int], tuple] = {}
         self.rows: list[tuple] = []
 
-    def add(self, doc: int | None, key: int, hashes: bytes) -> None:
-        frequent, cells, run = self.frequent, len(self.frequent), self.run
+    def add(self, doc: int | None, key: int, lines: list[bytes]) -> None:
+        frequent, cells, run, hashes = self.frequent, len(self.frequent), self.run, line_hashes(lines)
+        for n, k in short_windows(lines, run):
+            part = hashes[n * _SIZE:(n + abs(k)) * _SIZE]
+            self._put(part, (xxhash.xxh64_intdigest(part, k & 0xFF), doc, key, n, 1, n, k))
         for mark, line, first, count in fingerprints(hashes, run):
             if frequent[mark % cells]:
                 for i in range(first, first + count):
                     part = hashes[i * _SIZE:(i + run) * _SIZE]
-                    self._put(part, (xxhash.xxh64_intdigest(part), doc, key, i, 1, i))
+                    self._put(part, (xxhash.xxh64_intdigest(part), doc, key, i, 1, i, run))
             else:
-                self._put(hashes[first * _SIZE:(first + count + run - 1) * _SIZE], (mark, doc, key, first, count, line))
+                self._put(hashes[first * _SIZE:(first + count + run - 1) * _SIZE], (mark, doc, key, first, count, line, run))
 
     def _put(self, part: bytes, new: tuple) -> None:
-        old = self.seen.setdefault(part, new)
+        old = self.seen.setdefault((part, new[6]), new)
         if old == new:
             return
         a, b = _order(old), _order(new)
@@ -73,19 +95,19 @@ class Scope:
             self._send(part, new)
             return
         if b < a:
-            self.seen[part] = new
+            self.seen[part, new[6]] = new
         self._send(None, old if b < a else new)
 
     def _send(self, part: bytes | None, x: tuple) -> None:
-        bucket = x[0] if part is not None else xxhash.xxh64_intdigest(str(x[2]))
+        bucket = x[0] if part is not None else xxhash.xxh64_intdigest(str(x[1:]))  # no comparison: spread them
         self.rows.append((bucket - (1 << 64) if bucket >> 63 else bucket, part, *x[1:]))
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        for part, x in self.seen.items():
+        for (part, _), x in self.seen.items():
             self._send(part, x)
         rows, self.seen, self.rows = self.rows, {}, []
         if rows:
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), *[pa.int32()] * 4)
             names = [c.split()[0] for c in _ROW.split(", ")]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -99,19 +121,20 @@ def _order(x: tuple) -> tuple:
     return (x[1] is None, x[1] or 0, x[5])
 
 
-def later_copies(rows: Iterator[tuple], run: int) -> Iterator[tuple]:
+def later_copies(rows: Iterator[tuple]) -> Iterator[tuple]:
     """(doc_id, key, start, end) of the windows that an earlier row of the same bucket has too, rows sorted by bucket and place.
 
     From the common fingerprint the match is extended to both sides by whole windows."""
     now, first = None, {}
-    for bucket, part, doc, key, start, count, anchor in rows:
+    for bucket, part, doc, key, start, count, anchor, size in rows:
+        run = abs(size)
         if part is None:
             yield doc, key, start, start + count + run - 1
             continue
         if bucket != now:
             now, first = bucket, {}
         for i in range(count):
-            window = part[i * _SIZE:(i + run) * _SIZE]
+            window = (part[i * _SIZE:(i + run) * _SIZE], size < 0)
             if first.setdefault(window, (doc, anchor)) != (doc, anchor):
                 yield doc, key, start + i, start + i + run
 
@@ -122,7 +145,7 @@ def copies(docs: DataFrame, run: int = RUN, cells: int = CELLS) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [m % cells for t in batch.column(2).to_pylist() for m, *_ in fingerprints(line_hashes(t), run)]
+            marks = [m % cells for t in batch.column(2).to_pylist() for m, *_ in fingerprints(line_hashes(full_lines(t)), run)]
             cell, n = np.unique(np.array(marks, np.int64), return_counts=True)
             yield pa.record_batch({"cell": cell, "n": n.astype(np.int64)})
 
@@ -136,7 +159,7 @@ def copies(docs: DataFrame, run: int = RUN, cells: int = CELLS) -> DataFrame:
         scope = Scope(np.unpackbits(sent.value)[:cells], run)
         for batch in batches:
             for doc, key, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                scope.add(doc, key, line_hashes(t))
+                scope.add(doc, key, full_lines(t))
                 if scope.full:
                     yield from scope.flush()
         yield from scope.flush()
@@ -144,7 +167,7 @@ def copies(docs: DataFrame, run: int = RUN, cells: int = CELLS) -> DataFrame:
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
         held: list[tuple] = []
-        for found in chain(later_copies(rows, run), [None]):
+        for found in chain(later_copies(rows), [None]):
             if found is None or len(held) >= 50_000:
                 if held:
                     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
@@ -173,7 +196,8 @@ def deduplicate(docs: DataFrame, run: int = RUN) -> DataFrame:
     """docs with the text without later copies of line runs, and a struct column ``lines``: n_lines, n_removed.
 
     Lines are compared without white space at their ends, lines without a word are passed over and stay. A window of ``run``
-    such lines that also occurs earlier, by doc_id and then line, goes with all its lines; rows without an id come last.
+    such lines, or of fewer that hold WORDS words together, that also occurs earlier, by doc_id and then line, goes with all its
+    lines; so does a whole text of fewer lines that an earlier text equals. Rows without an id come last.
     Rows that share doc_id and line are not later than each other, so repeated rows are treated alike. Null texts stay null."""
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def strip(texts: pd.Series, ranges: pd.Series) -> pd.DataFrame:

@@ -116,12 +116,17 @@ with docs as (select row_number() over () as r, doc_id, text from documents),
 parts as (select r, doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as p from docs where text is not null),
 lines as (select *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as s from parts),
 full_lines as (select *, row_number() over (partition by r order by p) as n from lines where s <> ''),
-three as (select r, doc_id, n, s as a, lead(s, 1) over w as b, lead(s, 2) over w as c from full_lines window w as (partition by r order by n)),
-firsts as (select *, min(row(doc_id, n)) over (partition by a, b, c) as f from three where c is not null),
-gone as (select distinct r, unnest(range(n, n + 3)) as n from firsts where row(doc_id, n) > f),
+numbers as (select r, count(*) as n_lines from full_lines group by r),
+three as (select r, doc_id, n, s as a, lead(s, 1) over w as b, lead(s, 2) over w as c, len(regexp_extract_all(s, '[^\x20\x09-\x0D]+')) as words from full_lines window w as (partition by r order by n)),
+sized as (select *, lead(words) over (partition by r order by n) as more from three),
+windows as (select r, doc_id, n, 3 as size, a, b, c from sized where c is not null
+  union all select r, doc_id, n, 1, a, null, null from sized where words >= 50
+  union all select r, doc_id, n, 2, a, b, null from sized where words < 50 and words + more >= 50
+  union all select r, doc_id, n, -n_lines, a, b, null from sized join numbers using (r) where n = 1 and n_lines < 3),
+firsts as (select *, min(row(doc_id, n)) over (partition by size, a, b, c) as f from windows),
+gone as (select distinct r, unnest(range(n, n + abs(size))) as n from firsts where row(doc_id, n) > f),
 marked as (select l.r, l.p, l.line, g.n is not null as gone from lines l left join full_lines u using (r, p) left join gone g on g.r = u.r and g.n = u.n),
 left_over as (select r, string_agg(line, chr(10) order by p) as kept from marked where not gone group by r),
-numbers as (select r, count(*) as n_lines from full_lines group by r),
 removed as (select r, count(*) as n_removed from gone group by r)
 select doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from docs left join left_over using (r) left join numbers using (r) left join removed using (r)""",

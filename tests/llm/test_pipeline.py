@@ -6,7 +6,7 @@ import public_tokenizers
 import corpus_pipeline
 from huskwatch.llm import bpe, decontaminate, quality, simhash
 from tests.llm.test_linededup import brute as plain_lines
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_neardup import brute as plain_near
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -32,8 +32,7 @@ def test_stages_equal_brute_force(spark):
     assert lines.columns == docs.columns and all(r["n_chars"] == len(r["text"]) for r in lines.collect())
 
     near = s1(spark, lines, FOLDER)
-    groups = plain_components([(r["doc_id"], plain_fingerprint(r["text"])) for r in lines.collect()])
-    assert {r["doc_id"] for r in near.collect()} == {d for d, _, c in groups if d == c} and near.columns == docs.columns
+    assert {r["doc_id"] for r in near.collect()} == plain_near([(r["doc_id"], r["text"]) for r in lines.collect()]) and near.columns == docs.columns
 
     clean = s5(spark, near, FOLDER)
     found = decontaminate.brute([(r["doc_id"], r["text"]) for r in near.collect()], bench)
