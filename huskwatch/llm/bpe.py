@@ -7,8 +7,11 @@ import json
 import re
 import unicodedata
 from array import array
+from codecs import getincrementaldecoder
 from collections.abc import Iterable, Iterator
 from functools import cache
+from hashlib import sha256
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -16,10 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct text pieces whose ids a Python worker remembers; it then starts anew. Results do not depend on it.
-REMEMBERED = 100_000
-#: Rows whose ids and texts a worker holds at once.
-_ROWS = 256
+from huskwatch.llm.common import give_back
+
+#: Bytes of text pieces and their ids that one generation of a memo holds; results do not depend on it.
+REMEMBERED = 16 << 20
+#: What an entry costs beside its own bytes.
+_ENTRY = 150
+#: Bytes of ids and texts that a worker holds at once, unless one row has more, and ids whose text is hashed at once.
+_HELD, _STEP = 2 << 20, 1 << 14
 
 
 def byte_symbols() -> dict[int, str]:
@@ -55,10 +62,10 @@ NEVER = 1 << 62
 
 
 class Recent:
-    """A memo of bounded size: the entries used since it was last full stay, the others go. ``new`` may be read directly."""
+    """A memo of bounded bytes: the entries used since it was last full stay, the others go. ``new`` may be read directly."""
 
     def __init__(self, most: int | None = None) -> None:
-        self.most = most
+        self.most, self.held = most, 0
         self.new: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -68,10 +75,13 @@ class Recent:
         return got
 
     def put(self, key: str, value: bytes) -> None:
-        if len(self.new) >= (self.most or REMEMBERED):
+        size = _ENTRY + len(key) + len(value)
+        if self.held + size > (self.most or REMEMBERED):
             self.older = dict(self.new)
             self.new.clear()
+            self.held = 0
         self.new[key] = value
+        self.held += size
 
 
 class Codec:
@@ -97,7 +107,10 @@ class Codec:
             self.token[i] = text
         self.lookahead = self._lookahead()
         self._chunks, self._pieces = Recent(), Recent()
-        self._byte = {s: bytes([b]) for b, s in symbols.items()}
+        byte = {s: bytes([b]) for b, s in symbols.items()}
+        own = set(self.special.values())
+        #: The bytes of each token; a word's end gives a space.
+        self.raw = [t.encode() if i in own else b"".join(byte.get(c, b"") for c in t.removesuffix(self.suffix)) + b" " * (bool(self.suffix) and t.endswith(self.suffix)) for i, t in enumerate(self.token)]
 
     def _lookahead(self) -> int:
         """Symbols beyond a token's end that can still change it.
@@ -205,19 +218,10 @@ class Codec:
         return " ".join(map(self.token.__getitem__, ids))
 
     def text(self, ids: Iterable[int]) -> Iterator[str]:
-        """Readable text by a state machine that holds at most one incomplete character; word ends give a space."""
-        from codecs import getincrementaldecoder
-
-        machine = getincrementaldecoder("utf-8")("replace")
-        special = set(self.special.values())
-        for i in ids:
-            if i in special:
-                yield machine.decode(b"", final=True) + self.token[i]
-                machine.reset()
-                continue
-            token = self.token[i]
-            ends = bool(self.suffix) and token.endswith(self.suffix)
-            yield machine.decode(b"".join(self._byte[c] for c in (token.removesuffix(self.suffix) if ends else token)), final=ends) + " " * ends
+        """Readable text by a state machine over the tokens' bytes, which holds at most one incomplete character between steps."""
+        machine, rest = getincrementaldecoder("utf-8")("replace"), iter(ids)
+        while step := list(islice(rest, _STEP)):
+            yield machine.decode(b"".join(map(self.raw.__getitem__, step)))
         yield machine.decode(b"", final=True)
 
 
@@ -241,34 +245,55 @@ def read_spec(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
-def coded(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """docs with a struct column ``bpe``: n_tokens, ids (little-endian unsigned 32-bit), decoded.
+def coded(docs: DataFrame, vocabulary: str, whole: bool = True) -> DataFrame:
+    """docs with a struct column ``bpe``: n_tokens, ids (little-endian unsigned 32-bit), ids_sha256, decoded_sha256, text_sha256
+    and, if ``whole``, decoded.
 
-    Null texts count as empty: no ids, empty text. The vocabulary text is broadcast; its size does not depend on the rows."""
+    decoded is the library's text (token strings joined by spaces), text the state machine's readable one; both are hashed step
+    by step in the worker. Null texts count as empty: no ids, empty text. The vocabulary text is broadcast; its size does not
+    depend on the rows."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(docs.sparkSession, vocabulary))
 
     names = [c for c in docs.columns if c != "bpe"]
     rows = docs.select(*[F.col(f"`{c}`") for c in names])
-    kind = T.StructType([*rows.schema.fields, T.StructField("bpe", T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]))])
+    fields = {"n_tokens": (T.LongType(), pa.int64()), "ids": (T.BinaryType(), pa.binary()), "ids_sha256": (T.StringType(), pa.string()), "decoded_sha256": (T.StringType(), pa.string()), "text_sha256": (T.StringType(), pa.string())}
+    fields |= {"decoded": (T.StringType(), pa.string())} if whole else {}
+    kind = T.StructType([*rows.schema.fields, T.StructField("bpe", T.StructType([T.StructField(n, t) for n, (t, _) in fields.items()]))])
     at = names.index("text")
 
+    def one(own: Codec, text: str | None) -> tuple:
+        raw = own.encode(text) if text else b""
+        ids, decoded, shown = memoryview(raw).cast("I"), sha256(), sha256()
+        for i in range(0, len(ids), _STEP):
+            decoded.update((" " * bool(i) + own.decode(ids[i:i + _STEP])).encode())
+        for part in own.text(ids):
+            shown.update(part.encode("utf-8", "surrogatepass"))
+        return len(ids), raw, sha256(raw).hexdigest(), decoded.hexdigest(), shown.hexdigest(), *([own.decode(ids)] if whole else [])
+
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(spec.value)
-        struct = pa.struct([("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
+        struct = pa.struct([(n, t) for n, (_, t) in fields.items()])
+
+        def part(batch: pa.RecordBatch, first: int, out: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array([x[i] for x in out], struct.field(i).type) for i in range(len(fields))]
+            return pa.RecordBatch.from_arrays([*batch.slice(first, len(out)).columns, pa.StructArray.from_arrays(columns, fields=list(struct))], names=[*names, "bpe"])
+
         for batch in batches:
-            for part in (batch.slice(i, _ROWS) for i in range(0, batch.num_rows, _ROWS)):
-                out = []
-                for text in part.column(at):
-                    raw = own.encode(t) if (t := text.as_py()) else b""
-                    out.append((len(raw) // 4, raw, own.decode(memoryview(raw).cast("I"))))
-                fields = [pa.array([x[i] for x in out], struct.field(i).type) for i in range(3)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(fields, fields=list(struct))], names=[*names, "bpe"])
+            first, held, out = 0, 0, []
+            for text in batch.column(at):
+                out.append(one(own, text.as_py()))
+                held += len(out[-1][1]) * (4 if whole else 2)
+                if held >= _HELD:
+                    yield part(batch, first, out)
+                    first, held, out = first + len(out), 0, []
+            if out:
+                yield part(batch, first, out)
+        give_back()
 
     return rows.mapInArrow(code, kind)
 
 
 def digest(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: one row per document row."""
-    found = coded(docs.select("doc_id", "text"), vocabulary)
-    return found.select("doc_id", F.col("bpe.n_tokens").alias("n_tokens"), F.sha2("bpe.ids", 256).alias("ids_sha256"),
-                        F.sha2(F.col("bpe.decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, text_sha256 (of the readable text): one row per document row."""
+    found = coded(docs.select("doc_id", "text"), vocabulary, whole=False)
+    return found.select("doc_id", *[F.col(f"bpe.{c}").alias(c) for c in ("n_tokens", "ids_sha256", "decoded_sha256", "text_sha256")])

@@ -1,6 +1,7 @@
 """Small helpers shared by the operators: words, row keys, shared folders, ranges."""
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
@@ -27,14 +28,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir; a local one only where that is unset (tests)."""
+    """A new folder below the one the cluster names in spark.checkpoint.dir; a local one only under a local master (tests)."""
     return f"{checkpoint_root(spark).rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        kept = spark.sparkContext.getCheckpointDir()
+        kept, master = spark.sparkContext.getCheckpointDir(), spark.sparkContext.master
+        if not kept and (not master.startswith("local") or master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = kept or "file://" + tempfile.mkdtemp(prefix="llm-ckpt-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -47,6 +50,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Return freed memory of a Python worker to the system at a task's end: workers live on, and the next stages' tasks share
+    their executor's limit with what they would keep."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_key(text: Column) -> Column:
     """With doc_id it names a row's text; rows with equal doc_id and text share every result."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -31,19 +31,15 @@ _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
-#: Ancestors that a block's points reach; what is further up would get less than a hundredth of them.
-_HEIGHT = 40
-
-
 class Node:
     """An element; ``parts`` holds its texts and elements in page order."""
 
-    __slots__ = ("tag", "marks", "hidden", "parts", "up", "score", "chars", "linked")
+    __slots__ = ("tag", "marks", "hidden", "parts", "up", "score", "chars", "linked", "bare")
 
     def __init__(self, tag: str, up: Node | None, marks: str = "", hidden: bool = False) -> None:
         self.tag, self.up, self.marks, self.hidden = tag, up, marks, hidden
         self.parts: list[Node | str] = []
-        self.score, self.chars, self.linked = 0.0, 0, 0
+        self.score, self.chars, self.linked, self.bare = 0.0, 0, 0, False
 
 
 def parse(page: str) -> Node:
@@ -171,31 +167,41 @@ def blocks(root: Node) -> list[tuple[str, Node]]:
 
 
 def _score(root: Node) -> None:
-    """Each block passes a point, one for each comma and up to three for length to its parent, half to the next, then a third of it and so on."""
+    """Each block passes a point, one for each comma and up to three for length to its container; every ancestor gets half of
+    what its parts have.
+
+    An element that holds nothing but one other is a wrapper: it passes all it has, so that nesting alone costs no points."""
     links = 0
-    sizes: list[tuple[Node, int, int]] = []
+    open_: list[list] = []  # element, its characters, those in links, its parts that hold something
+    order: list[Node] = []
     for kind, x in _walk(root):
         if kind == "text":
             n = len("".join(x.split()))
-            sizes[-1] = (sizes[-1][0], sizes[-1][1] + n, sizes[-1][2] + n * bool(links))
+            open_[-1][1] += n
+            open_[-1][2] += n * bool(links)
+            open_[-1][3] += 2 * bool(n)  # text of its own: no wrapper
         elif kind == "in":
             links += x.tag == "a"
-            sizes.append((x, 0, 0))
+            open_.append([x, 0, 0, 0])
         else:
             links -= x.tag == "a"
-            node, chars, linked = sizes.pop()
-            node.chars, node.linked = chars, linked
-            if sizes:
-                sizes[-1] = (sizes[-1][0], sizes[-1][1] + chars, sizes[-1][2] + linked)
+            node, node.chars, node.linked, held = open_.pop()
+            node.bare = held == 1 and node.tag in ("div", "section")
+            order.append(node)
+            if open_:
+                open_[-1][1] += node.chars
+                open_[-1][2] += node.linked
+                open_[-1][3] += bool(node.chars)
     for text, node in blocks(root):
         if node.tag in HEADINGS or len(text) < 25:
             continue
         points = 1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)
         up = node if node.tag in CONTAINERS else node.up
-        depth = 0
-        while up is not None and depth < _HEIGHT:
-            up.score += points if depth == 0 else points / 2 if depth == 1 else points / (depth * 3)
-            up, depth = up.up, depth + 1
+        if up is not None:
+            up.score += points
+    for node in order:  # parts before what holds them
+        if node.up is not None:
+            node.up.score += node.score if node.up.bare else node.score / 2
 
 
 def _value(node: Node) -> float:
@@ -227,7 +233,7 @@ def main_text(page: str | None) -> str:
     _score(root)
     best, order, inside = None, [], {}
     for kind, x in _walk(root):
-        if kind == "in" and x.tag in CONTAINERS | {"html"}:
+        if kind == "in" and x.tag in CONTAINERS | {"html"} and not x.bare:
             order.append(x)
     best = max(order, key=_value)
     if _value(best) <= 0:

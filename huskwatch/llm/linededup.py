@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huskwatch.llm.common import SPACES, cut, merged, spread, text_key
+from huskwatch.llm.common import SPACES, cut, give_back, merged, spread, text_key
 
 #: Lines of the shortest run that is deleted, and so the winnowing window; fewer lines count if they hold WORDS words together.
 RUN, WORDS = 3, 50
@@ -163,6 +163,7 @@ def copies(docs: DataFrame, run: int = RUN, cells: int = CELLS) -> DataFrame:
                 if scope.full:
                     yield from scope.flush()
         yield from scope.flush()
+        give_back()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = chain.from_iterable(zip(*(c.to_pylist() for c in b.columns), strict=True) for b in batches)
@@ -175,6 +176,7 @@ def copies(docs: DataFrame, run: int = RUN, cells: int = CELLS) -> DataFrame:
                 held = []
             if found is not None:
                 held.append(found)
+        give_back()
 
     order = ("bucket", F.col("doc_id").asc_nulls_last(), "anchor")
     found = spread(texts.mapInArrow(match, _ROW), "bucket").sortWithinPartitions(*order).mapInArrow(extend, "doc_id long, key long, start int, end int")

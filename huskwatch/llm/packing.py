@@ -23,12 +23,12 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from huskwatch.llm.bpe import NEWER, Codec, Recent, byte_symbols, read_spec
-from huskwatch.llm.common import shared_folder
+from huskwatch.llm.common import give_back, shared_folder
 
 #: Tokens of a sequence, and the id behind each document.
 CAPACITY, END = 2048, 0
-#: Words of at most 64 characters whose ids a Python worker remembers.
-WORDS = 300_000
+#: Bytes of words and their ids that one generation of a worker's memo holds.
+WORDS = 48 << 20
 #: Rounds of the weights, and the share of a length's count that one step covers at most.
 ROUNDS, SHARE = 100, 1 / 8
 #: Exponents by which the weight of a wholly covered length has fallen; tried in turn.
@@ -249,6 +249,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
                 if out:
                     cols = [part.column(0).take(pa.array(rows, pa.int64()))] + [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()), strict=True)]
                     yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(cut, schema)
 

@@ -61,7 +61,7 @@ def test_lookahead_is_what_keeps_tokens_stable(own):
 def test_memo_of_bounded_size_changes_nothing(own, monkeypatch):
     text = " ".join(f"word{i % 700}x" for i in range(3000))
     want = own.encode(text)
-    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "REMEMBERED", 8000)
     own._chunks, own._pieces = bpe.Recent(), bpe.Recent()
     assert own.encode(text) == want and len(own._chunks.new) <= 50
 
@@ -75,7 +75,10 @@ def test_readable_text(own):
 def test_digest(spark, library):
     rows = [(1, "Some text, été.", "x"), (2, None, "x"), (3, "", "x"), (None, " \n", "x"), (1, "Some text, été.", "x"), (4, "long " * 100_000 + "w" * 20_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, bpe string")
-    got = sorted(map(tuple, bpe.digest(docs, PATH).collect()), key=str)
+    got = sorted((tuple(r)[:4] for r in bpe.digest(docs, PATH).collect()), key=str)
+    shown = {r["doc_id"]: r["text_sha256"] for r in bpe.digest(docs, PATH).collect()}
+    assert shown[1] == hashlib.sha256("some text , été . ".encode()).hexdigest() and shown[2] == hashlib.sha256(b"").hexdigest()
+    assert [r["bpe"]["decoded"] for r in bpe.coded(docs.where("doc_id = 1").limit(1), PATH).collect()] == [library.decode(library.encode("Some text, été.", add_special_tokens=False).ids, skip_special_tokens=False)]
     want = []
     for doc, text, _ in rows:
         i = library.encode(text or "", add_special_tokens=False).ids

@@ -38,6 +38,21 @@ def test_odd_input():
     assert html.main_text("<script>never closed <p>x</p>") == ""
 
 
+@pytest.mark.parametrize("depth", [1, 5, 45, 400])
+def test_nesting_costs_no_points(depth):
+    """Paragraphs under wrappers of any depth in one container all stay; what surrounds them goes."""
+    parts = [f"Paragraph {i}, with commas, and with enough words to score." for i in range(30)]
+    body = "<div>" + "".join("<div>" * depth + f"<p>{p}</p>" + "</div>" * depth for p in parts) + "</div>"
+    assert html.main_text(FRAME.format(body)).split("\n\n") == parts
+
+
+def test_scores_stand_without_article_tags(spark):
+    """With article and main elements as plain containers the pages give the same texts."""
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        plain = re.sub(r"<(/?)(?:article|main)(?=[\s>])", r"<\1div", r["html"])
+        assert plain != r["html"] and html.main_text(plain) == html.main_text(r["html"])
+
+
 def test_pages_of_the_tables(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html.extracted(pages).collect()}
