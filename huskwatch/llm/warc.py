@@ -4,6 +4,7 @@ from __future__ import annotations
 import hashlib
 import io
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -22,6 +23,8 @@ SHORTEST = 100
 #: An archive is closed once it holds so many bytes; one larger record still goes into one file.
 ARCHIVE_BYTES = 64 << 20
 _MAGIC = b"\x1f\x8b\x08"
+#: Where a record may begin in an archive of gzip members, of plain records, or of a form not known yet.
+_MARKS = {True: re.compile(_MAGIC), False: re.compile(rb"WARC/1\."), None: re.compile(_MAGIC + rb"|WARC/1\.")}
 _READ = 1 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -131,14 +134,14 @@ class Source:
     def keep(self, at: int) -> None:
         self.data, self.base = self.data[at - self.base:], at
 
-    def find(self, what: bytes, at: int) -> int:
-        """Place of the next occurrence at or after a place, or -1; bytes passed over are let go."""
-        while (i := self.data.find(what, at - self.base)) < 0:
-            at = max(at, self.base + len(self.data) - len(what) + 1)
+    def find(self, what: re.Pattern, longest: int, at: int) -> int:
+        """Place of the next match (of at most ``longest`` bytes) at or after a place, or -1; bytes passed over are let go."""
+        while (m := what.search(self.data, at - self.base)) is None:
+            at = max(at, self.base + len(self.data) - longest + 1)
             self.keep(at)
             if not self.more():
                 return -1
-        return self.base + i
+        return self.base + m.start()
 
 
 class Damaged(Exception):
@@ -213,12 +216,12 @@ def _member_record(source: Source, at: int) -> Found:
 def salvage(file: io.BufferedIOBase) -> Iterator[Found]:
     """All records of an archive that pass every check, and the byte gaps between them.
 
-    After a failed check the search goes on one byte further for the next gzip member, or version line at a line's start, that
-    gives a whole valid record. Holds one record and the bytes of one failed attempt at a time."""
+    After a failed check the search goes on one byte further for the next gzip member or version line that gives a whole valid
+    record. Both forms are tried side by side until a record is found, whose form the rest of the archive has. Holds one record
+    and the bytes of one failed attempt at a time."""
     source = Source(file)
     source.more()
-    packed = source.data[:2] == _MAGIC[:2] or not source.data.startswith(b"WARC/1.") and _MAGIC in source.data[:_READ]
-    read, mark = (_member_record, _MAGIC) if packed else (_plain_record, b"WARC/1.")
+    packed: bool | None = None
     at, bad, why = 0, -1, ""
     while True:
         source.keep(at)
@@ -227,11 +230,13 @@ def salvage(file: io.BufferedIOBase) -> Iterator[Found]:
         try:
             while len(source.data) < 16 and source.more():
                 pass
-            found = read(source, at)
+            member = source.data[:3] == _MAGIC if packed is None else packed
+            found = (_member_record if member else _plain_record)(source, at)
+            packed = member
         except Damaged as e:
             if bad < 0:
                 bad, why = at, str(e)
-            at = source.find(mark, at + 1)
+            at = source.find(_MARKS[packed], 7, at + 1)
             if at < 0:
                 break
             continue

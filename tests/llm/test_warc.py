@@ -44,6 +44,18 @@ def test_salvage_of_odd_files():
     assert names(whole[:-5])[0] == [1]
 
 
+@pytest.mark.parametrize("compressed", [False, True])
+@pytest.mark.parametrize("size", [1000, 200_000, 3_000_000])
+def test_salvage_after_a_damaged_first_record(compressed, size):
+    """However long the damaged beginning, the records behind it are found, in either form."""
+    rng = random.Random(size)
+    parts = archive([(1, rng.randbytes(size)), (2, rng.randbytes(500)), (3, b"c" * 500)], compressed)
+    for at in (0, 1, len(parts[0]) // 2):
+        own = parts[0][:at] + bytes([parts[0][at] ^ 0x55]) + parts[0][at + 1:]
+        good, gaps = names(own + parts[1] + parts[2])
+        assert good == [2, 3] and len(gaps) == 1 and gaps[0][:2] == (0, len(own))
+
+
 def test_write_and_read_back(spark):
     body = "é" * 60
     rows = [(3, "u", body), (1, "u\nx%", body), (None, None, body), (2, "v", "short"), (4, "v", "short"), (5, "w", None), (1, "again", body), (6, "x", "z" * 5_000_000)]
