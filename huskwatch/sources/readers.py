@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from huskwatch.sources.exports import json_records
 from huskwatch.sources.records import RECORD, RECORD_FIELDS, RECORD_SCHEMA, normalise
 
 
@@ -21,14 +22,15 @@ def _record(prefix: str, nested: str) -> Column:
 
 def read_json_export(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array, a single object, or an object that wraps its records in ``hits`` (plain or
-    nested), ``events`` or ``results``; records may sit in ``_source``."""
+    nested), ``events`` or ``results``; records may sit in ``_source``.  Files of any size are read by many
+    tasks (see exports)."""
     item = RECORD[:-1] + f",`_source`:{RECORD}>"
-    wrappers = "`hits` string, `events` string, `results` string"
-    rows = spark.read.schema(f"{RECORD_SCHEMA}, `_source` {RECORD}, {wrappers}").option("multiLine", True).json(path)
+    wrapped = RECORD[:-1] + f",`_source`:{RECORD},`hits`:string,`events`:string,`results`:string>"
+    rows = json_records(spark, path).select(F.from_json("text", wrapped).alias("o")).select("o.*")
     listed = f"array<{item}>"
     nested = F.from_json("hits", f"struct<hits:{listed}>").getField("hits")
     plain = F.when(F.col("hits").startswith("["), F.from_json("hits", listed))
-    own = F.struct(*[F.col(f"`{f}`").alias(f) for f in RECORD_FIELDS], F.col("_source").alias("_source"))
+    own = F.struct(*[F.col(f"`{f}`") for f in RECORD_FIELDS], F.col("_source").alias("_source"))
     items = F.coalesce(plain, nested, F.from_json("events", listed), F.from_json("results", listed), F.array(own))
     flat = rows.select(F.explode(items).alias("i"))
     return normalise(flat.select(_record("i.", "_source").alias("r")), "r")
