@@ -10,7 +10,7 @@ from huskwatch.functions.text import block_hash
 from huskwatch.operators import baseline, blocks, rollups
 from huskwatch.plans.hunt import Hunt
 from huskwatch.sources import readers, sinks
-from huskwatch.streaming import jobs
+from huskwatch.streaming import jobs, triage
 
 RECORDS = [
     {"ScriptBlockText": "sekurlsa 1.2.3.4", "Computer": "A", "ProcessId": 7, "ThreadId": 1, "TimeCreated": "2024-06-01T14:00:00Z", "ScriptBlockId": "g1",
@@ -193,10 +193,10 @@ def test_stream_triage_and_feed(spark, tmp_path):
         (folder / f"{i}.json").write_text(json.dumps({"session_id": s, "status": st, "notes": "", "ts": f"2024-06-01T10:00:0{i}Z"}))
         time.sleep(0.02)
     log = spark.readStream.schema("session_id string, status string, notes string, ts timestamp").option("maxFilesPerTrigger", 1).json(str(folder))
-    q = jobs.triage_upsert(log, str(tmp_path / "out"), str(tmp_path / "ck"))
+    q = triage.upsert(log, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.processAllAvailable()
     q.stop()
-    assert {(r.session_id, r.status) for r in jobs.triage_table(spark, str(tmp_path / "out")).collect()} == {("a", "closed"), ("b", "open")}
+    assert {(r.session_id, r.status) for r in triage.table(spark, str(tmp_path / "out")).collect()} == {("a", "closed"), ("b", "open")}
     feed = spark.createDataFrame([("1.2.3.4", "threatfox", "Fam")], "value string, source string, malware_name string")
     values = jobs.read_records(spark, str(folder)).select(F.col("raw_text").alias("value"))
     feed_files(tmp_path / "v", [[rec("1.2.3.4", "2024-06-01T10:00:00Z"), rec("9.9.9.9", "2024-06-01T10:00:00Z")]])
