@@ -1,14 +1,17 @@
 """Periodic call-backs: interval lists, autocorrelation, period and infrastructure clusters."""
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from huskwatch.catalog.lookups import FRAMEWORK_INTERVALS
 from huskwatch.functions.net import IPV4, subnet24
+from huskwatch.session import checkpoint_dir
 
 MIN_INTERVAL, MAX_INTERVAL, MIN_SAMPLES = 2.0, 3600.0, 5
 DOMAIN = r"^[a-zA-Z0-9]([a-zA-Z0-9\-]{0,61}[a-zA-Z0-9])?(\.[a-zA-Z]{2,})+$"
@@ -91,21 +94,63 @@ def beacons(lists: DataFrame, min_confidence: float = 0.35) -> DataFrame:
             .withColumn("is_beacon", F.col("confidence") >= 0.65))
 
 
+def _next_starts(periods: DataFrame, tolerance: float) -> DataFrame:
+    """(p, next): for each distinct period the least one beyond its tolerance, where there is one.
+
+    Looked up in cells of equal ratio: the next value of the cell, or else the least of the next cell that holds one."""
+    step = math.log1p(tolerance)
+    base = F.greatest(F.col("p"), F.lit(0.001))
+    value = F.when(F.col("kind") == 1, F.col("p"))
+    # A question lies a rounding error below the border, so that the exact test below decides between two neighbours.
+    asked = periods.select(((F.col("p") + base * tolerance) * (1 - 1e-12)).alias("key"), F.lit(0).alias("kind"), "p")
+    rows = (periods.select(F.col("p").alias("key"), F.lit(1).alias("kind"), "p").unionByName(asked)
+            .withColumn("cell", F.floor(F.log(F.greatest("key", F.lit(0.001))) / step)))
+    later = Window.partitionBy("cell").orderBy(F.desc("key"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("cell").agg(F.min(value).alias("least"))  # so many rows as the logarithm of the largest period has steps
+    above = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = F.broadcast(cells.select("cell", F.last("least", ignorenulls=True).over(above).alias("beyond")))
+    found = rows.withColumn("inside", F.last(value, ignorenulls=True).over(later)).join(cells, "cell").withColumn("q", F.coalesce("inside", "beyond"))
+    follow = found.filter("kind = 1").select(F.col("p").alias("q"), F.col("q").alias("second"))
+    far = (F.col("q") - F.col("p")) / base > tolerance
+    return found.filter("kind = 0 AND q IS NOT NULL").select("p", "q").join(follow, "q").select("p", F.when(far, F.col("q")).otherwise(F.col("second")).alias("next")).filter("next IS NOT NULL")
+
+
+def cluster_starts(periods: DataFrame, tolerance: float = 0.10) -> DataFrame:
+    """The periods (column ``p``, distinct) at which greedy clusters begin: the least one, then always the least beyond the
+    tolerance of the one before.
+
+    Pointers double: after k rounds the first 2^k starts are marked and a jump leads 2^k starts on. Starts grow by the tolerance
+    each, so there are about a hundred, found in seven rounds. Rounds are written to the shared folder, which cuts the lineage."""
+    spark, folder = periods.sparkSession, checkpoint_dir(periods.sparkSession)
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+    jumps = written(_next_starts(periods, tolerance), "jumps0")
+    starts = written(periods.agg(F.min("p").alias("p")).filter("p IS NOT NULL"), "starts0")
+    count, round_ = starts.count(), 0
+    while count:
+        round_ += 1
+        reached = jumps.join(F.broadcast(starts), "p").select(F.col("next").alias("p"))  # starts: a few rows, as said
+        starts = written(starts.unionByName(reached).distinct(), f"starts{round_}")
+        if (now := starts.count()) == count:
+            break
+        count = now
+        jumps = written(jumps.join(jumps.select(F.col("p").alias("next"), F.col("next").alias("after")), "next").select("p", F.col("after").alias("next")), f"jumps{round_}")
+    return starts
+
+
 def period_clusters(found: DataFrame, tolerance: float = 0.10) -> DataFrame:
     """Sessions whose periods lie within ``tolerance`` of the first period of their cluster.
 
-    Greedy over ascending periods.  Periods are rounded to 0.1 s and at most 3600 s, so there are
-    at most 36,000 distinct ones, and consecutive starts differ by ten percent (under 100 starts).
+    Greedy over ascending periods; see cluster_starts(), whose few rows become one expression.
     """
-    periods = found.select("period_seconds").distinct()
-    starts = periods.agg(F.array_sort(F.collect_list("period_seconds")).alias("ps")).select(F.aggregate(
-        "ps", F.array().cast("array<double>"), lambda acc, p: F.when(
-            (F.size(acc) > 0) & ((p - F.element_at(acc, -1)) / F.greatest(F.element_at(acc, -1), F.lit(0.001)) <= tolerance),
-            acc).otherwise(F.array_append(acc, p))).alias("starts"))
-    placed = found.withColumn("starts", starts.scalar()).withColumn("cluster_period", F.array_max(
-        F.filter("starts", lambda s: s <= F.col("period_seconds")))).drop("starts")
-    sizes = placed.groupBy("cluster_period").agg(F.count("*").alias("cluster_size")).filter("cluster_size >= 2")
-    return placed.join(F.broadcast(sizes), "cluster_period")      # sizes: under 100 rows
+    table = cluster_starts(found.select(F.col("period_seconds").alias("p")).filter("p IS NOT NULL").distinct(), tolerance)
+    reached = [F.when(F.col("period_seconds") >= r["p"], F.lit(r["p"])) for r in table.collect()]  # a row a start
+    none = F.lit(None).cast("double")
+    placed = found.withColumn("cluster_period", F.greatest(none, none, *reached))
+    sizes = placed.groupBy(F.col("cluster_period").alias("_start")).agg(F.count("*").alias("cluster_size")).filter("cluster_size >= 2")
+    return placed.join(F.broadcast(sizes), F.col("cluster_period") == F.col("_start")).drop("_start")      # sizes: a row a start
 
 
 def infra_members(session_values: DataFrame) -> DataFrame:

@@ -145,14 +145,28 @@ def score_breakdown(sessions: DataFrame) -> DataFrame:
         F.round(F.least(F.lit(100.0), base + weighted + chain + bonus), 1).alias("total"))
 
 
-def lateral_sweeps(blocks: DataFrame, hash_col: str = "content_hash", window: str = "10 minutes",
-                   min_hosts: int = 3) -> DataFrame:
-    """Same block content on several hosts within one time window.
-
-    Distinct (content, window, host) first, so a content with very many copies is reduced before
-    it is counted.
-    """
-    seen = blocks.filter(F.col("ts").isNotNull()).select(
-        hash_col, F.window("ts", window).getField("start").alias("window_start"), "host_id").distinct()
-    return (seen.groupBy(hash_col, "window_start").agg(F.count("*").alias("hosts"))
-            .filter(F.col("hosts") >= min_hosts))
+def lateral_sweeps(blocks: DataFrame, hash_col: str = "content_hash", window_seconds: int = 600, min_hosts: int = 3) -> DataFrame:
+    """Content seen on several hosts within a sliding window: (content, first_seen, hosts), the first time at which ``min_hosts``
+    distinct hosts had it in the last ``window_seconds``, and the most hosts at any time.
+
+    A host counts from each sighting until the window has passed, so its sightings merge to spans, and the hosts at a time are
+    the spans open then: starts less ends up to it.  Sightings shrink to the first and last of each (content, host, window-wide
+    bucket), and running counts are summed bucket by bucket first, so a content with very many copies is no single task."""
+    width = window_seconds * 1_000_000
+    seen = (blocks.filter(F.col("ts").isNotNull()).select(F.col(hash_col).alias("content"), "host_id", _micros(F.col("ts")).alias("at"))
+            .groupBy("content", "host_id", F.floor(F.col("at") / width).alias("bucket")).agg(F.min("at").alias("low"), F.max("at").alias("high")))
+    own = Window.partitionBy("content", "host_id").orderBy("bucket")
+    before, after = F.lag("high").over(own), F.lead("low").over(own)
+    edges = seen.select("content", F.when(before.isNull() | (F.col("low") - before > width), F.col("low")).alias("start"),
+                        F.when(after.isNull() | (after - F.col("high") > width), F.col("high") + width).alias("end"))
+    # Ends count after the starts of the same time: a span includes both.
+    marks = edges.select("content", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(0).alias("kind"), F.lit(1).alias("step")),
+                                                      F.struct(F.col("end").alias("at"), F.lit(1).alias("kind"), F.lit(-1).alias("step")))).alias("m"))
+    marks = marks.select("content", "m.*").filter("at IS NOT NULL").withColumn("bucket", F.floor(F.col("at") / width))
+    sums = marks.groupBy("content", "bucket").agg(F.sum("step").alias("net"))
+    earlier = Window.partitionBy("content").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("content", "bucket", F.coalesce(F.sum("net").over(earlier), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("content", "bucket").orderBy("at", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = marks.withColumn("open", F.sum("step").over(inside)).filter("kind = 0").join(sums, ["content", "bucket"])
+    return (counted.withColumn("hosts", F.col("base") + F.col("open")).filter(F.col("hosts") >= min_hosts)
+            .groupBy(F.col("content").alias(hash_col)).agg(F.timestamp_micros(F.min("at")).alias("first_seen"), F.max("hosts").alias("hosts")))

@@ -517,8 +517,7 @@ def w8_lateral_sweeps(s):
     rows = s.t("documents").select(
         F.concat("lang", F.col("n_chars").cast("string")).alias("content_hash"), F.col("source").alias("host_id"),
         A.at(F.col("doc_id") * 37).alias("ts"))
-    return session_ops.lateral_sweeps(rows, window="2 hours", min_hosts=2).select(
-        "content_hash", when("window_start"), "hosts")
+    return session_ops.lateral_sweeps(rows, window_seconds=7200, min_hosts=2).select("content_hash", when("first_seen"), "hosts")
 
 
 @query

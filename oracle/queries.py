@@ -84,9 +84,10 @@ RAW: dict[str, str] = {
     "w5_session_bounds": f"SELECT session_id, {ts('start_time')}, {ts('end_time')}, round(dur, 6) AS duration_seconds FROM esess",
     "w6_block_gaps": "SELECT block_id, round(greatest(gap, 0.001), 6) AS gap FROM erows WHERE gap IS NOT NULL",
     "w7_tempo": "SELECT session_id, block_count, tempo, round(mean_gap, 6) AS mean_gap, round(stdev_gap, 6) AS stdev_gap FROM sess",
-    "w8_lateral_sweeps": f"""SELECT content_hash, {ts('w', 'window_start')}, count(DISTINCT source) AS hosts FROM (
-        SELECT lang || n_chars AS content_hash, source, time_bucket(INTERVAL 2 HOUR, TIMESTAMP '2024-01-01' + to_seconds(doc_id * 37)) AS w FROM documents)
-      GROUP BY content_hash, w HAVING count(DISTINCT source) >= 2""",
+    "w8_lateral_sweeps": f"""WITH seen AS (SELECT lang || n_chars AS content_hash, source, TIMESTAMP '2024-01-01' + to_seconds(doc_id * 37) AS seen_at FROM documents),
+        around AS (SELECT a.content_hash, a.seen_at, count(DISTINCT b.source) AS hosts FROM (SELECT DISTINCT content_hash, seen_at FROM seen) a
+          JOIN seen b ON b.content_hash = a.content_hash AND b.seen_at BETWEEN a.seen_at - INTERVAL 2 HOUR AND a.seen_at GROUP BY ALL)
+      SELECT content_hash, {ts('min(seen_at)', 'first_seen')}, max(hosts) AS hosts FROM around WHERE hosts >= 2 GROUP BY content_hash""",
     "w9_ordered_rows": "SELECT host_id, block_id FROM acts",
     "c1_block_severity": "SELECT block_id, severity FROM sev",
     "c2_session_score": "SELECT session_id, round(score, 6) AS weighted_score FROM sess",

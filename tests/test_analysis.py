@@ -93,6 +93,22 @@ def test_period_clusters(spark):
     assert got == {"s0": (60.0, 3), "s1": (60.0, 3), "s2": (60.0, 3), "s3": (66.1, 2), "s4": (66.1, 2)}
 
 
+@pytest.mark.parametrize("kind", ["dense", "sparse", "empty", "zero"])
+def test_cluster_starts_equal_the_fold(spark, kind):
+    """A million distinct periods, none of them gathered in one row; gaps of empty cells; nothing; zero and ties of rounding."""
+    if kind == "dense":
+        periods = [i / 10 for i in range(1, 1_000_001)]
+        table = spark.range(1, 1_000_001).select((F.col("id") / 10).alias("p"))
+    else:
+        periods = {"sparse": [0.1, 0.5, 0.5500000000000001, 0.55, 77.0, 84.7, 84.70000000000002, 9e5, 1e9], "empty": [], "zero": [0.0, 0.0001, 0.00011, 0.5, 1.0, 1.1, 1.21]}[kind]
+        table = spark.createDataFrame([(float(p),) for p in periods], "p double")
+    starts = []
+    for p in sorted(periods):
+        if not starts or (p - starts[-1]) / max(starts[-1], 0.001) > 0.10:
+            starts.append(p)
+    assert sorted(r.p for r in T.cluster_starts(table).collect()) == starts
+
+
 @pytest.mark.parametrize("period,want", [(60.0, "cobalt_strike"), (5.2, "metasploit"), (10.0, "empire"), (100.0, ""), (7.4, "empire"), (0.0, "")])
 def test_framework(spark, period, want):
     from huskwatch.catalog.lookups import FRAMEWORK_INTERVALS

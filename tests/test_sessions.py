@@ -91,6 +91,24 @@ def test_sweep(spark):
     assert [(r.content_hash, r.hosts) for r in got] == [("x", 3)]
 
 
+def test_sweeps_slide_over_borders(spark):
+    """Equal to brute force, with sweeps across any border, spans that end as others begin, and hot contents."""
+    rng = random.Random(7)
+    rows = [("edge", h, 595 + 5 * i) for i, h in enumerate("abc")] + [("touch", "a", 0), ("touch", "b", 600), ("touch", "c", 600), ("apart", "a", 0), ("apart", "b", 601), ("apart", "c", 602)]
+    rows += [(f"r{rng.randrange(4)}", f"h{rng.randrange(5)}", rng.randrange(6000)) for _ in range(120)] + [("hot", f"h{i % 2}", i * 7 % 90_000) for i in range(2000)] + [("hot", "h9", 7_000), (None, "a", 1)]
+    want = {}
+    for c in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == c]
+        for _, _, t in own:
+            hosts = len({h for _, h, s in own if t - 600 <= s <= t})
+            if hosts >= 3:
+                want[c] = (min(t, want.get(c, (t, 0))[0]), max(hosts, want.get(c, (t, 0))[1]))
+    frame = spark.createDataFrame(rows, "content_hash string, host_id string, t int").withColumn("ts", F.timestamp_seconds("t")).unionByName(
+        spark.createDataFrame([("null", "a", None)] * 3, "content_hash string, host_id string, t int").withColumn("ts", F.timestamp_seconds("t")))
+    got = {r.content_hash: (r.s, r.hosts) for r in lateral_sweeps(frame).withColumn("s", F.unix_seconds("first_seen")).collect()}
+    assert got == want and "edge" in got and "touch" in got and "apart" not in got and "hot" in got
+
+
 def test_custom_rules_flow(make_blocks):
     hunt = Hunt(make_blocks(("one", 0), ("two", 1)), rules=[Rule("r", "R", "T1", 50, ("one|two",))])
     assert hunt.sessions.first().technique_set == ["R"]
