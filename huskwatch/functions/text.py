@@ -10,12 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from huskwatch.catalog.lookups import TERM_VERBS
-
 # Patterns for indicators and verb-noun terms.
 IOC_PATTERN = (r"https?://[^\s'\")\]>]+|\b(?:\d{1,3}\.){3}\d{1,3}\b|\b[0-9a-fA-F]{32,64}\b|"
                r"C:\\[^\s'\")\]>]{5,}")
-TERM_PATTERN = r"\b(?:" + "|".join(TERM_VERBS) + r")-\w+"
+TERM_PATTERN = (r"\b(?:Invoke|Get|Set|New|Remove|Add|Start|Stop|Test|Out|Write|Read|Select|Where|ForEach|Sort|Group|Measure|Convert|"
+                r"Export|Import|Register|Unregister|Enable|Disable|Clear|Copy|Move|Rename|Install|Uninstall|Publish|Update|"
+                r"Enter|Exit|Push|Pop|Format|Compare|Join|Split)-\w+")
 CRED_PATTERN = r"\[PLAINTEXT_CRED:([^\]]+)\]"
 
 
