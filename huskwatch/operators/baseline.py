@@ -69,6 +69,20 @@ def _spread_null(key: Column) -> Column:
     return F.coalesce(key, F.concat(F.lit("\0"), F.pmod(F.xxhash64("block_id"), F.lit(1024)).cast("string")))
 
 
+def _entropy_stats(baseline: Baseline) -> Column:
+    return baseline.samples.agg(F.struct(F.count("entropy").alias("n"), F.avg("entropy").alias("mean")).alias("s")).select("s").scalar()
+
+
+def is_outlier(stats: Column, factor: float = 1.5, least: float = 4.5, samples: int = 50) -> Column:
+    """Entropy above ``factor`` times the mean of more than ``samples`` samples, and above ``least``."""
+    return (stats.getField("n") > samples) & (F.col("entropy") > stats.getField("mean") * factor) & (F.col("entropy") > least)
+
+
+def entropy_outliers(features: DataFrame, baseline: Baseline, factor: float = 1.5, least: float = 4.5, samples: int = 50) -> DataFrame:
+    """Blocks whose entropy is_outlier() marks, as anomaly() counts them."""
+    return features.filter(is_outlier(_entropy_stats(baseline), factor, least, samples))
+
+
 def anomaly(features: DataFrame, baseline: Baseline) -> DataFrame:
     """0-100 distance of every block from the baseline.
 
@@ -78,7 +92,7 @@ def anomaly(features: DataFrame, baseline: Baseline) -> DataFrame:
     """
     universal = F.array(*[F.lit(t) for t in UNIVERSAL_TERMS])
     observed = baseline.observed.select("n").scalar()
-    stats = baseline.samples.agg(F.struct(F.count("entropy").alias("n"), F.avg("entropy").alias("mean")).alias("s")).select("s").scalar()
+    outlier = is_outlier(_entropy_stats(baseline))
     path = F.when(F.length("path") > 0, normalise_path(F.col("path")))
     flagged = (features.select(*BLOCK_KEY, "entropy", "terms", "content_hash", _spread_null(path).alias("norm_path"))
                .join(baseline.hashes.select("content_hash", F.lit(True).alias("known_hash")), "content_hash", "left")
@@ -95,7 +109,6 @@ def anomaly(features: DataFrame, baseline: Baseline) -> DataFrame:
                    F.sum(F.when(F.col("seen") < 5, F.col("k")).otherwise(0)).alias("rare"),
                    F.sum(F.when(F.col("seen") == 0, F.col("k")).otherwise(0)).alias("never")))
     rarity = F.least(F.lit(100.0), (F.col("rare") + 1.5 * F.col("never")) / F.col("terms_n") * 80)
-    outlier = (stats.getField("n") > 50) & (F.col("entropy") > stats.getField("mean") * 1.5) & (F.col("entropy") > 4.5)
     raw = rarity + F.when(outlier, 15.0).otherwise(0.0)
     score = F.least(F.lit(100.0), F.when(F.col("known_path"), raw * 0.3).otherwise(raw))
     return counted.select(*BLOCK_KEY, F.when((observed < 100) | F.col("known_hash").isNotNull() | (F.col("terms_n") == 0), 0.0).otherwise(score).alias("anomaly"))

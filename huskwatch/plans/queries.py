@@ -665,8 +665,7 @@ def b5_anomaly(s):
 
 @query
 def b6_entropy_outliers(s):
-    mean = s.baseline.samples.agg((F.avg("entropy") * 1.1).alias("m"))
-    return s.words.filter((F.col("entropy") > mean.scalar()) & (F.col("entropy") > 4.5)).select("block_id")
+    return base_ops.entropy_outliers(s.words, s.baseline, factor=1.1).select("block_id")
 
 
 @query

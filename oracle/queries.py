@@ -128,7 +128,7 @@ RAW: dict[str, str] = {
     "b3_content_hash": "SELECT block_id, content_hash FROM words",
     "b4_normalised_path": "SELECT block_id, CASE WHEN path = '' THEN '' ELSE replace(lower(substr(path, 4)), '\\', '/') END AS norm_path FROM blocks",
     "b5_anomaly": "SELECT block_id, round(anomaly, 6) AS anomaly FROM anom",
-    "b6_entropy_outliers": "SELECT block_id FROM words WHERE entropy > 1.1 * (SELECT avg(entropy) FROM benign) AND entropy > 4.5",
+    "b6_entropy_outliers": "SELECT block_id FROM words WHERE entropy > 1.1 * (SELECT avg(entropy) FROM benign) AND entropy > 4.5 AND (SELECT count(entropy) FROM benign) > 50",
     "b7_summary": """SELECT (SELECT count(*) FROM benign) AS observations, (SELECT count(*) FROM vocab) AS unique_terms, (SELECT count(DISTINCT content_hash) FROM benign) AS known_hashes,
         (SELECT count(*) FROM bpaths) AS known_paths, (SELECT string_agg(term, ',' ORDER BY n DESC, term) FROM (SELECT * FROM vocab ORDER BY n DESC, term LIMIT 10)) AS top_terms""",
     "b8_session_anomaly": "SELECT session_id, round(arg_min(anomaly, (ts, block_id)), 6) AS baseline_anomaly FROM arows GROUP BY session_id",

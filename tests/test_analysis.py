@@ -37,6 +37,18 @@ def test_baseline_scores(make_blocks):
     assert [r.block_id for r in B.known_good(new, base).collect()] == ["b0000"]
 
 
+def test_entropy_outliers_fire(make_blocks):
+    """A dense block among plain ones is an outlier, and weighs 15 in its score; fifty samples are too few."""
+    odd = "Invoke-New " + "".join(chr(33 + i % 94) for i in range(0, 900, 7))
+    plain = [("Get-Process aaaa", i) for i in range(120)]
+    base = B.build(features(make_blocks, *plain))
+    new = features(make_blocks, (odd, 0), ("Get-Process | aaaa Invoke-New", 1))
+    assert [r.block_id for r in B.entropy_outliers(new, base).collect()] == ["b0000"]
+    known = features(make_blocks, ("Get-Process " * 7 + odd, 0))
+    assert abs(B.anomaly(known, base).first().anomaly - (2.5 / 8 * 80 + 15)) < 1e-9
+    assert B.entropy_outliers(new, B.build(features(make_blocks, *plain[:50]))).count() == 0
+
+
 def test_baseline_needs_enough_observations(make_blocks):
     base = B.build(features(make_blocks, *[("Get-Process", i) for i in range(10)]))
     assert B.anomaly(features(make_blocks, ("Invoke-New x", 0)), base).first().anomaly == 0.0
