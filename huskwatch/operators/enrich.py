@@ -1,6 +1,10 @@
 """Joins that enrich sessions: processes, logons, lateral moves, feeds, geography, triage."""
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,51 +62,128 @@ def session_logons(sessions: DataFrame, logons: DataFrame, margin_seconds: int =
     return first_per(hits.drop("bucket", "first_bucket", "place", "low", "high"), ["session_id"], order, n)
 
 
-def lateral_moves(sessions: DataFrame, techniques: dict | None = None, before: int = 60, after: int = 1800) -> DataFrame:
+def _sides(sessions: DataFrame, known: dict, before: int, after: int) -> tuple[DataFrame, DataFrame]:
+    """Sources (one row per lateral technique) and targets of moves, times in microseconds, with the time buckets in which they
+    can meet: a bucket is as wide as the window, so a target lies in one and a source covers at most three."""
+    width = (before + after) * 1_000_000
+    timed = sessions.filter(F.col("start_time").isNotNull()).select(
+        "session_id", "host_id", F.unix_micros("start_time").alias("start"), F.unix_micros("end_time").alias("end"),
+        F.array_intersect("technique_set", F.array(*[F.lit(k) for k in known])).alias("techs"))
+    reach = F.sequence(F.floor((F.col("end") - before * 1_000_000) / width), F.floor((F.col("end") + after * 1_000_000) / width))
+    sources = timed.filter(F.size("techs") > 0).withColumn("technique", F.explode("techs")).withColumn("bucket", F.explode(reach)).drop("techs")
+    return sources, timed.select("session_id", "host_id", "start", F.floor(F.col("start") / width).alias("bucket"))
+
+
+def _dealt(sources: DataFrame, targets: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with (bucket, i, j): part i of a bucket's sources meets part j of its targets, about ``share`` rows each, whatever
+    hosts they belong to. A bucket that lacks one side goes."""
+    sizes = (sources.select("bucket", F.lit(1).alias("s"), F.lit(0).alias("t")).unionByName(targets.select("bucket", F.lit(0).alias("s"), F.lit(1).alias("t")))
+             .groupBy("bucket").agg(F.ceil(F.sum("s") / share).alias("n_i"), F.ceil(F.sum("t") / share).alias("n_j")).filter("n_i > 0 and n_j > 0"))
+
+    def part(rows: DataFrame, own: str, other: str) -> DataFrame:
+        mine, theirs = F.pmod(F.xxhash64("session_id"), F.col(f"n_{own}")), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(f"n_{other}") - 1))
+        return rows.join(sizes, "bucket").withColumn(own, mine).withColumn(other, theirs).drop("n_i", "n_j")
+    return part(sources, "i", "j"), part(targets, "j", "i")
+
+
+def _labelled(rows: DataFrame, known: dict) -> DataFrame:
+    label = F.create_map(*[F.lit(x) for k, (m, text) in known.items() for x in (k, f"{m}|{text}")])
+    both = F.split(F.try_element_at(label, F.col("technique")), r"\|")
+    return rows.withColumn("mitre_id", both[0]).withColumn("evidence", both[1])
+
+
+def lateral_moves(sessions: DataFrame, techniques: dict | None = None, before: int = 60, after: int = 1800, share: int = 10_000) -> DataFrame:
     """Moves between hosts: the source session holds a lateral technique and a session on another
     host starts between ``before`` seconds before and ``after`` seconds after the source ends, later
     in (start, session id) order.
 
-    Sources and targets meet on a time bucket as wide as the window (each target lies in one
-    bucket, each source covers at most three), then the exact test applies.
+    One row per pair and technique, which is what the table is; lateral_first() and lateral_counts() make no pairs.
     """
     known = LATERAL_TECHNIQUES if techniques is None else techniques
-    width = (before + after) * 1_000_000
-    micro = lambda c: F.unix_micros(F.col(c))                                   # noqa: E731
-    table = F.create_map(*[F.lit(x) for k, (m, label) in known.items()
-                           for x in (k, f"{m}|{label}")])
-    src = (sessions.filter(F.col("start_time").isNotNull())
-           .withColumn("techs", F.array_intersect("technique_set", F.array(*[F.lit(k) for k in known])))
-           .filter(F.size("techs") > 0)
-           .select(F.col("session_id").alias("source_session"), F.col("host_id").alias("source_host"), "techs",
-                   F.struct(F.col("start_time"), F.col("session_id")).alias("src_order"), micro("end_time").alias("src_end"))
-           .withColumn("bucket", F.explode(F.sequence(F.floor((F.col("src_end") - before * 1_000_000) / width),
-                                                      F.floor((F.col("src_end") + after * 1_000_000) / width)))))
-    dst = sessions.filter(F.col("start_time").isNotNull()).select(
-        F.col("session_id").alias("target_session"), F.col("host_id").alias("target_host"),
-        F.struct(F.col("start_time"), F.col("session_id")).alias("dst_order"), micro("start_time").alias("dst_start"),
-        F.floor(micro("start_time") / width).alias("bucket"))
-    delta = F.col("dst_start") - F.col("src_end")
-    pairs = src.join(dst, "bucket").filter(
-        (F.col("source_host") != F.col("target_host")) & (F.col("dst_order") > F.col("src_order"))
-        & delta.between(-before * 1_000_000, after * 1_000_000))
-    label = F.split(F.try_element_at(table, F.col("technique")), r"\|")
-    return (pairs.select("source_session", "target_session", "source_host", "target_host",
-                         F.col("dst_order.start_time").alias("ts"), F.col("src_order").alias("src_order"),
-                         F.explode("techs").alias("technique"))
-            .withColumn("mitre_id", label[0]).withColumn("evidence", label[1]))
+    sources, targets = _dealt(*_sides(sessions, known, before, after), share)
+    sources = sources.withColumnsRenamed({"session_id": "source_session", "host_id": "source_host", "start": "src_start"})
+    targets = targets.withColumnsRenamed({"session_id": "target_session", "host_id": "target_host", "start": "dst_start"})
+    delta = F.col("dst_start") - F.col("end")
+    later = F.struct("dst_start", "target_session") > F.struct("src_start", "source_session")
+    pairs = sources.join(targets, ["bucket", "i", "j"]).filter(
+        (F.col("source_host") != F.col("target_host")) & later & delta.between(-before * 1_000_000, after * 1_000_000))
+    return _labelled(pairs.select(
+        "source_session", "target_session", "source_host", "target_host", F.timestamp_micros("dst_start").alias("ts"),
+        F.struct(F.timestamp_micros("src_start").alias("start_time"), F.col("source_session").alias("session_id")).alias("src_order"), "technique"), known)
 
 
 def lateral_edges(moves: DataFrame) -> DataFrame:
-    """Distinct (source host, target host, technique) with the first move of each.
+    """Distinct (source host, target host, technique) of a table of moves with the first move of each.
 
-    A plain aggregate: pairs are reduced in the task that produced them, before any shuffle.
+    A plain aggregate: rows are reduced in the task that reads them. From sessions, lateral_first() gives the same without moves.
     """
     first = F.min(F.struct("src_order", "ts", "target_session", "mitre_id", "evidence")).alias("f")
     return moves.groupBy("source_host", "target_host", "technique").agg(first).select(
         "source_host", "target_host", "technique", "f.mitre_id", "f.evidence", "f.ts")
 
 
+def _first_targets(before: int, after: int, flush: int = 50_000) -> Callable:
+    """One (bucket, i, j): for every host among the targets, the next of its starts from each source's place on, by binary search;
+    of each (source host, technique) the first source that reaches the host, and the last start that any of them reaches."""
+    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).sort_by([("start", "ascending"), ("session_id", "ascending"), ("is_source", "ascending")])
+        is_source = rows["is_source"].to_numpy()
+        sources, targets = rows.filter(pa.array(is_source)), rows.filter(pa.array(~is_source))
+        starts, end = targets["start"].to_numpy(), sources["end"].to_numpy()
+        low = np.maximum(np.cumsum(~is_source)[is_source], np.searchsorted(starts, end - before * 1_000_000, "left"))
+        high = np.searchsorted(starts, end + after * 1_000_000, "right")
+        hosts = pa.chunked_array([*sources["host_id"].chunks, *targets["host_id"].chunks], pa.string()).combine_chunks().dictionary_encode().indices.to_numpy()
+        own, theirs = hosts[:len(sources)].astype(np.int64), hosts[len(sources):]
+        technique = sources["technique"].combine_chunks().dictionary_encode()
+        kind = own * len(technique.dictionary) + technique.indices.to_numpy()
+        order = np.argsort(theirs, kind="stable")
+        cuts = np.flatnonzero(np.diff(theirs[order])) + 1
+        found: list[np.ndarray] = []
+        held = 0
+
+        def packed() -> pa.RecordBatch:
+            src, dst, last = np.concatenate(found, axis=1)
+            s, t = sources.take(pa.array(src)), targets.take(pa.array(dst))
+            columns = {"source_host": s["host_id"], "target_host": t["host_id"], "technique": s["technique"], "src_start": s["start"], "source_session": s["session_id"],
+                       "dst_start": t["start"], "target_session": t["session_id"], "last": pa.array(starts[last])}
+            return pa.table(columns).combine_chunks().to_batches()[0]
+
+        for places in np.split(order, cuts) if len(order) else []:
+            at = np.searchsorted(places, low)
+            upto = np.searchsorted(places, high)
+            src = np.flatnonzero((at < upto) & (own != theirs[places[0]]))
+            if not len(src):
+                continue
+            _, first, group = np.unique(kind[src], return_index=True, return_inverse=True)
+            last = np.zeros(len(first), np.int64)
+            np.maximum.at(last, group, places[upto[src] - 1])
+            found.append(np.stack([src[first], places[at[src[first]]], last]))
+            held += len(first)
+            if held >= flush:
+                yield packed()
+                found, held = [], 0
+        if found:
+            yield packed()
+    return reach
+
+
+def lateral_first(sessions: DataFrame, techniques: dict | None = None, before: int = 60, after: int = 1800, share: int = 10_000) -> DataFrame:
+    """lateral_edges(lateral_moves(sessions)) with ``last_ts``, the latest target start of the edge, without making the moves.
+
+    Parts of a time bucket's sources and targets meet in one task of at most about twice ``share`` rows, which gives one row per
+    (source host, target host, technique); the rows of an edge from several parts and buckets are reduced before the shuffle.
+    A task's rows are dealt out by session, so a host with a large share of all sessions spreads."""
+    known = LATERAL_TECHNIQUES if techniques is None else techniques
+    sources, targets = _dealt(*_sides(sessions, known, before, after), share)
+    both = sources.withColumn("is_source", F.lit(True)).unionByName(targets.withColumn("is_source", F.lit(False)), allowMissingColumns=True)
+    schema = "source_host string, target_host string, technique string, src_start bigint, source_session string, dst_start bigint, target_session string, last bigint"
+    found = both.groupBy("bucket", "i", "j").applyInArrow(_first_targets(before, after), schema)
+    edges = found.groupBy("source_host", "target_host", "technique").agg(
+        F.min(F.struct("src_start", "source_session", "dst_start", "target_session")).alias("f"), F.max("last").alias("last"))
+    return _labelled(edges, known).select("source_host", "target_host", "technique", "mitre_id", "evidence",
+                                          F.timestamp_micros("f.dst_start").alias("ts"), F.timestamp_micros("last").alias("last_ts"))
+
+
 def _starts_upto(starts: DataFrame, asked: DataFrame, keys: list[str], slot: int = 10, page: int = 6000) -> DataFrame:
     """asked (session_id, sign, keys, at, id) with ``upto``: how many starts have (at, id) up to the asked place, per ``keys``.
 
@@ -157,7 +238,8 @@ def hop_degree(edges: DataFrame) -> DataFrame:
 
 def credential_reuse(creds: DataFrame, moves: DataFrame, logons: DataFrame) -> DataFrame:
     """Targets reached from hosts with an extracted credential, at or after its extraction:
-    (source_host, target_host, via, is_new_target).  Moves without a time count."""
+    (source_host, target_host, via, is_new_target).  Moves without a time count.  Of many moves of one host pair the latest decides,
+    so edges with their last time do as well."""
     first = creds.filter(F.col("ts").isNotNull()).groupBy("host_id").agg(
         F.date_trunc("second", F.min("ts")).alias("cred_time"))
     by_move = (moves.select(F.col("source_host").alias("host_id"), "target_host", "ts")

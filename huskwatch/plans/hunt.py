@@ -90,6 +90,11 @@ class Hunt:
     def moves(self) -> DataFrame:
         return enrich.lateral_moves(self.sessions)
 
+    @cached_property
+    def edges(self) -> DataFrame:
+        """Host-to-host edges with their first and last move."""
+        return enrich.lateral_first(self.sessions)
+
     @cached_property
     def enriched(self) -> DataFrame:
         """Sessions with indicator, move and beacon facts joined on."""

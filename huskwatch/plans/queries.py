@@ -813,7 +813,8 @@ def j5_lateral_moves(s):
 
 @query
 def j6_credential_reuse(s):
-    return enrich.credential_reuse(indicators.first_credentials(s.hunt.rows), s.hunt.moves, A.logon_events(s.spark, s.folder))
+    return enrich.credential_reuse(indicators.first_credentials(s.hunt.rows), s.hunt.edges.select("source_host", "target_host", F.col("last_ts").alias("ts")),
+                                   A.logon_events(s.spark, s.folder))
 
 
 @query
@@ -972,12 +973,12 @@ def a22_host_nodes(s):
 
 @query
 def a23_lateral_edges(s):
-    return enrich.lateral_edges(s.hunt.moves).select("source_host", "target_host", "technique", when("ts"))
+    return s.hunt.edges.select("source_host", "target_host", "technique", when("ts"))
 
 
 @query
 def a24_hop_degree(s):
-    return enrich.hop_degree(enrich.lateral_edges(s.hunt.moves))
+    return enrich.hop_degree(s.hunt.edges)
 
 
 @query

@@ -191,6 +191,28 @@ def test_lateral_moves_equal_nested_loop(spark):
     edges = enrich.lateral_edges(moves)
     assert edges.count() == len({(r.source_host, r.target_host, r.technique) for r in moves.collect()})
     assert {r.host_id for r in enrich.hop_degree(edges).collect()} >= {"x", "y"}
+    assert {tuple(r) for r in enrich.lateral_moves(make_sessions(spark, rows), share=3).collect()} == {tuple(r) for r in moves.collect()}
+
+
+@pytest.mark.parametrize("share", [3, 10_000])
+def test_first_moves_equal_reduced_moves(spark, share):
+    """One host with a third of all sessions, equal starts, sources that last for hours, and a start missing; in one part and in many."""
+    rnd = random.Random(5)
+    techs = ["LATERAL_PSREMOTING", "COM_LATERAL", "IEX_EXEC"]
+    rows = []
+    for _ in range(240):
+        s = rnd.randint(0, 400) * 30
+        rows.append((rnd.choice("aaabcdef"), s, s + rnd.choice([0, 30, 600, 5000]), rnd.sample(techs, rnd.randint(0, 3))))
+    rows.append(("g", None, None, techs))
+    sessions = make_sessions(spark, rows)
+    moves = enrich.lateral_moves(sessions)
+    want = {tuple(r) for r in enrich.lateral_edges(moves).collect()}
+    first = enrich.lateral_first(sessions, share=share)
+    got = first.collect()
+    assert {tuple(r)[:-1] for r in got} == want and len(got) == len(want) == 60
+    last = {(r.source_host, r.target_host, r.technique): r.ts for r in moves.groupBy("source_host", "target_host", "technique").agg({"ts": "max"}).withColumnRenamed("max(ts)", "ts").collect()}
+    assert {(r.source_host, r.target_host, r.technique): r.last_ts for r in got} == last
+    assert enrich.lateral_first(sessions.limit(0)).count() == 0 and enrich.lateral_first(sessions.filter("host_id = 'b'")).count() == 0
 
 
 def test_session_logons(spark):
