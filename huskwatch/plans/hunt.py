@@ -19,16 +19,23 @@ from huskwatch.operators.blocks import block_features, classify, decode_blocks,
 from huskwatch.operators.indicators import ioc_hub, session_iocs
 from huskwatch.operators.sessions import GAP_SECONDS, score, stitch, summarise
 
+# Columns of block_features() that single tables need beside the keys.
+ROW_KEYS = ("block_id", "block_number", "host_id", "process_id", "ts")
+SESSION_FEATURES = ("severity", "techniques", "changed")
+PRINT_FEATURES = ("raw_chars", "char_codes", "b64_runs", "calls", "parens", "join_rank", "ticks", "slots")
+
 
 class Hunt:
     """Lazy tables of one analysis; each is a DataFrame built on first use."""
 
     def __init__(self, blocks: DataFrame, rules: list[Rule] | None = None, gap_seconds: float = GAP_SECONDS,
                  bucket_seconds: int = 3600, blob_entropy: float = 6.0, bonus_entropy: float = 5.5,
-                 work_folder: str | None = None):
+                 work_folder: str | None = None, features: tuple[str, ...] | None = None):
+        """``features`` names the feature columns that the caller's tables need (all if None): no others are computed or written.
+        SESSION_FEATURES serve ``sessions``, ``moves`` and ``edges``, PRINT_FEATURES ``fingerprints``, ``iocs`` ``members``."""
         self.spark = blocks.sparkSession
         self.blocks = classify(blocks, rules, blob_entropy, bonus_entropy)
-        self.gap, self.bucket, self.folder = gap_seconds, bucket_seconds, work_folder
+        self.gap, self.bucket, self.folder, self.features = gap_seconds, bucket_seconds, work_folder, features
 
     @classmethod
     def from_records(cls, records: DataFrame, **options) -> "Hunt":
@@ -41,10 +48,16 @@ class Hunt:
     def silver(self) -> DataFrame:
         """Per-block features without texts."""
         narrow = block_features(self.blocks)
+        if self.features is not None:
+            narrow = narrow.select(*ROW_KEYS, *self.features)
+        return self._written(narrow, "block_features")
+
+    def _written(self, table: DataFrame, name: str) -> DataFrame:
+        """The table by way of the work folder, under a name of this run alone; the lazy table where there is no folder."""
         if not self.folder:
-            return narrow
-        path = f"{self.folder}/block_features-{uuid.uuid4().hex}"  # of this run alone
-        narrow.write.parquet(path)
+            return table
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex}"
+        table.write.parquet(path)
         return self.spark.read.parquet(path)
 
     @cached_property
@@ -86,19 +99,24 @@ class Hunt:
     def beacons(self) -> DataFrame:
         return beacon_ops.beacons(beacon_ops.intervals(self.rows))
 
+    @cached_property
+    def spans(self) -> DataFrame:
+        """What moves and edges read of the sessions, up to four times."""
+        return self._written(self.sessions.select("session_id", "host_id", "start_time", "end_time", "technique_set"), "spans")
+
     @cached_property
     def moves(self) -> DataFrame:
-        return enrich.lateral_moves(self.sessions)
+        return enrich.lateral_moves(self.spans)
 
     @cached_property
     def edges(self) -> DataFrame:
         """Host-to-host edges with their first and last move."""
-        return enrich.lateral_first(self.sessions)
+        return enrich.lateral_first(self.spans)
 
     @cached_property
     def enriched(self) -> DataFrame:
         """Sessions with indicator, move and beacon facts joined on."""
         iocs = self.members.groupBy("session_id").agg(F.count("*").alias("ioc_count"))
         return (self.tagged.join(iocs, "session_id", "left")
-                .join(enrich.lateral_counts(self.sessions), "session_id", "left")
+                .join(enrich.lateral_counts(self.spans), "session_id", "left")
                 .join(self.beacons.drop("host_id"), "session_id", "left"))

@@ -21,22 +21,26 @@ from huskwatch.operators import content as content_ops
 from huskwatch.operators import enrich, indicators, rollups, stix, views
 from huskwatch.operators import sessions as session_ops
 from huskwatch.plans import adapters as A
-from huskwatch.plans.hunt import Hunt
+from huskwatch.plans.hunt import PRINT_FEATURES, SESSION_FEATURES, Hunt
 from huskwatch.session import checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-# Queries that need the block features more than once: they write them to the work folder and read them back.
-ONCE = frozenset("""p5_session_summary p6_session_detail p13_hit_source_filter p15_confirmed_campaigns c7_enriched_sessions f9_campaigns f10_campaign_tags
-    j5_lateral_moves j6_credential_reuse j7_threat_hits a1_headline a19_hits_per_source a23_lateral_edges a24_hop_degree a25_campaign_scalars a27_narrative r7_first_findings r11_highest_level j9_detection_content j10_sigma_fields j11_sigma_for_sessions l4_campaign_order
-    s12c_notes s12d_indicators s12e_relationships s12f_known_malware s14_report_tiers""".split())
+# Queries that need block features more than once: they write them to the work folder and read them back, those named alone if so stated.
+_MOVES, _PRINTS = SESSION_FEATURES, (*SESSION_FEATURES, *PRINT_FEATURES)
+ONCE: dict[str, tuple[str, ...] | None] = dict.fromkeys("""p5_session_summary p6_session_detail c7_enriched_sessions a1_headline a27_narrative
+    r7_first_findings r11_highest_level j9_detection_content j10_sigma_fields j11_sigma_for_sessions s12c_notes s12d_indicators s12e_relationships
+    s12f_known_malware s14_report_tiers""".split())
+ONCE |= dict.fromkeys(["j5_lateral_moves", "a23_lateral_edges", "a24_hop_degree"], _MOVES) | {"j6_credential_reuse": (*_MOVES, "creds")}
+ONCE |= dict.fromkeys(["j7_threat_hits", "p13_hit_source_filter", "a19_hits_per_source"], ("iocs",))
+ONCE |= dict.fromkeys(["f9_campaigns", "f10_campaign_tags", "p15_confirmed_campaigns", "a25_campaign_scalars", "l4_campaign_order"], _PRINTS)
 
 
 class Tables:
     """Shared intermediate tables of one query run; all lazy, but for block features that are used more than once."""
 
-    def __init__(self, spark: SparkSession, folder: str, once: bool = False):
-        self.spark, self.folder, self.once = spark, folder, once
+    def __init__(self, spark: SparkSession, folder: str, once: bool = False, features: tuple[str, ...] | None = None):
+        self.spark, self.folder, self.once, self.features = spark, folder, once, features
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     def t(self, name: str) -> DataFrame:
@@ -46,7 +50,7 @@ class Tables:
     @cached_property
     def hunt(self) -> Hunt:
         return Hunt(A.doc_blocks(self.spark, self.folder), A.DOC_RULES, A.DOC_GAP, A.DAY,
-                    A.DOC_BLOB_ENTROPY, A.DOC_BONUS_ENTROPY, checkpoint_dir(self.spark) if self.once else None)
+                    A.DOC_BLOB_ENTROPY, A.DOC_BONUS_ENTROPY, checkpoint_dir(self.spark) if self.once else None, self.features)
 
     @cached_property
     def events(self) -> DataFrame:
@@ -114,7 +118,7 @@ class Tables:
 
 
 def query(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-    QUERIES[fn.__name__] = lambda spark, folder: fn(Tables(spark, folder, fn.__name__ in ONCE))
+    QUERIES[fn.__name__] = lambda spark, folder: fn(Tables(spark, folder, fn.__name__ in ONCE, ONCE.get(fn.__name__)))
     return fn
 
 
