@@ -1,6 +1,7 @@
 """Detection content for what was found, content applied as predicates, hardening advice."""
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -72,13 +73,41 @@ def sigma_rows(best: DataFrame, sessions: DataFrame, content: DataFrame) -> Data
         title.alias("title"), F.concat(F.lit("Detects "), title, F.lit("."), context).alias("description"),
         severity_band(F.col("severity")).alias("level"),
         F.array_sort(F.array_distinct(F.array_append(F.coalesce("tags", F.array().cast("array<string>")), tag))).alias("tags"),
-        F.coalesce("condition", F.lit("selection")).alias("condition"),
+        F.coalesce("condition", F.lit("selection")).alias("condition"), F.left("matched_text", F.lit(50)).alias("term"),
         F.concat(F.lit("https://attack.mitre.org/techniques/"), F.translate("mitre_id", ".", "/")).alias("reference"))
     other = [c for c in full.columns if c not in ("session_id", "title")]
     return full.groupBy("session_id", "title").agg(F.min_by(F.struct(*other), F.struct("first_at", "technique_id")).alias("r")).select(
         "session_id", "title", "r.*")
 
 
+def _quoted(value: Column) -> Column:
+    """A JSON string, which is also a YAML scalar."""
+    whole = F.to_json(F.struct(F.coalesce(value, F.lit("")).alias("v")))
+    return F.substr(whole, F.lit(6), F.length(whole) - 6)
+
+
+def _selectors(selectors: dict, condition: str) -> str:
+    """YAML of the detection part of an entry."""
+    modes = {"any": "contains", "all": "contains|all", "re": "re"}
+    parts = [f"  {name}:\n    EventID: 4104\n    ScriptBlockText|{modes[mode]}:\n" + "".join(f"      - {json.dumps(t)}\n" for t in terms)
+             for name, (mode, terms) in selectors.items()]
+    return "".join(parts) + f"  condition: {condition}\n"
+
+
+def sigma_texts(rows: DataFrame, content: dict | None = None) -> DataFrame:
+    """sigma_rows() with ``text``, the rule as YAML: the entry's selectors, or its matched text where the technique has no entry."""
+    entries = CONTENT if content is None else content
+    known = F.create_map(*[F.lit(x) for tech, (_, _, _, selectors, condition) in entries.items() for x in (tech, _selectors(selectors, condition))])
+    plain = F.concat(F.lit("  selection:\n    EventID: 4104\n    ScriptBlockText|contains:\n      - "), _quoted(F.col("term")), F.lit("\n  condition: selection\n"))
+    digest = F.md5(F.concat_ws("|", "session_id", "title"))
+    rule_id = F.regexp_replace(digest, r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    lines = [F.lit("title: "), _quoted(F.col("title")), F.lit("\nid: "), rule_id, F.lit("\nstatus: experimental\ndescription: "), _quoted(F.col("description")),
+             F.lit("\ntags:\n"), F.concat_ws("", F.transform("tags", lambda t: F.concat(F.lit("  - "), t, F.lit("\n")))),
+             F.lit("logsource:\n  product: windows\n  category: ps_script\ndetection:\n"), F.coalesce(F.try_element_at(known, F.col("technique_id")), plain),
+             F.lit("level: "), F.col("level"), F.lit("\nreferences:\n  - "), F.col("reference"), F.lit("\n")]
+    return rows.withColumn("text", F.concat(*lines))
+
+
 def sigma_for_sessions(rows: DataFrame, min_score: float = 40) -> DataFrame:
     """One Sigma row per technique over sessions scoring at least ``min_score``: the first session's."""
     other = [c for c in rows.columns if c != "technique_id"]

@@ -1,7 +1,7 @@
 """Session views: summary and detail rows, filters, search, pivots, narrative, report rows."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huskwatch.catalog.lookups import PHRASES
@@ -61,6 +61,63 @@ def detail_context(sessions: DataFrame, processes: DataFrame, logons: DataFrame,
     }
 
 
+# Lists of the nested session detail: how many entries it shows and the columns they stand in order of. The child tables hold all.
+DETAIL_LISTS: dict[str, tuple[int, tuple[str, ...]]] = {
+    "iocs": (60, ("value",)),
+    "ti_hits": (200, ("value", "source")),
+    "lateral_moves": (200, ("ts", "source_session", "target_session", "technique")),
+    "process_tree": (30, ("ts", "pid", "process_name")),
+    "logons": (30, ("ts", "username", "target_host")),
+    "blocks": (500, ("ts", "block_id", "block_number")),
+    "credentials": (200, ("ts", "block_id", "value")),
+}
+
+
+def detail_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Block rows of the session detail with their findings; texts are cut for display before they travel."""
+    keys = ["block_id", "block_number"]
+    texts = blocks.select(*keys, F.left("decoded_text", F.lit(1200)).alias("decoded_text"),
+                          F.when(F.col("raw_text") != F.col("decoded_text"), F.left("raw_text", F.lit(400))).alias("raw_text")).dropDuplicates(keys)
+    shown = F.transform("findings", lambda f: F.struct(
+        *[f.getField(c).alias(c) for c in ("technique_id", "mitre_id", "severity", "rule_name")], F.left(f.getField("matched_text"), F.lit(200)).alias("matched_text"),
+        f.getField("context").alias("context"), F.round(f.getField("confidence"), 2).alias("confidence")))
+    return rows.select("session_id", *keys, "ts", "path", F.round("entropy", 2).alias("entropy"), "severity", shown.alias("findings")).join(texts, keys)
+
+
+def session_detail(sessions: DataFrame, children: dict[str, DataFrame], shown: dict[str, int] | None = None) -> DataFrame:
+    """One nested row per session: its summary columns, one ordered list of structs per child table, and <child>_total, how many
+    rows the child has.
+
+    ``children`` are tables with session_id under names of DETAIL_LISTS; a session without rows of a child has an empty list. A
+    list shows its first rows in the order of DETAIL_LISTS (null first, repeated rows each), ``shown`` of them. All
+    children travel as one tagged table: rows beyond the shown ones are cut in the task that has them, so a session with very
+    many rows of a child is never gathered, and totals are counts. Rows of sessions that are not in ``sessions`` go.
+    """
+    wanted = {name: (shown or {}).get(name, n) for name, (n, _) in DETAIL_LISTS.items()}
+    if unknown := set(children) - set(DETAIL_LISTS):
+        raise ValueError(f"no such list in the session detail: {sorted(unknown)}")
+    tagged = None
+    for name, table in children.items():
+        order = [F.unix_micros(c) + 4_000_000_000_000_000_000 if c == "ts" else F.col(c) for c in DETAIL_LISTS[name][1]]  # never negative
+        place = F.array(*[F.lpad(o.cast("string"), 20, "0") if c in ("ts", "pid", "block_number") else o.cast("string")
+                          for c, o in zip(DETAIL_LISTS[name][1], order, strict=True)])
+        rows = table.select("session_id", F.lit(name).alias("child"), place.alias("place"),
+                            F.struct(*[F.col(f"`{c}`") for c in table.columns if c != "session_id"]).alias(name))
+        tagged = rows if tagged is None else tagged.unionByName(rows, allowMissingColumns=True)
+    if tagged is None:
+        return sessions
+    limit = F.create_map(*[F.lit(x) for item in wanted.items() for x in item])[F.col("child")]
+    ranked = tagged.withColumn("no", F.row_number().over(Window.partitionBy("session_id", "child").orderBy("place")))
+    head = ranked.filter(F.col("no") <= max(wanted[name] for name in children)).filter(F.col("no") <= limit)
+    lists = head.groupBy("session_id").agg(*[
+        F.array_sort(F.collect_list(F.when(F.col("child") == name, F.struct("no", name)))).alias(name) for name in children])
+    lists = lists.select("session_id", *[F.col(name).getField(name).alias(name) for name in children])
+    totals = tagged.groupBy("session_id").agg(*[F.count_if(F.col("child") == name).alias(f"{name}_total") for name in children])
+    out = sessions.join(lists, "session_id", "left").join(totals, "session_id", "left")
+    return out.withColumns({name: F.coalesce(name, F.array().cast(lists.schema[name].dataType)) for name in children} | {
+        f"{name}_total": F.coalesce(f"{name}_total", F.lit(0)) for name in children})
+
+
 def session_filter(sessions: DataFrame, tier: str = "all", min_score: float = 0, query: str = "") -> DataFrame:
     out = sessions.filter(F.col("weighted_score") >= min_score)
     if tier != "all":

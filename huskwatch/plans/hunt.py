@@ -60,6 +60,11 @@ class Hunt:
         table.write.parquet(path)
         return self.spark.read.parquet(path)
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Raw and decoded text of every block, for views and exports that show them more than once."""
+        return self._written(self.blocks.select("block_id", "block_number", "raw_text", "decoded_text"), "texts")
+
     @cached_property
     def rows(self) -> DataFrame:
         """Block features with their session."""

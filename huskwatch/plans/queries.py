@@ -28,7 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 # Queries that need block features more than once: they write them to the work folder and read them back, those named alone if so stated.
 _MOVES, _PRINTS = SESSION_FEATURES, (*SESSION_FEATURES, *PRINT_FEATURES)
-ONCE: dict[str, tuple[str, ...] | None] = dict.fromkeys("""p5_session_summary p6_session_detail c7_enriched_sessions a1_headline a27_narrative
+ONCE: dict[str, tuple[str, ...] | None] = dict.fromkeys("""p5_session_summary p6_session_detail p6_session_nested c7_enriched_sessions a1_headline a27_narrative
     r7_first_findings r11_highest_level j9_detection_content j10_sigma_fields j11_sigma_for_sessions s12c_notes s12d_indicators s12e_relationships
     s12f_known_malware s14_report_tiers""".split())
 ONCE |= dict.fromkeys(["j5_lateral_moves", "a23_lateral_edges", "a24_hop_degree"], _MOVES) | {"j6_credential_reuse": (*_MOVES, "creds")}
@@ -171,6 +171,26 @@ def p6_session_detail(s):
     return reduce(DataFrame.unionByName, counts)
 
 
+@query
+def p6_session_nested(s):
+    """The nested session detail: values of its lists in order, and their whole sizes."""
+    children = views.detail_context(s.hunt.sessions, A.process_events(s.spark, s.folder), A.logon_events(s.spark, s.folder), s.hits, s.hunt.moves,
+                                    indicators.first_credentials(s.hunt.rows))
+    names = {"processes": "process_tree", "hits": "ti_hits", "moves": "lateral_moves"}
+    children = {names.get(k, k): t for k, t in children.items()} | {
+        "iocs": s.hunt.members.drop("host_id"), "blocks": views.detail_blocks(s.hunt.rows, s.hunt.blocks)}
+    d = views.session_detail(views.summary_rows(s.hunt.sessions), children, {"blocks": 4, "lateral_moves": 5})
+
+    def listed(column: str, *fields: str) -> Column:
+        return F.array_join(F.transform(column, lambda x: F.concat_ws(" ", *[x.getField(f).cast("string") for f in fields])), "|").alias(column)
+    found = F.array_join(F.flatten(F.transform("blocks", lambda b: F.transform(b.getField("findings"), lambda f: f.getField("rule_name")))), "|")
+    return d.select("session_id", "alert_tier", listed("iocs", "value"), listed("ti_hits", "value", "source", "malware_name"),
+                    listed("lateral_moves", "source_session", "target_session", "technique"), listed("process_tree", "pid", "process_name"),
+                    listed("logons", "username", "target_host", "event_id"), listed("credentials", "block_id", "value"),
+                    found.alias("findings"), F.sha2(F.array_join(F.transform("blocks", lambda b: F.concat_ws(" ", b.getField("block_id"), b.getField("severity").cast("string"), b.getField("decoded_text"))), "|"), 256).alias("blocks"),
+                    *[f"{c}_total" for c in ("iocs", "ti_hits", "lateral_moves", "process_tree", "blocks")])
+
+
 @query
 def s14_report_tiers(s):
     return views.report_set(s.hunt.sessions, s.hunt.members, s.hunt.campaigns)["tiers"]

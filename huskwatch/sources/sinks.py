@@ -1,11 +1,14 @@
 """Sinks: results as JSON, CSV, text and partitioned folders.  All writes are distributed."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from huskwatch.functions.scoring import band_rank
 from huskwatch.operators.indicators import hub_members
+from huskwatch.sources.ordered import file_part, write_files
 
 
 def write_results(sessions: DataFrame, campaigns: DataFrame, folder: str) -> None:
@@ -81,3 +84,54 @@ def write_content(detections: DataFrame, platforms: list[str], folder: str) -> N
 def write_rule_texts(rows: DataFrame, folder: str, level: str = "level") -> None:
     """Texts of generated rules (column ``text``), most severe first: the part files in name order are the export."""
     rows.select(band_rank(F.col(level)).alias("no"), "technique_id", "text").orderBy("no", "technique_id", "text").select("text").write.mode("overwrite").text(folder)
+
+
+def combined_texts(rows: DataFrame, file: str | Column, order: list[str], separator: str = "\n---\n") -> DataFrame:
+    """Rows (file, no, text) of one file per value: texts in order with the separator between them."""
+    name = F.lit(file) if isinstance(file, str) else file
+    placed = rows.select(name.alias("file"), *order, "text").distinct().withColumn(
+        "no", F.row_number().over(Window.partitionBy("file").orderBy(*order, "text")))  # one task writes the file in any case
+    return placed.select("file", F.array(F.lpad(F.col("no").cast("string"), 10, "0")).alias("no"),
+                         F.when(F.col("no") == 1, F.col("text")).otherwise(F.concat(F.lit(separator), F.col("text"))).alias("text"))
+
+
+def write_combined(rules: DataFrame, folder: str, name: str, level: str = "level", separator: str = "\n---\n") -> None:
+    """One file with all texts of generated rules (technique_id, ``level``, text), most severe first; equal rules once."""
+    ranked = rules.select(band_rank(F.col(level)).alias("rank"), "technique_id", "text")
+    write_files(combined_texts(ranked, name, ["rank", "technique_id"], separator), folder, "no")
+
+
+def session_files(detail: DataFrame, members: DataFrame, rows: DataFrame, blocks: DataFrame, sigma: DataFrame, triage: DataFrame, session_ids: list[str]) -> DataFrame:
+    """Rows (file, no, text) of the whole export of the named sessions, a folder each.
+
+    session_info.json is the nested detail with the triage entry; indicators.txt every indicator, one a line; rules.yml the Sigma
+    texts; blocks/block_00001_decoded.ps1 and so on the whole texts in time order, _raw.ps1 where the raw text differs;
+    notes.txt the analyst's notes, where there are any. Undated blocks come first, and records sent twice share one text.
+    """
+    def named(table: DataFrame) -> DataFrame:
+        return table.filter(F.col("session_id").isin(session_ids))
+
+    def part(table: DataFrame, name: str | Column, text: Column, *no: Column) -> DataFrame:
+        path = F.concat_ws("/", file_part(F.col("session_id")), F.lit(name) if isinstance(name, str) else name)
+        return table.select(path.alias("file"), F.array(*[F.coalesce(n, F.lit("")) for n in no]).cast("array<string>").alias("no"), text.alias("text"))
+
+    status = triage.select("session_id", F.struct("status", "notes", "ts").alias("triage"))
+    info = named(detail).join(named(status), "session_id", "left")
+    info = part(info, "session_info.json", F.to_json(F.struct(*[F.col(f"`{c}`") for c in info.columns]), {"pretty": "true", "ignoreNullFields": "false"}))
+    values = part(named(members), "indicators.txt", F.concat("value", F.lit("\n")), F.col("value"))
+    rules = combined_texts(named(sigma), F.concat_ws("/", file_part(F.col("session_id")), F.lit("rules.yml")), ["first_at", "technique_id"])
+    keys = ["block_id", "block_number"]
+    placed = named(rows).select("session_id", "ts", *keys).withColumn("no", F.row_number().over(Window.partitionBy("session_id").orderBy("ts", *keys)))
+    texts = placed.join(blocks.select(*keys, "decoded_text", "raw_text").dropDuplicates(keys), keys)
+    stem = F.concat(F.lit("blocks/block_"), F.lpad(F.col("no").cast("string"), 5, "0"))  # longer numbers stay whole below
+    stem = F.when(F.col("no") < 100_000, stem).otherwise(F.concat(F.lit("blocks/block_"), F.col("no").cast("string")))
+    decoded = part(texts, F.concat(stem, F.lit("_decoded.ps1")), F.col("decoded_text"))
+    raw = part(texts.filter(~F.col("raw_text").eqNullSafe(F.col("decoded_text"))), F.concat(stem, F.lit("_raw.ps1")), F.col("raw_text"))
+    told = F.concat(F.lit("Status: "), F.coalesce("status", F.lit("")), F.lit("\nTimestamp: "), F.coalesce(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("")), F.lit("\n\n"), F.col("notes"), F.lit("\n"))
+    notes = part(named(triage).filter(F.length("notes") > 0), "notes.txt", told)
+    return reduce(DataFrame.unionByName, [info, values, rules, decoded, raw, notes])
+
+
+def write_session_export(files: DataFrame, folder: str) -> None:
+    """session_files() as files, which appear together with a manifest."""
+    write_files(files, folder, "no")

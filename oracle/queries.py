@@ -30,6 +30,21 @@ RAW: dict[str, str] = {
       UNION ALL SELECT session_id, 'hits', count(*) FROM hits GROUP BY session_id
       UNION ALL SELECT session_id, 'moves', count(*) FROM (SELECT source_session AS session_id FROM moves UNION ALL SELECT target_session FROM moves) GROUP BY session_id
       UNION ALL SELECT session_id, 'credentials', count(*) FROM creds GROUP BY session_id""",
+    "p6_session_nested": """SELECT s.session_id, s.tier AS alert_tier, coalesce(i.l, '') AS iocs, coalesce(h.l, '') AS ti_hits, coalesce(m.l, '') AS lateral_moves, coalesce(p.l, '') AS process_tree,
+        coalesce(g.l, '') AS logons, coalesce(c.l, '') AS credentials, coalesce(f.l, '') AS findings, b.l AS blocks,
+        coalesce(i.n, 0) AS iocs_total, coalesce(h.n, 0) AS ti_hits_total, coalesce(m.n, 0) AS lateral_moves_total, coalesce(p.n, 0) AS process_tree_total, b.n AS blocks_total
+      FROM sess s
+      LEFT JOIN (SELECT session_id, count(*) AS n, array_to_string(list(value ORDER BY value)[1:60], '|') AS l FROM members GROUP BY session_id) i USING (session_id)
+      LEFT JOIN (SELECT session_id, count(*) AS n, array_to_string(list(value || ' ' || source || ' ' || malware_name ORDER BY value, source)[1:200], '|') AS l FROM hits GROUP BY session_id) h USING (session_id)
+      LEFT JOIN (SELECT e AS session_id, count(*) AS n, array_to_string(list(source_session || ' ' || target_session || ' ' || technique ORDER BY ts, source_session, target_session, technique)[1:5], '|') AS l
+        FROM (SELECT *, unnest([source_session, target_session]) AS e FROM moves) GROUP BY e) m USING (session_id)
+      LEFT JOIN (SELECT host_id, least(30, count(*)) AS n, array_to_string(list(process_id || ' ' || process_name ORDER BY ts, process_id, process_name)[1:30], '|') AS l FROM procs GROUP BY host_id) p USING (host_id)
+      LEFT JOIN (SELECT session_id, array_to_string(list(username || ' ' || target_host || ' ' || event_id ORDER BY l.ts, username, target_host)[1:30], '|') AS l
+        FROM sess s JOIN logons l ON l.host_id = s.host_id AND l.ts BETWEEN s.start_time - INTERVAL 300 SECOND AND s.end_time + INTERVAL 300 SECOND GROUP BY session_id) g USING (session_id)
+      LEFT JOIN (SELECT session_id, array_to_string(list(block_id || ' ' || value ORDER BY ts, block_id, value)[1:200], '|') AS l FROM creds GROUP BY session_id) c USING (session_id)
+      JOIN (SELECT session_id, count(*) AS n, sha256(array_to_string(list(block_id || ' ' || severity || ' ' || left(decoded_text, 1200) ORDER BY ts, block_id)[1:4], '|')) AS l FROM srows GROUP BY session_id) b USING (session_id)
+      LEFT JOIN (SELECT session_id, string_agg(f.rule_name, '|' ORDER BY r.ts, r.block_id, f.rule_no, f.pattern_no, f.hit_no) AS l FROM (
+          SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, block_id) AS no FROM srows) r JOIN finds f USING (block_id) WHERE no <= 4 GROUP BY session_id) f USING (session_id)""",
     "s14_report_tiers": "SELECT tier AS alert_tier, count(*) AS sessions FROM sess GROUP BY tier",
     "p7_session_filter": """SELECT session_id, tier AS alert_tier, round(score, 6) AS weighted_score FROM sess
       WHERE score >= 40 AND contains(lower(host_id || ' ' || process_id || ' ' || array_to_string(tech, ' ')), 'src1')""",

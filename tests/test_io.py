@@ -1,15 +1,19 @@
 import csv
+import datetime as dt
 import glob
 import json
+import pathlib
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from huskwatch.catalog.content import content_table
 from huskwatch.functions.text import block_hash
-from huskwatch.operators import baseline, blocks, rollups
+from huskwatch.operators import baseline, blocks, content, rollups, views
 from huskwatch.plans.hunt import Hunt
 from huskwatch.sources import readers, sinks
+from huskwatch.sources.ordered import check_name, file_part, write_files
 from huskwatch.streaming import jobs, triage
 
 RECORDS = [
@@ -112,6 +116,90 @@ def test_content_sinks(spark, tmp_path):
     assert {(r.platform, r.text) for r in spark.read.json(str(tmp_path / "content")).collect()} == {("kql", "kql text"), ("eql", "eql text")}
 
 
+def tree(folder):
+    return {str(p.relative_to(folder)): p.read_text(encoding="utf-8") for p in pathlib.Path(folder).rglob("*")
+            if p.is_file() and not p.name.startswith((".", "_"))}
+
+
+def test_ordered_files(spark, tmp_path):
+    """Every file once, in order, from many partitions; an empty table; texts as they are; bad names and failures leave nothing."""
+    rows = [(f"f{i % 5}/x.txt", i, f"{i} \u00e4\r\n") for i in range(2000)] + [("f0/x.txt", 5000, None), ("one", 1, "")]
+    df = spark.createDataFrame(rows, "file string, no long, text string").repartition(7)
+    write_files(df, str(tmp_path / "a"), "no")
+    want = {n: "".join(t or "" for f, _, t in rows if f == n) for n in {r[0] for r in rows}}
+    got = {n: (tmp_path / "a" / n).read_bytes().decode() for n in want}
+    assert got == want and set(tree(tmp_path / "a")) == set(want)
+    manifest = json.loads((tmp_path / "a" / "_manifest.json").read_text())
+    assert {n: m["bytes"] for n, m in manifest.items()} == {n: len(t.encode()) for n, t in want.items()}
+    assert not list((tmp_path / "a" / "_pending").glob("*"))
+    write_files(df.filter("file = 'one'").withColumn("text", F.lit("new")), str(tmp_path / "a"), "no")
+    assert (tmp_path / "a" / "one").read_text() == "new"
+    write_files(df.limit(0), str(tmp_path / "b"), "no")
+    assert json.loads((tmp_path / "b" / "_manifest.json").read_text()) == {}
+    for bad in ("../x", "/x", "_pending/x", "a/.b", "", None):
+        with pytest.raises(Exception, match="not a name"):
+            write_files(spark.createDataFrame([("good", 0, "t"), (bad, 1, "t")], "file string, no long, text string"), str(tmp_path / "c"), "no")
+    failing = df.withColumn("text", F.when(F.col("no") == 1999, F.raise_error(F.lit("stopped"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="stopped"):
+        write_files(failing, str(tmp_path / "c"), "no")
+    assert tree(tmp_path / "c") == {} and not (tmp_path / "c" / "_manifest.json").exists()
+
+
+def test_file_parts(spark):
+    names = ["A_7_20240601T140000", "a/b", "a_b", "..", "", "\u00e9"]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(file_part(F.col("n"))).collect()]
+    assert got[0] == names[0] and got[2] == "a_b" and len(set(got)) == len(names)
+    assert all(check_name(g) for g in got)
+
+
+def test_combined_rules(spark, tmp_path):
+    rows = spark.createDataFrame([("T2", "low", "two"), ("T1", "critical", "one"), ("T0", "low", "zero"), ("T0", "low", "zero")], "technique_id string, level string, text string")
+    sinks.write_combined(rows, str(tmp_path), "rules.yml")
+    assert tree(tmp_path) == {"rules.yml": "one\n---\nzero\n---\ntwo"}
+
+
+def test_session_export(spark, tmp_path):
+    """The folder of a named session holds everything the session has, and no other session's."""
+    sid = "A_7_20240601T140000"
+    (tmp_path / "in.json").write_text(json.dumps(RECORDS))
+    hunt = Hunt.from_records(readers.read_json_export(spark, str(tmp_path / "in.json")), work_folder=str(tmp_path / "work"))
+    best = content.best_findings(hunt.findings)
+    sigma = content.sigma_texts(content.sigma_rows(best, hunt.sessions, content_table(spark)))
+    children = {"iocs": hunt.members.drop("host_id"), "blocks": views.detail_blocks(hunt.rows, hunt.texts)}
+    detail = views.session_detail(views.summary_rows(hunt.sessions), children)
+    notes = spark.createDataFrame([(sid, "confirmed", "seen before", dt.datetime(2024, 6, 2)), ("other", "x", "y", None)], "session_id string, status string, notes string, ts timestamp")
+    files = sinks.session_files(detail, hunt.members, hunt.rows, hunt.texts, sigma, notes, [sid, "B_8_20240601T140001"])
+    sinks.write_session_export(files, str(tmp_path / "out"))
+    found = tree(tmp_path / "out")
+    assert found.pop(f"{sid}/notes.txt") == "Status: confirmed\nTimestamp: 2024-06-02 00:00:00\n\nseen before\n"
+    assert found.pop(f"{sid}/indicators.txt") == "1.2.3.4\n" and found.pop(f"{sid}/blocks/block_00001_decoded.ps1") == "sekurlsa 1.2.3.4"
+    info = json.loads(found.pop(f"{sid}/session_info.json"))
+    assert info["session_id"] == sid and info["iocs"] == [{"value": "1.2.3.4"}] and info["blocks_total"] == 1 and info["triage"]["notes"] == "seen before"
+    assert info["blocks"][0]["findings"][0]["technique_id"] == "CRED_HARVEST"
+    rule = found.pop(f"{sid}/rules.yml")
+    assert rule.startswith('title: "') and "\ndetection:\n  " in rule and "level: critical\n" in rule and rule.count("\nid: ") == 1
+    other = "B_8_20240601T140001"
+    assert {n: found[n] for n in found if n.endswith(".ps1")} == {f"{other}/blocks/block_00001_decoded.ps1": "powershell", f"{other}/blocks/block_00001_raw.ps1": "pow`ershell"}
+    assert json.loads(found[f"{other}/session_info.json"])["iocs"] == [] and {n.split("/")[0] for n in found} == {other}
+
+
+def test_session_detail_lists(spark):
+    """Order, cuts, totals, ties, missing times, sessions without rows, rows without a session, clashing column names."""
+    sessions = spark.createDataFrame([("s1", 1), ("s2", 2), ("s3", 3)], "session_id string, no int")
+    iocs = spark.createDataFrame([("s1", f"v{i:04d}") for i in range(3000)] + [("gone", "v"), (None, "v")], "session_id string, value string").repartition(5)
+    logons = spark.createDataFrame([("s1", 5, "u", "t"), ("s1", -7_000, "u", "t"), ("s1", None, "u", "t"), ("s2", 5, "b", "t"), ("s2", 5, "a", "t"), ("s2", 5, "a", "t")],
+                                   "session_id string, no long, username string, target_host string").withColumn("ts", F.timestamp_seconds("no"))
+    got = {r.session_id: r for r in views.session_detail(sessions, {"iocs": iocs, "logons": logons}, {"logons": 2}).collect()}
+    assert set(got) == {"s1", "s2", "s3"} and [got[s].no for s in ("s1", "s2", "s3")] == [1, 2, 3]
+    assert [v.value for v in got["s1"].iocs] == [f"v{i:04d}" for i in range(60)] and got["s1"].iocs_total == 3000
+    assert [x.no for x in got["s1"].logons] == [None, -7000] and got["s1"].logons_total == 3
+    assert [x.username for x in got["s2"].logons] == ["a", "a"] and got["s2"].logons_total == 3
+    assert (got["s3"].iocs, got["s3"].logons, got["s3"].iocs_total) == ([], [], 0)
+    assert views.session_detail(sessions, {"iocs": iocs.limit(0)}).filter("size(iocs) = 0").count() == 3
+    with pytest.raises(ValueError, match="no such list"):
+        views.session_detail(sessions, {"other": iocs})
+
+
 # -- streams -------------------------------------------------------------------------------------
 
 def run(df, name, mode="append"):
