@@ -135,23 +135,34 @@ def session_sort(sessions: DataFrame, by: str = "score", ascending: bool = False
     return sessions.orderBy(key.asc() if ascending else key.desc(), "session_id")
 
 
-def search(rows: DataFrame, sessions: DataFrame, query: str, per_session: int = 5, top: int = 50) -> DataFrame:
+def text_matches(blocks: DataFrame, query: str) -> DataFrame:
+    """First case-insensitive match of every decoded text that has one: the columns of ``blocks`` but its texts, with context,
+    match_offset and match_len. One projection next to the scan; texts go no further."""
+    n = len(query)
+    at = F.instr(F.lower("decoded_text"), F.lit(query.lower()))
+    start = F.greatest(F.lit(1), F.col("at") - 60)
+    kept = [c for c in blocks.columns if c not in ("raw_text", "decoded_text", "context", "match_offset", "match_len", "at")]
+    return blocks.withColumn("at", at).filter(F.col("at") > 0).select(
+        *kept, F.substring("decoded_text", start, F.col("at") - start + n + 60).alias("context"),
+        (F.col("at") - start).alias("match_offset"), F.lit(n).alias("match_len"))
+
+
+def search(rows: DataFrame, sessions: DataFrame, query: str, per_session: int = 5, top: int = 50, blocks: DataFrame | None = None) -> DataFrame:
     """Case-insensitive text search over decoded blocks: one row per shown match.
 
-    Matches are found next to the scan; only hits move.  Each of the ``top`` sessions by score
+    Texts are those of ``blocks`` (block_id, block_number, decoded_text), searched next to their scan before the matches meet the
+    rows; without it ``rows`` hold them. Records that were sent twice share one text.  Each of the ``top`` sessions by score
     shows its first ``per_session`` blocks and its total number of matching blocks.
     """
     if len(query) < 2:
         return rows.sparkSession.createDataFrame([], (
             "session_id string, weighted_score double, alert_tier string, total_matches bigint, block_id string, "
             "context string, match_offset int, match_len int"))
-    q, n = query.lower(), len(query)
-    at = F.instr(F.lower("decoded_text"), F.lit(q))
-    start = F.greatest(F.lit(1), F.col("at") - 60)
-    hits = (rows.withColumn("at", at).filter(F.col("at") > 0)
-            .select("session_id", "block_id", "block_number", "ts",
-                    F.substring("decoded_text", start, F.col("at") - start + n + 60).alias("context"),
-                    (F.col("at") - start).alias("match_offset"), F.lit(n).alias("match_len")))
+    keys = ["block_id", "block_number"]
+    if blocks is None:
+        hits = text_matches(rows.select("session_id", *keys, "ts", "decoded_text"), query)
+    else:
+        hits = rows.select("session_id", *keys, "ts").join(text_matches(blocks.select(*keys, "decoded_text"), query).dropDuplicates(keys), keys)
     totals = hits.groupBy("session_id").agg(F.count("*").alias("total_matches"))
     best = (totals.join(sessions.select("session_id", "weighted_score", "alert_tier"), "session_id")
             .orderBy(F.desc("weighted_score"), "session_id").limit(top))

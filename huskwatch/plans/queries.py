@@ -203,9 +203,7 @@ def p7_session_filter(s):
 
 @query
 def p8_text_search(s):
-    rows = s.hunt.rows.select("session_id", "block_id", "block_number", "ts").join(
-        s.hunt.blocks.select("block_id", "block_number", "decoded_text"), ["block_id", "block_number"])
-    return views.search(rows, s.hunt.sessions, "License", 5, 50)
+    return views.search(s.hunt.rows, s.hunt.sessions, "License", 5, 50, s.hunt.blocks)
 
 
 @query
@@ -1058,9 +1056,7 @@ def l7_beacon_order(s):
 
 @query
 def l8_search_top(s):
-    rows = s.hunt.rows.select("session_id", "block_id", "block_number", "ts").join(
-        s.hunt.blocks.select("block_id", "block_number", "decoded_text"), ["block_id", "block_number"])
-    return views.search(rows, s.hunt.sessions, "the", 1, 50).select("session_id", "weighted_score", "total_matches")
+    return views.search(s.hunt.rows, s.hunt.sessions, "the", 1, 50, s.hunt.blocks).select("session_id", "weighted_score", "total_matches")
 
 
 @query

@@ -323,6 +323,8 @@ def test_views(make_blocks):
     hit = views.search(rows, hunt.sessions, "CCC").first()
     assert hit.context[hit.match_offset:hit.match_offset + hit.match_len] == "ccc" and hit.total_matches == 1
     assert views.search(rows, hunt.sessions, "c").count() == 0
+    twice = hunt.blocks.unionByName(hunt.blocks)
+    assert views.search(hunt.rows, hunt.sessions, "CCC", blocks=twice).collect() == views.search(rows, hunt.sessions, "CCC").collect()
     told = {r.session_id: r.narrative for r in views.narrative(hunt.tagged, hunt.members).collect()}
     text = told["h1_1_20240601T120000"]
     assert text.startswith("At 12:00:00 UTC on h1 (PID 1), a mixed executed 2 script blocks. The session bypassed AMSI via .NET reflection.")
