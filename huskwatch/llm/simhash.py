@@ -17,7 +17,7 @@ from huskwatch.llm.components import components
 RADIUS = 2
 SHINGLE = 3
 PARTS = 8
-_PAIRS = 1 << 18
+_PAIRS = 1 << 16
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 class Block:
-    """Distinct fingerprints, sorted by a key that fixes all but the ``free`` bits; links are kept as a forest.
+    """Fingerprints (rows of one or more 64-bit words), sorted by key and compared in the ``free`` bits; links are kept as a forest.
 
     Each run of equal keys is cut into blocks of 64 lanes. A block holds one 64-bit plane per free bit, so that one step
     adds a bit of 64 distances to carry-save counters; a block whose lanes all exceed the radius is given up."""
@@ -54,14 +54,14 @@ class Block:
     def __init__(self, key: np.ndarray, fp: np.ndarray, free: list[int], radius: int) -> None:
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
-        keep = np.repeat(sizes > 1, sizes)
+        self.kept = np.flatnonzero(np.repeat(sizes > 1, sizes))
         sizes = sizes[sizes > 1]
-        self.fp, self.free, self.radius = fp[keep], free, radius
-        self.root = np.arange(len(self.fp))
-        if not len(self.fp):
+        self.words, self.free, self.radius = np.ascontiguousarray(fp.reshape(len(fp), -1)[self.kept].T), free, radius
+        self.root = np.arange(len(self.kept))
+        if not len(self.kept):
             return
         first = np.r_[0, np.cumsum(sizes)[:-1]]
-        place = np.arange(len(self.fp)) - np.repeat(first, sizes)
+        place = np.arange(len(self.kept)) - np.repeat(first, sizes)
         self.lane = (place % 64).astype(np.uint64)
         blocks = -(-sizes // 64)
         offset = np.r_[0, np.cumsum(blocks)[:-1]]
@@ -70,13 +70,26 @@ class Block:
         self.start = np.flatnonzero(np.r_[True, self.block[1:] != self.block[:-1]])
         bit = np.uint64(1) << self.lane
         self.valid = np.bitwise_or.reduceat(bit, self.start)
-        self.planes = [np.bitwise_or.reduceat(np.where(self.fp >> np.uint64(b) & np.uint64(1), bit, np.uint64(0)), self.start) for b in free]
-        todo = self.end - self.block
-        total = np.r_[0, np.cumsum(todo)]
+        self.planes = [np.bitwise_or.reduceat(np.where(self._bit(b), bit, np.uint64(0)), self.start) for b in free]
+        self._run()
+
+    def _run(self) -> None:
+        for _ in self._steps():
+            pass
+
+    def _steps(self) -> Iterator[None]:
+        """Compare _PAIRS rows with a block each at a time."""
+        if not len(self.kept):
+            return
+        total = np.r_[0, np.cumsum(self.end - self.block)]
         for at in range(0, int(total[-1]), _PAIRS):
             pair = np.arange(at, min(at + _PAIRS, int(total[-1])))
             row = np.searchsorted(total, pair, "right") - 1
             self._compare(row, self.block[row] + pair - total[row])
+            yield
+
+    def _bit(self, b: int, row: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return self.words[b // 64][row] >> np.uint64(b % 64) & np.uint64(1)
 
     def _compare(self, row: np.ndarray, block: np.ndarray) -> None:
         """Distances of each row to the lanes of a block at or after its own."""
@@ -87,11 +100,11 @@ class Block:
         counters = [np.zeros(n, np.uint64) for _ in range((self.radius + 1).bit_length())]
         over = np.zeros(n, np.uint64)
         for step, b in enumerate(self.free):
-            add = self.planes[step][block] ^ (np.uint64(0) - (self.fp[row] >> np.uint64(b) & np.uint64(1)))
+            add = self.planes[step][block] ^ (np.uint64(0) - self._bit(b, row))
             for i, c in enumerate(counters):
                 counters[i], add = c ^ add, c & add
             over |= add
-            if step % 4 == 3:
+            if step % 4 == 3 and step >= self.radius:
                 alive = (wanted & ~(over | self._beyond(counters))) != 0
                 if alive.mean() < 0.7:
                     row, block, wanted, over = row[alive], block[alive], wanted[alive], over[alive]
@@ -123,9 +136,34 @@ class Block:
             while (jump := root[root]).tobytes() != root.tobytes():
                 root[:] = jump
 
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the input of each linked row and of the first row of its group."""
+        moved = np.flatnonzero(self.root != np.arange(len(self.root)))
+        return self.kept[moved], self.kept[self.root[moved]]
+
     def edges(self) -> tuple[np.ndarray, np.ndarray]:
         moved = np.flatnonzero(self.root != np.arange(len(self.root)))
-        return self.fp[moved], self.fp[self.root[moved]]
+        return self.words[0][moved], self.words[0][self.root[moved]]
+
+
+class Pairs(Block):
+    """Like Block, but hands out every near pair of rows whose labels differ, step by step."""
+
+    def __init__(self, key: np.ndarray, fp: np.ndarray, free: list[int], radius: int, label: np.ndarray) -> None:
+        self.all_labels, self.found = label, []
+        super().__init__(key, fp, free, radius)
+
+    def _run(self) -> None:
+        self.label = self.all_labels[self.kept]
+
+    def _link(self, a: np.ndarray, b: np.ndarray) -> None:
+        apart = self.label[a] != self.label[b]
+        self.found.append((self.kept[a[apart]], self.kept[b[apart]]))
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for _ in self._steps():
+            yield from self.found
+            self.found = []
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
