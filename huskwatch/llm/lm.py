@@ -1,7 +1,9 @@
 """Cross-entropy difference: word bigram models of a target and of all documents, over one vocabulary."""
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, groupby
 from zlib import crc32
 
 import numpy as np
@@ -9,10 +11,10 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huskwatch.llm.common import shared_folder, spread
+from huskwatch.llm.common import cut, spread
 
 #: Word classes of the shared vocabulary. Every word belongs to one by its hash, so no word is unknown to either model.
 CLASSES = 1 << 18
@@ -22,8 +24,8 @@ CELLS = 1 << 22
 WEIGHT = 0.7
 _ADDED = 0.5
 _BLOCK = 1 << 14
-#: Bigrams that make up more than 1/TOP of all are joined in SALTS parts.
-TOP, SALTS = 5000, 64
+#: Bytes of text that a task holds before it packs them.
+_HELD = 1 << 25
 
 
 def classes_of(text: bytes | None, classes: int) -> np.ndarray:
@@ -146,81 +148,188 @@ def scored(docs: DataFrame, target: Model, background: Model) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("loss", loss(F.col("text").cast("binary")))
 
 
-def grams(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """d (hash of doc_id and text), inside, a, b, n: the distinct bigrams of each document row and how often it has them.
+def _pack(x: np.ndarray) -> bytes:
+    """An array of whole numbers from 0 in the narrowest type, plane by plane of bytes."""
+    width = next((w for w in (1, 2, 4) if not len(x) or int(x.max()) < 1 << 8 * w), 8)
+    planes = x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-    a and b are 64-bit hashes of words (A-Z lowered), a is 0 at the start. Null texts and ids count as in fit()."""
-    marks = target.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct().withColumn("_in", F.lit(True)).hint("shuffle_hash")
-    rows = docs.select("doc_id", _row(), F.col("text").cast("binary").alias("text")).join(marks, F.col("doc_id") == F.col("_id"), "left")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for d, inside, text in zip(*(batch.column(i) for i in range(3)), strict=True):
-                words = text.as_py().lower().split() if text.is_valid else []
-                for at in range(0, len(words), _BLOCK * 64):
-                    part = words[max(at - 1, 0):at + _BLOCK * 64]
-                    ids = np.array(([] if at else [0]) + [xxhash.xxh64_intdigest(w, 7) for w in part], np.uint64).view(np.int64)
-                    pairs, n = _unique(ids)
-                    yield pa.record_batch({"d": pa.array(np.full(len(n), d.as_py(), np.int64)), "inside": pa.array(np.full(len(n), inside.as_py(), bool)), "a": pairs[:, 0], "b": pairs[:, 1], "n": n.astype(np.int64)})
-
-    return rows.select("d", F.coalesce("_in", F.lit(False)).alias("inside"), "text").mapInArrow(count, "d long, inside boolean, a long, b long, n long")
+def _unpack(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{raw[0]}").ravel()
 
 
-def _unique(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct neighbours and their counts."""
-    order = np.lexsort((ids[1:], ids[:-1]))
-    pairs = np.stack([ids[:-1], ids[1:]], axis=1)[order]
-    first = np.flatnonzero(np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)])
-    return pairs[first], np.diff(np.r_[first, len(pairs)])
+def _blocks(docs: DataFrame, n: int) -> DataFrame:
+    """block, doc_id, part, chunk: documents in ``n`` blocks by doc_id (nulls by their text), a chunk from each map task for each block."""
+    block = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.col("doc_id").cast("long")))
+    rows = docs.select(F.pmod(block, F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = defaultdict(list), 0
+        for batch in chain(batches, [None]):
+            if held and (batch is None or size > _HELD):
+                press = zstandard.ZstdCompressor(level=3)
+                for at, own in held.items():
+                    head = [_pack(np.array(x, np.uint64)) for x in ([len(t) for _, t in own], [(d or 0) % (1 << 64) for d, _ in own], [d is None for d, _ in own])]
+                    yield pa.RecordBatch.from_pylist([{"block": at, "chunk": b"".join([np.array([len(h) for h in head], "<u4").tobytes(), *head, press.compress(b"".join(t for _, t in own))])}], schema=kind)
+                held, size = defaultdict(list), 0
+            for at, d, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if batch is not None else ():
+                held[at].append((d, text or b""))
+                size += len(text or b"")
 
-def _row() -> Column:
-    return F.xxhash64(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), F.coalesce("text", F.lit(""))).alias("d")
+    kind = pa.schema([("block", pa.int32()), ("chunk", pa.binary())])
+    return rows.mapInArrow(fold, "block int, chunk binary").select("block", F.lit(None).cast("long").alias("doc_id"), F.lit(-1).alias("part"), "chunk")
 
 
-def losses(found: DataFrame) -> DataFrame:
-    """a, b, far (how often all documents have the pair), target, background: exact negative log probabilities of each distinct bigram.
+def _documents(chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Ids, whether they are null, and texts."""
+    ids, nulls, texts = [], [], []
+    for raw in chunks:
+        ends = np.r_[12, 12 + np.cumsum(np.frombuffer(raw[:12], "<u4"), dtype=np.int64)]
+        lengths, own, none = (_unpack(raw[ends[i]:ends[i + 1]]) for i in range(3))
+        whole, at = zstandard.ZstdDecompressor().decompress(raw[ends[3]:]), np.r_[0, np.cumsum(lengths, dtype=np.int64)]
+        texts += [whole[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        ids.append(own.astype(np.uint64).view(np.int64))
+        nulls.append(none == 1)
+    return np.concatenate(ids), np.concatenate(nulls), texts
 
-    Words, contexts and bigrams are counted in written tables that grow with the input; the vocabulary is all distinct words."""
-    spark, folder = found.sparkSession, shared_folder(found.sparkSession)
 
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.parquet(f"{folder}/{name}")
+class Keys:
+    """The words (A-Z lowered) and bigrams of a block: 64-bit hashes and their order; ``pair`` has each word's place among the bigrams."""
 
-    near_far = [F.sum("far").alias("far"), F.sum("near").alias("near")]
-    counts = found.select("a", "b", F.col("n").alias("far"), F.when(F.col("inside"), F.col("n")).otherwise(0).alias("near"))
-    pairs = written(counts.groupBy("a", "b").agg(*near_far), "pairs")
-    words = written(pairs.groupBy("b").agg(*near_far).select("b", F.col("far").alias("word_far"), F.col("near").alias("word_near")), "words")
-    contexts = written(pairs.groupBy("a").agg(*near_far).select("a", F.col("far").alias("seen_far"), F.col("near").alias("seen_near")), "contexts")
-    size, far, near = words.agg(F.count("*"), F.sum("word_far"), F.sum("word_near")).first()
-
-    def loss(kind: str, total: int | None) -> Column:
-        single = (F.col(f"word_{kind}") + _ADDED) / F.lit((total or 0) + _ADDED * max(size, 1))
-        seen = F.col(f"seen_{kind}")
-        return -F.log(F.when(seen > 0, WEIGHT * F.col(kind) / seen + (1 - WEIGHT) * single).otherwise(single))
-
-    return written(pairs.join(words, "b").join(contexts, "a").select("a", "b", "far", loss("near", near).alias("target"), loss("far", far).alias("background")), "losses")
+    def __init__(self, texts: list[bytes]) -> None:
+        known: dict[bytes, int] = {}
+        put, found = known.setdefault, []
+        for text in texts:
+            found.append(np.array([put(w, len(known)) for w in text.lower().split()], np.int64))
+        self.lengths, ids = np.array([len(x) for x in found], np.int64), np.concatenate(found)
+        # The start of a document comes last among the words, its hash is 0.
+        hashes = np.fromiter(chain((xxhash.xxh64_intdigest(w, 7) for w in known), [0]), np.uint64, len(known) + 1)
+        n = len(hashes)
+        before = np.r_[n - 1, ids[:-1]] if len(ids) else ids
+        before[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = n - 1
+        self.ids, self.before, self.n = ids, before, n
+        pairs, self.pair = np.unique(before * n + ids, return_inverse=True)
+        self.first, self.second = pairs // n, pairs % n
+        x = hashes[self.first] * np.uint64(0xC2B2AE3D27D4EB4F) + hashes[self.second]
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        self.hashes = hashes, x
+        self.orders = np.argsort(hashes, kind="stable"), np.argsort(x, kind="stable")
+
+    def counts(self, target: np.ndarray) -> list[list[np.ndarray]]:
+        """Of words and of bigrams, unsorted: how often all documents and the target have them; of words as contexts, too."""
+        inside = np.repeat(target, self.lengths)
+        return [[np.bincount(x[own], minlength=n) for x, n in what for own in (slice(None), inside)]
+                for what in (((self.ids, self.n), (self.before, self.n)), ((self.pair, len(self.first)),))]
+
+
+_ASKED = ("words", "pairs")
+
+
+def _asked(found: DataFrame, target: DataFrame, n: int, parts: int) -> DataFrame:
+    """part, block and, of words and pairs, the block's hashes that belong to the part, with their counts; a block names each once."""
+    marks = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    marks = marks.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", F.lit(-2).alias("part"), F.lit(None).cast("binary").alias("chunk"))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["block"]):
+            good, chunks = [], []
+            for r in rows:
+                if r["chunk"] is None:
+                    good.append(r["doc_id"])
+                else:
+                    chunks.append(r["chunk"])
+            if chunks:
+                ids, nulls, texts = _documents(chunks)
+                own, target = Keys(texts), np.isin(ids, np.array(good, np.int64)) & ~nulls
+                sent: list[tuple] = []
+                for hashes, order, counts in zip(own.hashes, own.orders, own.counts(target), strict=True):
+                    hashes = hashes[order]
+                    ends = np.searchsorted((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1))
+                    sent.append((hashes, [c[order] for c in counts], ends))
+                for part in range(parts):
+                    row = {}
+                    for name, (hashes, counts, ends) in zip(_ASKED, sent, strict=True):
+                        at = slice(ends[part], ends[part + 1])
+                        row |= {name: _pack(np.diff(hashes[at], prepend=np.uint64(0))), f"{name}_n": _pack(np.concatenate([c[at] for c in counts]))}
+                    if any(x[2][part] < x[2][part + 1] for x in sent):
+                        yield pa.RecordBatch.from_pylist([{"part": part, "block": block, **row}], schema=kind)
+
+    kind = pa.schema([("part", pa.int32()), ("block", pa.int32()), *((f"{n}{x}", pa.binary()) for n in _ASKED for x in ("", "_n"))])
+    kept = spread(found.union(marks), "block").sortWithinPartitions("block", "part", "doc_id")
+    return kept.mapInArrow(ask, "part int, block int, words binary, words_n binary, pairs binary, pairs_n binary")
+
+
+def _answers(asked: DataFrame) -> DataFrame:
+    """part, block, words, pairs: the sums of the counts over all blocks, in the order asked; distinct, far and near: words of the part, once."""
+    def answer(part: int, rows: list[dict]) -> pa.RecordBatch:
+        out = [{"part": part, "block": r["block"], "distinct": 0, "far": 0, "near": 0} for r in rows]
+        for name, width in zip(_ASKED, (4, 2), strict=True):
+            hashes = [np.cumsum(_unpack(r[name]), dtype=np.uint64) for r in rows]
+            known, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            counts = np.concatenate([_unpack(r[f"{name}_n"]).reshape(width, -1) for r in rows], axis=1)
+            sums = np.stack([np.bincount(place, c.astype(np.float64), len(known)) for c in counts]).astype(np.int64)
+            ends = np.cumsum([len(h) for h in hashes])
+            for o, at, end in zip(out, np.r_[0, ends[:-1]], ends, strict=True):
+                o[name] = _pack(sums[:, place[at:end]].ravel())
+            if name == "words":
+                out[0] |= {"distinct": int((sums[0] > 0).sum()), "far": int(sums[0].sum()), "near": int(sums[1].sum())}
+        return pa.RecordBatch.from_pylist(out, schema=kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["part"]):
+            yield answer(part, list(rows))
+
+    kind = pa.schema([("part", pa.int32()), ("block", pa.int32()), *((n, pa.int64()) for n in ("distinct", "far", "near")), ("words", pa.binary()), ("pairs", pa.binary())])
+    return spread(asked, "part").sortWithinPartitions("part", "block").mapInArrow(run, "part int, block int, distinct long, far long, near long, words binary, pairs binary")
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score, the target being the documents labelled as good.
 
-    Losses come from exact counts, as scored() has them for tables without collisions. Equal rows add up to the same means. Bigrams
-    of more than 1/TOP of all words are dealt out over SALTS tasks."""
-    found = grams(docs, labels.where("quality = 1").select("doc_id"))
-    table = losses(found)
-    total = table.agg(F.sum("far")).first()[0] or 0
-    hot = F.broadcast(table.where(F.col("far") > total / TOP).select("a", "b", F.lit(True).alias("hot")))  # fewer than TOP rows
-    rows = found.join(hot, ["a", "b"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod("d", F.lit(SALTS)).cast("int")).otherwise(0))
-    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("far") > total / TOP, SALTS - 1).otherwise(0))))
-    rows = rows.join(salted.drop("far"), ["a", "b", "salt"])
-    sums = rows.groupBy("d").agg(F.sum("n").alias("_n"), *[F.sum(F.col(c) * F.col("n")).alias(c) for c in ("target", "background")])
-
-    @F.pandas_udf("long")
-    def n_tokens(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(t.split()) if t else 0 for t in texts], dtype="int64")
-
-    sizes = docs.select("doc_id", _row(), n_tokens(F.col("text").cast("binary")).alias("n_tokens"))
-    mean = {c: F.col(c) / F.col("_n") for c in ("target", "background")}
-    return sizes.join(sums, "d", "left").select("doc_id", "n_tokens", mean["target"].alias("target_loss"), mean["background"].alias("background_loss"), (mean["target"] - mean["background"]).alias("score"))
+    Losses come from exact counts, as scored() has them for tables without collisions; the vocabulary is all distinct words. A
+    block of documents asks for the counts of its words and bigrams, each once, whatever its documents repeat; the parts of the key
+    range add up what all blocks send and answer in the order asked. So no word or bigram is hot, and no text or key travels back."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = _blocks(docs, parts)
+    answers = cut(_answers(_asked(found, labels.where("quality = 1"), parts, 2 * parts)))
+    size, *totals = (x or 0 for x in answers.agg(F.sum("distinct"), F.sum("far"), F.sum("near")).first())
+
+    def losses(chunks: list[bytes], parts: list[dict]) -> pa.RecordBatch:
+        ids, nulls, texts = _documents(chunks)
+        keys = Keys(texts)
+        counts = []
+        for name, order, width in zip(_ASKED, keys.orders, (4, 2), strict=True):
+            table = np.empty((width, len(order)))
+            table[:, order] = np.concatenate([_unpack(r[name]).reshape(width, -1) for r in parts], axis=1)
+            counts.append(table)
+        words, pairs = counts
+        some = keys.lengths > 0
+        starts = (np.cumsum(keys.lengths) - keys.lengths)[some]
+        means = []
+        for i, total in enumerate(totals):
+            single = (words[i][keys.second] + _ADDED) / (total + _ADDED * max(size, 1))
+            seen = words[2 + i][keys.first]
+            pair = np.divide(pairs[i], seen, out=np.zeros(len(seen)), where=seen > 0)
+            loss = -np.log(np.where(seen > 0, WEIGHT * pair + (1 - WEIGHT) * single, single))
+            mean = np.zeros(len(some))
+            if len(starts):
+                mean[some] = np.add.reduceat(loss[keys.pair], starts) / keys.lengths[some]
+            means.append(mean)
+        far, near = means
+        return pa.record_batch({"doc_id": pa.array(ids, mask=nulls), "n_tokens": keys.lengths,
+                                **{k: pa.array(x, mask=~some) for k, x in (("target_loss", near), ("background_loss", far), ("score", near - far))}})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groupby((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["block"]):
+            chunks, told = [], []
+            for r in rows:
+                (told if r["chunk"] is None else chunks).append(r["chunk"] or r)
+            yield losses(chunks, told)
+
+    none = F.lit(None).cast("binary")
+    rows = found.select("block", "part", "chunk", none.alias("words"), none.alias("pairs")).union(answers.select("block", "part", none.alias("chunk"), "words", "pairs"))
+    scored_rows = spread(rows, "block").sortWithinPartitions("block", "part").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    return scored_rows.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
