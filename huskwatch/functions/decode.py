@@ -6,6 +6,8 @@ shuffle, no driver loop.  Rows without any trigger skip it after a cheap test.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ MAX_PASSES = 12
 JOIN_PATTERN = r"""(?iU)\(\s*((?:["'][^"']*+["'](?:\s*,\s*)?+)++)\)\s*-join\s*["']["']"""
 CHAR_PATTERN = r"(?i)\[char\]\s*(\d+)"
 CHAR_HEX_PATTERN = r"(?i)\[char\]\s*0x([0-9a-fA-F]+)"
+# Two codes of one spelling with a short gap in between (groups: mark, gap).
+CHAR_PAIR = r"(?i)(\[char\]\s*+)\d++([^\d\[\\]{0,4}+)\1"
 HEX_LIST_PATTERN = r"(?:0x[0-9a-fA-F]{2}\s*,\s*(?=0x[0-9a-fA-F]{2})){3,}+0x[0-9a-fA-F]{2}"
 B64_CALL_PATTERN = (r"""(?i)\[(?:System\.)?Convert\]::FromBase64String\s*\(\s*['"]"""
                     r"""([A-Za-z0-9+/=\s]+)['"]\s*\)""")
@@ -44,8 +48,37 @@ def looks_like_script(text: Column) -> Column:
 def _chr(code: Column) -> Column:
     """Character of a code point; NULL when out of range."""
     wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return (F.when(code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
-            .when(code.between(0, 0x10FFFF), wide))
+    return F.coalesce(_ascii(code), F.when(code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+                      .when(code.between(0, 0x10FFFF), wide))
+
+
+def _ascii(code: Column) -> Column:
+    """Character of a code point below 128, by a look-up; NULL for others."""
+    return F.get(F.array(*[F.lit(chr(i)) for i in range(128)]), code.try_cast("int"))
+
+
+def _replace_codes(text: Column, pattern: str, pair: str, plain: Callable[[Column, Column], Column],
+                   lookup: Callable[[Column], Column], render: Callable[..., Column]) -> Column:
+    """``replace_matches`` for texts that are mostly character codes.
+
+    Where two codes stand side by side, their gap and mark, as written there, cut the text wherever the regular
+    expression ``plain(gap, cut)`` finds a short code behind them: a piece that is that code alone takes ``lookup``,
+    NULL for any other piece.  These, and the one before the first cut, get their mark back and take the pattern.  No
+    match reaches across a cut, since it holds one bracket, its first, and a gap holds neither brackets nor digits.
+    """
+    def whole(t: Column) -> Column:
+        return replace_matches(t, pattern, render)
+
+    def rebuild(s: Column) -> Column:
+        t, mark, gap = s.getField("t"), s.getField("mark"), s.getField("gap")
+        cut = F.concat(F.lit(r"\Q"), gap, mark, F.lit(r"\E"))
+        parts = F.when(mark == "", F.array(t)).otherwise(F.split(t, F.concat(cut, plain(gap, cut)), -1))
+        return let(parts, lambda p: F.call_function("array_join", F.concat(
+            F.array(whole(F.get(p, F.lit(0)))),
+            F.transform(F.slice(p, 2, F.size(p)), lambda c: F.coalesce(lookup(c), whole(F.concat(mark, c))))), gap))
+
+    return let(text, lambda t: let(F.struct(
+        t.alias("t"), F.regexp_extract(t, pair, 1).alias("mark"), F.regexp_extract(t, pair, 2).alias("gap")), rebuild))
 
 
 def unwrap_backtick(t: Column) -> Column:
@@ -58,7 +91,10 @@ def unwrap_join(t: Column) -> Column:
 
 
 def unwrap_char_decimal(t: Column) -> Column:
-    return replace_matches(t, CHAR_PATTERN, lambda m, d: _chr(d.try_cast("bigint")))
+    def plain(gap: Column, cut: Column) -> Column:
+        ends = F.when(gap == "", F.lit(r"\[")).otherwise(cut)
+        return F.concat(F.lit(r"(?=\d{1,3}+(?:"), ends, F.lit(r"|\z))"))
+    return _replace_codes(t, CHAR_PATTERN, CHAR_PAIR, plain, _ascii, lambda m, d: _chr(d.try_cast("bigint")))
 
 
 def unwrap_char_hex(t: Column) -> Column:

@@ -308,8 +308,13 @@ def n12_credential_mark(s):
 def _letters(s: Tables) -> tuple[DataFrame, Column, Column]:
     """Documents with the letters and blanks of their text, that text, and its characters."""
     t = F.col("letters")
-    rows = s.t("documents").withColumn("letters", F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", ""))
-    return rows, t, F.filter(F.split(t, ""), lambda c: c != "")
+    rows = s.t("documents").withColumn("letters", F.array_join(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z ]++"), F.lit(0)), ""))
+    return rows, t, F.when(t != "", F.split(t, "")).otherwise(F.array())
+
+
+def _marked(t: Column, codes: Column, mark: str) -> Column:
+    """A text's character codes, each behind a mark."""
+    return F.concat(F.when(t != "", mark).otherwise(""), F.array_join(codes, mark))
 
 
 def _digest(rows: DataFrame, decoded: Column) -> DataFrame:
@@ -328,8 +333,8 @@ def n2_join_lists(s):
 
 @query
 def n3_char_codes(s):
-    rows, _, chars = _letters(s)
-    return _digest(rows, D.unwrap_char_decimal(F.array_join(F.transform(chars, lambda c: F.concat(F.lit("[char]"), F.ascii(c).cast("string"))), "")))
+    rows, t, chars = _letters(s)
+    return _digest(rows, D.unwrap_char_decimal(_marked(t, F.transform(chars, F.ascii).cast("array<string>"), "[char]")))
 
 
 @query
