@@ -23,6 +23,7 @@ CHAR_PATTERN = r"(?i)\[char\]\s*(\d+)"
 CHAR_HEX_PATTERN = r"(?i)\[char\]\s*0x([0-9a-fA-F]+)"
 # Two codes of one spelling with a short gap in between (groups: mark, gap).
 CHAR_PAIR = r"(?i)(\[char\]\s*+)\d++([^\d\[\\]{0,4}+)\1"
+CHAR_HEX_PAIR = r"(?i)(\[char\]\s*+0x)[0-9a-fA-F]++([^0-9a-fA-F\[\\]{0,4}+)\1"
 HEX_LIST_PATTERN = r"(?:0x[0-9a-fA-F]{2}\s*,\s*(?=0x[0-9a-fA-F]{2})){3,}+0x[0-9a-fA-F]{2}"
 B64_CALL_PATTERN = (r"""(?i)\[(?:System\.)?Convert\]::FromBase64String\s*\(\s*['"]"""
                     r"""([A-Za-z0-9+/=\s]+)['"]\s*\)""")
@@ -98,8 +99,10 @@ def unwrap_char_decimal(t: Column) -> Column:
 
 
 def unwrap_char_hex(t: Column) -> Column:
-    return replace_matches(t, CHAR_HEX_PATTERN, lambda m, h: _chr(
-        F.when(F.length(F.ltrim(h, F.lit("0"))) <= 8, F.conv(h, 16, 10).try_cast("bigint"))))
+    return _replace_codes(
+        t, CHAR_HEX_PATTERN, CHAR_HEX_PAIR, lambda gap, cut: F.lit("(?=[0-7]?[0-9a-fA-F](?![0-9a-fA-F]))"),
+        lambda h: F.unhex(h).cast("string"),
+        lambda m, h: _chr(F.when(F.length(F.ltrim(h, F.lit("0"))) <= 8, F.conv(h, 16, 10).try_cast("bigint"))))
 
 
 def unwrap_hex_list(t: Column) -> Column:

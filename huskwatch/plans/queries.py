@@ -312,9 +312,9 @@ def _letters(s: Tables) -> tuple[DataFrame, Column, Column]:
     return rows, t, F.when(t != "", F.split(t, "")).otherwise(F.array())
 
 
-def _marked(t: Column, codes: Column, mark: str) -> Column:
-    """A text's character codes, each behind a mark."""
-    return F.concat(F.when(t != "", mark).otherwise(""), F.array_join(codes, mark))
+def _marked(t: Column, codes: Column, mark: str, gap: str = "") -> Column:
+    """A text's character codes, each behind a mark, with gaps in between."""
+    return F.concat(F.when(t != "", mark).otherwise(""), F.array_join(codes, gap + mark))
 
 
 def _digest(rows: DataFrame, decoded: Column) -> DataFrame:
@@ -339,8 +339,8 @@ def n3_char_codes(s):
 
 @query
 def n3_char_hex_codes(s):
-    rows, _, chars = _letters(s)
-    return _digest(rows, D.unwrap_char_hex(F.array_join(F.transform(chars, lambda c: F.concat(F.lit("[CHAR] 0x"), F.hex(F.ascii(c)))), "+")))
+    rows, t, chars = _letters(s)
+    return _digest(rows, D.unwrap_char_hex(_marked(t, F.transform(chars, F.hex), "[CHAR] 0x", "+")))
 
 
 @query

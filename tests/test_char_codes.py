@@ -47,7 +47,7 @@ def test_every_form(spark, form):
         assert got[i] == want(t, form), repr(t)
 
 
-@pytest.mark.parametrize("form,spelt", [("decimal", "[char]%d")])
+@pytest.mark.parametrize("form,spelt", [("decimal", "[char]%d"), ("hex", "+[CHAR] 0x%X")])
 def test_long_runs_cost_less_than_match_by_match(spark, form, spelt):
     """A run of codes takes at most half the time of rendering it match by match, and gives the same text."""
     fn, pattern, base = FORMS[form]
